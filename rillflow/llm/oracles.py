@@ -10,8 +10,8 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted(_LOWER | {w.capitalize() for w in _L
 OP3 = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 g AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM t WHERE len(w) >= 3),
 h AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM g),
@@ -21,7 +21,7 @@ m AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
-         len(list_filter(w, x -> x IN ({_STOPS}))) AS n_stop, coalesce(p.n, 0)::BIGINT AS n_repeat_words
+         len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stop, coalesce(p.n, 0)::BIGINT AS n_repeat_words
   FROM t LEFT JOIN p ON p.doc_id IS NOT DISTINCT FROM t.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
