@@ -212,3 +212,10 @@ def text_batches(batches, limit: int = 8 << 20):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the rows of an Arrow batch, so that batches of whole texts stay within a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, rows)

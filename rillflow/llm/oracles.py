@@ -31,4 +31,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3}
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, h, sha1(h) AS x, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT *, list_transform(range(32), lambda i: ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::INTEGER >> (5 * (3 - i % 4))::INTEGER) & 31)) AS v FROM s)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(v, lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', c + 1, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3, "op7_warc_revisits": OP7}
