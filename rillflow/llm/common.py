@@ -45,15 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written() that no later step reads, and lets Spark clean finished shuffles."""
+    """Deletes tables of written() that no later step reads."""
     for t in tables:
         if path := getattr(t, "_rill_path", None):
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished jobs, which otherwise stay until the driver happens to collect its garbage."""
     gc.collect()
-    for t in tables[:1]:
-        t.sparkSession._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -114,22 +116,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SP
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def as_binary(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    """The byte strings data[starts:stops] as one Arrow array."""
-    lengths = stops - starts
-    off = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=off[1:])
-    kept = np.zeros(len(data) + 1, np.int8)
-    np.add.at(kept, starts, 1) if len(starts) < 64 else None
-    if len(starts) >= 64:
-        kept[starts] += 1
-        kept[stops] -= 1
-    else:
-        np.add.at(kept, stops, -1)
-    flat = data[np.cumsum(kept[:-1], dtype=np.int8).astype(bool)]
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
 def coded(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """A code for each word, and the distinct words. Words are apart by a byte at least, or at a document's border."""
     if not len(starts):

@@ -42,4 +42,31 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3, "op7_warc_revisits": OP7}
+OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS k FROM bi),
+sizes AS (SELECT DISTINCT n FROM bw),
+di AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS k FROM di),
+h AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, k)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(it.s, '')) AS items_sha256,
+       coalesce(hits.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i + 1:i + 50], ' ')) AS k FROM i),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM g) WHERE m < doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM r),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM u ANTI JOIN x ON u.doc_id = x.doc_id AND u.p = x.p GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op10_passage_dedup": OP10}

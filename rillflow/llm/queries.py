@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import dac, warc
+from rillflow.llm import dac, decontaminate, repeats, warc
 from rillflow.llm.quality_rules import quality_rules
 
 
@@ -23,12 +23,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(read(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.passage_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_quality_rules": op3_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_decontamination": op8_decontamination,
+    "op10_passage_dedup": op10_passage_dedup,
 }
