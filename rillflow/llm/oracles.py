@@ -7,6 +7,20 @@ from rillflow.llm.quality_rules import STOP_WORDS
 _LOWER = {w for words in STOP_WORDS.values() for w in words.split()}
 _STOPS = ", ".join(f"'{w}'" for w in sorted(_LOWER | {w.capitalize() for w in _LOWER}))
 
+OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS g FROM i),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
+
 OP3 = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -69,4 +83,4 @@ k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op10_passage_dedup": OP10}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op10_passage_dedup": OP10}
