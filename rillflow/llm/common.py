@@ -128,7 +128,8 @@ def words_array(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.A
     lengths = stops - starts
     off = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths, out=off[1:])
-    take = np.repeat(starts - off[:-1], lengths) + np.arange(off[-1])
+    take = np.repeat((starts - off[:-1]).astype(np.int32), lengths)
+    take += np.arange(off[-1], dtype=np.int32)
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[take]))])
 
 
@@ -181,7 +182,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def text_batches(batches, limit: int = 8 << 20):
+def text_batches(batches, limit: int = 4 << 20):
     """Record batches joined or split to about limit bytes each, so that vector passes stay within memory."""
     held, size = [], 0
     for b in batches:

@@ -24,7 +24,7 @@ from rillflow.llm.common import LOWER, bytes_of, small_batches, spread, swept, t
 SEPARATORS = table_of((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 WINDOW, SHINGLE, BLOCK = 10, 3, 50_000
 BITS = 20
-BYTES = 8 << 20
+BYTES = 4 << 20
 
 
 def _words(column: pa.Array):

@@ -44,7 +44,7 @@ ORDERS = 3
 FREQUENT, IN_BATCH = 1 << 16, 3
 SMALL, HUB_ROUNDS = 16, 8
 HOT_SHARE = 4096
-BYTES = 8 << 20
+BYTES = 4 << 20
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

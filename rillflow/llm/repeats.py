@@ -61,8 +61,8 @@ class Windows:
     batch_bytes: int
 
 
-BYTES = Windows(100, 24, False, True, 4 << 20)
-WORDS = Windows(50, 8, True, False, 8 << 20)
+BYTES = Windows(100, 24, False, True, 3 << 20)
+WORDS = Windows(50, 8, True, False, 3 << 20)
 
 
 # --------------------------------------------------------------------------- segments
@@ -374,7 +374,7 @@ def data_space() -> np.ndarray:
     return t
 
 
-def _sorted_buckets(w: Windows, most: int = 8 << 20) -> Callable:
+def _sorted_buckets(w: Windows, most: int = 4 << 20) -> Callable:
     """Streams rows in order of h; a bucket's rows are sorted together, many small buckets at a time."""
 
     def settle(held):
@@ -529,8 +529,10 @@ def joined_words(b: Batch, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = stops - starts + 1
     off = np.concatenate([[0], np.cumsum(lengths)])
     data = np.concatenate([b.data, np.array([32], np.uint8)])
-    group, place = spread(lengths)
-    flat = data[np.where(place == (lengths - 1)[group], len(b.data), starts[group] + place)]
+    take = np.repeat((starts - off[:-1]).astype(np.int32), lengths)
+    take += np.arange(off[-1], dtype=np.int32)
+    take[off[1:] - 1] = len(b.data)
+    flat = data[take]
     counts = per_document(keep, b.offsets)
     edge = np.concatenate([[0], np.cumsum(counts)])
     ends = off[edge]
