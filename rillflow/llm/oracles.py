@@ -83,4 +83,30 @@ k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op10_passage_dedup": OP10}
+# Without a budget the exponent has a closed form: the ratio of extreme shares, raised to 1 - exponent, is the limit of 2 (or less, if it is so as it is).
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens,
+         ('0x' || substr(md5('0/' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024 AS b
+  FROM documents),
+k AS (SELECT s, b, sum(n_tokens)::BIGINT AS size FROM d GROUP BY ALL),
+v AS (SELECT s, sum(size)::BIGINT AS avail FROM k GROUP BY s),
+x AS (SELECT greatest(0.0, 1 - ln(2.0) / nullif(ln(max(avail)::DOUBLE / min(avail)), 0)) AS a, sum(avail)::DOUBLE AS total FROM v WHERE avail > 0),
+z AS (SELECT s, avail, pow(avail / total, coalesce(a, 1.0)) AS z FROM v, x WHERE avail > 0),
+m AS (SELECT max(avail / z) AS m FROM z),
+g AS (SELECT s, avail, round(z * m)::BIGINT AS goal FROM z, m),
+f AS (SELECT s, goal // avail AS full_, goal % avail AS rest FROM g),
+p0 AS (SELECT k.*, coalesce(full_, 1) AS full_, coalesce(rest, 0) AS rest FROM k LEFT JOIN f USING (s)),
+p1 AS (SELECT *, ('0x' || substr(md5('0/' || full_ || '/' || s || '/' || b), 1, 8))::BIGINT AS r FROM p0),
+p AS (SELECT s, b, size, full_, rest, rest - coalesce(sum(size) OVER (PARTITION BY s ORDER BY r, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM p1),
+j AS (SELECT d.*, full_, left_, left_ >= size AND rest > 0 AS whole,
+             sum(n_tokens) OVER (PARTITION BY s, b ORDER BY ('0x' || substr(md5('0/d/' || full_ || '/' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id, md5(t)
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM d JOIN p USING (s, b)),
+c AS (SELECT *, full_ + CASE WHEN whole OR left_ > 0 AND upto <= left_ THEN 1 ELSE 0 END AS copies FROM j),
+e AS (SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM c)
+SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, ('0x' || substr(md5('0/' || epoch || '/' || s || '/' || b), 1, 8))::BIGINT AS block_rank FROM e
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import dac, decontaminate, ngram_join, repeats, warc
+from rillflow.llm import dac, decontaminate, mixing, ngram_join, quality_classifier, repeats, warc
 from rillflow.llm.quality_rules import quality_rules
 
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.substring_dedup(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sources(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block_rank")
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.passage_dedup(read(spark, sf_dir, "documents"))
 
@@ -47,8 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_decontamination": op8_decontamination,
+    "op9_source_mixing": op9_source_mixing,
     "op10_passage_dedup": op10_passage_dedup,
 }
