@@ -1,16 +1,54 @@
-"""The corpus pipeline: documents to token files in five stages."""
+"""The corpus pipeline: documents to token files in five stages.
+
+Each stage works on all that its predecessor kept and is written as Parquet before the next one reads it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillflow.llm import dac, decontaminate, mixing, ngram_join, quality_classifier
+from rillflow.llm.common import written
+
+#: Documents below this probability of good quality are rejected.
+LEAST_SCORE = 0.5
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality classifier does not reject."""
+    model = quality_classifier.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.with_score(docs, model).where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources: every document once at least, no source more than twice."""
+    return mixing.mixed_sources(docs, max_repeat=2.0).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files and returns what is read back from them, one row for each copy of a document."""
+    return dac.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
-#: The first stage is a trained model, which SQL cannot express; tests hold run() against brute-force versions of the stages.
+STAGES = [("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("benchmark decontamination", decontaminate_), ("source mixing", mix), ("token output", tokenize)]
+#: The first stage is a trained model, which SQL cannot express; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

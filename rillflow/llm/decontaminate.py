@@ -132,15 +132,15 @@ def _counted(block: Block):
     return run
 
 
-def _matched(block: Block, prefixes):
-    """Adds the block's hits to the columns spans (pairs of first word and end) and items."""
+def _matched(block: Block, prefixes, names: list[str]):
+    """Adds the block's hits to the columns _spans (pairs of first word and end) and _items."""
 
     def run(batches):
         for rb in text_batches(batches, BYTES):
-            data, starts, stops, edges, hashes = _words(rb.column("text"))
+            data, starts, stops, edges, hashes = _words(rb.column("_text"))
             raw = data.tobytes()
-            spans = [list(x or ()) for x in rb.column("spans").to_pylist()]
-            items = [set(x or ()) for x in rb.column("items").to_pylist()]
+            spans = [list(x or ()) for x in rb.column("_spans").to_pylist()]
+            items = [set(x or ()) for x in rb.column("_items").to_pylist()]
             whole: dict[int, np.ndarray] = {}
             for s, (look, first, own, place) in prefixes.items():
                 at, k = look.find(windows_hash(hashes, s))
@@ -161,49 +161,46 @@ def _matched(block: Block, prefixes):
                             spans[d] += (a - int(edges[d]), a - int(edges[d]) + n)
                             items[d].update(block.items[x])
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), rb.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "spans", "items"]
+                [*(rb.column(c) for c in names), rb.column("_text"), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                names=[*names, "_text", "_spans", "_items"],
             )
 
     return run
 
 
-def _summed(batches):
-    for rb in text_batches(batches, BYTES):
-        data, offsets = bytes_of(rb.column("text"))
-        _, _, edges = word_spans(LOWER[data], offsets, SEPARATORS)
-        lists = rb.column("spans")
-        flat = lists.flatten().to_numpy()
-        base = np.repeat(edges[:-1], lists.value_lengths().to_numpy())
-        steps = np.zeros(int(edges[-1]) + 1, np.int64)
-        np.add.at(steps, flat[::2] + base[::2], 1)
-        np.add.at(steps, flat[1::2] + base[1::2], -1)
-        total = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
-        hit = total[edges[1:]] - total[edges[:-1]]
-        items = rb.column("items").to_pylist()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": rb.column("doc_id"),
-                "n_words": pa.array(np.diff(edges)),
-                "n_hit": pa.array(hit),
-                "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(x).encode("utf-8")).hexdigest() for x in items]),
-                "contaminated": pa.array(hit > 0),
-            }
-        )
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: its words, the words inside any window of an item, and the items whose windows occur.
+def _summed(names: list[str]):
+    def run(batches):
+        for rb in text_batches(batches, BYTES):
+            data, offsets = bytes_of(rb.column("_text"))
+            _, _, edges = word_spans(LOWER[data], offsets, SEPARATORS)
+            lists = rb.column("_spans")
+            flat = lists.flatten().to_numpy()
+            base = np.repeat(edges[:-1], lists.value_lengths().to_numpy() // 2)
+            steps = np.zeros(int(edges[-1]) + 1, np.int64)
+            np.add.at(steps, flat[::2] + base, 1)
+            np.add.at(steps, flat[1::2] + base, -1)
+            total = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
+            hit = total[edges[1:]] - total[edges[:-1]]
+            items = rb.column("_items").to_pylist()
+            digests = [hashlib.sha256(",".join(x).encode("utf-8")).hexdigest() for x in items]
+            own = [pa.array(np.diff(edges)), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(hit > 0)]
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), *own], names=[*names, *(x.split()[0] for x in RESULT.split(", "))])
 
-    Null texts and ids: a null text has no words, a null item_id counts as an item with an empty id, a null doc_id is kept. Items that share their words both
-    count; items without words have no window. Repeated rows give repeated results; other columns of either table are not read.
-    """
+    return run
+
+
+def judged(docs: DataFrame, items: DataFrame, names: list[str], window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The named columns of docs with the columns of RESULT."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", whole_text().alias("text"))
+    texts = docs.select(whole_text().alias("text"))
     windows = written(item_windows(items, window), "item-windows")
     blocks = max(1, -(-windows.count() // block))
-    out = texts.withColumns({"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
+    kept = docs.select(*names)
+    out = docs.select(*names, whole_text().alias("_text"), F.array().cast("array<bigint>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     schema = out.schema
     for i in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == i)
@@ -212,7 +209,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             continue
         b = Block(rows, shingle)
         counts = texts.mapInArrow(_counted(b), "s int, v long, n long").groupBy("s", "v").agg(F.sum("n")).collect()
-        out = out.mapInArrow(_matched(b, b.prefixes({(r[0], r[1]): r[2] for r in counts})), schema)
+        out = out.mapInArrow(_matched(b, b.prefixes({(r[0], r[1]): r[2] for r in counts}), names), schema)
     swept(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.mapInArrow(_summed, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    for column in RESULT.split(", "):
+        kept = kept.withColumn(column.split()[0], F.lit(None).cast(column.split()[1]))
+    return out.mapInArrow(_summed(names), kept.schema)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: its words, the words inside any window of an item, and the items whose windows occur.
+
+    Null texts and ids: a null text has no words, a null item_id counts as an item with an empty id, a null doc_id is kept. Items that share their words both
+    count; items without words have no window. Repeated rows give repeated results; other columns of either table are not read.
+    """
+    return judged(docs, items, ["doc_id"], window, shingle, block)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, **limits: int) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of an item."""
+    own = [x.split()[0] for x in RESULT.split(", ")]
+    if set(own) & set(docs.columns):
+        raise ValueError(f"columns of docs may not be named {own}")
+    return judged(docs, items, docs.columns, **limits).where("not contaminated").drop(*own)

@@ -240,3 +240,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     rows = rows.join(cold, ["s1", "s2", "salt"], "left")
     id_of = lambda c: F.when(c != NULL_ID, c)
     return rows.select(id_of(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), id_of(F.coalesce("hot", "cold", "doc")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: those of the smallest doc_id. Of rows with words that share it, the first by text stays."""
+    stays = jaccard_components(docs, percent, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc")).distinct()
+    d = docs.withColumn("_doc", doc_key()).join(stays, "_doc", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_doc").orderBy(whole_text()))
+    bare = ~whole_text().rlike(r"[^\x20\x09-\x0D]")
+    return d.withColumn("_nth", nth).where((F.col("_nth") == 1) | bare).select(*docs.columns)
