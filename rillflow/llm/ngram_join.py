@@ -5,9 +5,9 @@ under any order of all shingles. Candidates come from the prefixes under the fir
 before whole sets are intersected. Each order puts shingles that very many documents have last, and orders the others by a hash of its own. Which shingles are frequent is
 counted per batch and summed; any choice gives the same links, only other candidates.
 
-Copies (equal sets) are one class with its smallest doc_id as representative, so groups of copies send one row. A prefix shingle of up to SMALL classes gives its
-pairs; a larger group is taken by hubs: a member is compared with all members of other components, components are joined, and this is repeated while the group lies in
-several components; groups that stay open after HUB_ROUNDS are compared in full, member by member, where components differ.
+Copies (equal sets) are one class with its smallest doc_id as representative, so groups of copies send one row. Classes that share a prefix shingle are taken by hubs: each is
+compared with a hub of its groups and components are joined; only groups that still lie in several components are compared on, and only across components,
+in full where that is at most FULL pairs a row, else by more hubs first. No pair within a component is ever made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from rillflow.llm.common import (
     NULL_ID,
     bytes_of,
     doc_key,
+    dropped,
     mixed,
     signed,
     small_batches,
@@ -41,8 +42,8 @@ from rillflow.llm.decontaminate import Lookup
 SHINGLE, PERCENT = 4, 85
 ORDERS = 3
 #: Frequent shingles that an order knows of (at most), and how often a batch must hold one to report it.
-FREQUENT, IN_BATCH = 1 << 16, 3
-SMALL, HUB_ROUNDS = 16, 8
+FREQUENT, IN_BATCH = 1 << 18, 2
+FULL, HUB_ROUNDS = 16, 8
 HOT_SHARE = 4096
 BYTES = 4 << 20
 
@@ -170,34 +171,49 @@ def _long_enough(percent: int, m, n):
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
+def _by_hub(groups: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """doc, hub and the number of tokens that they share, of members of a group and its hubs (token, hub, m)."""
+    near = groups.join(hubs, "token").where((F.col("doc") != F.col("hub")) & _long_enough(percent, F.col("m"), F.col("n")))
+    return near.groupBy("doc", "hub").agg(F.count("*").alias("common"))
+
+
 def set_links(groups: DataFrame, sets: DataFrame, percent: int, known: DataFrame) -> DataFrame:
-    """doc and component of representatives that have links. groups: token, doc, n, members and degree of each prefix shingle of several classes; known: links to start from."""
-    small = groups.where(F.col("members") <= SMALL)
-    x, y = small.select("token", F.col("doc").alias("x"), F.col("n").alias("m")), small.select("token", F.col("doc").alias("y"), "n")
-    pairs = x.join(y, "token").where((F.col("x") < F.col("y")) & _long_enough(percent, F.col("m"), F.col("n"))).select(*_ordered(F.col("x"), F.col("y"))).distinct()
+    """doc and component of representatives that have links.
+
+    groups: token, doc, n and degree (tokens that a doc shares) of each prefix shingle of several classes; known: links to start from. First each member is compared with one hub, of
+    all hubs of its groups the one that it shares most tokens with; this joins most copies. Then groups that lie in several components are compared in full,
+    if there are at most FULL pairs a row, or by hubs again.
+    """
+    hub = lambda *key: F.min(F.struct(*key, "doc", "n"))
+    hubs = groups.groupBy("token").agg(hub(-F.col("degree")).alias("h")).select("token", F.col("h.doc").alias("hub"), F.col("h.n").alias("m"))
+    best = _by_hub(groups, hubs, percent).groupBy("doc").agg(F.max(F.struct("common", "hub")).alias("h"))
+    pairs = best.select(*_ordered(F.col("doc"), F.col("h.hub"))).distinct()
     links = written(verified(pairs, sets, percent).unionByName(known), "links")
     labels = components(links)
-    large = groups.where(F.col("members") > SMALL)
     for turn in range(HUB_ROUNDS + 1):
-        named = written(large.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"), "named")
-        hub = lambda *key: F.min(F.struct(*key, "doc", "n", "label"))
-        open_ = named.groupBy("token").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(hub(-F.col("degree")), hub(F.xxhash64("doc", F.lit(turn))), hub(F.xxhash64("token", "doc", F.lit(turn)))).alias("hubs")
-        )
-        open_ = written(open_.where("lo < hi").select("token", F.explode(F.array_distinct(F.transform("hubs", lambda h: F.struct(h["doc"].alias("hub"), h["n"].alias("m"), h["label"].alias("of"))))).alias("h")).select("token", "h.*"), "hubs")
-        if not open_.take(1):
+        named = groups.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+        open_ = named.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = written(named.join(open_.where("labels > 1").withColumn("cross", (F.col("s") * F.col("s") - F.col("q")) / 2 / F.col("s")), "token"), "open")
+        groups = left.select("token", "doc", "n", "degree", "label")
+        rows, cross = left.agg(F.count("*"), F.sum("cross")).first()
+        if not rows:
             break
-        if turn < HUB_ROUNDS:
-            pairs = named.join(open_, "token").where((F.col("label") != F.col("of")) & _long_enough(percent, F.col("m"), F.col("n")))
-            pairs = pairs.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
-            large = written(named.drop("label").join(open_.select("token", F.col("hub").alias("doc")), ["token", "doc"], "left_anti").join(open_.select("token").distinct(), "token", "left_semi"), "open")
-        else:  # what is left, in full
-            left = named.join(open_.select("token").distinct(), "token", "left_semi")
-            other = left.select("token", F.col("doc").alias("hub"), F.col("n").alias("m"), F.col("label").alias("of"))
-            pairs = left.join(other, "token").where((F.col("doc") < F.col("hub")) & (F.col("label") != F.col("of")) & _long_enough(percent, F.col("m"), F.col("n")))
-            pairs = pairs.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
+        last = turn == HUB_ROUNDS or cross <= FULL * rows
+        if last:
+            other = groups.select("token", F.col("doc").alias("hub"), F.col("n").alias("m"), F.col("label").alias("of"))
+            near = groups.join(other, "token").where((F.col("doc") < F.col("hub")) & (F.col("label") != F.col("of")) & _long_enough(percent, F.col("m"), F.col("n")))
+            pairs = near.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
+        else:
+            many = groups.groupBy("token").agg(F.array(hub(-F.col("degree")), hub(F.xxhash64("doc", F.lit(turn))), hub(F.xxhash64("token", "doc", F.lit(turn)))).alias("hubs"))
+            hubs = many.select("token", F.explode(F.array_distinct(F.transform("hubs", lambda h: F.struct(h["doc"].alias("hub"), h["n"].alias("m"))))).alias("h")).select("token", "h.*")
+            pairs = _by_hub(groups, hubs, percent).select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
+            groups = groups.join(hubs.select("token", F.col("hub").alias("doc")), ["token", "doc"], "left_anti")
         links = written(links.unionByName(verified(pairs, sets, percent)).distinct(), "links")
         labels = components(links)
+        groups = groups.drop("label")
+        swept(groups.sparkSession)
+        if last:
+            break
     return labels
 
 
@@ -211,12 +227,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     small_batches(spark)
     texts = docs.select(doc_key().alias("doc"), whole_text().alias("text"))
     orders = frequent_shingles(texts, size)
-    sets = written(texts.mapInArrow(_first_pass(orders, size, percent), "doc long, n long, s1 long, s2 long, prefix array<long>"), "shingles")
+    first = written(texts.mapInArrow(_first_pass(orders, size, percent), "doc long, n long, s1 long, s2 long, prefix array<long>"), "shingles")
+    sets = written(first.select("doc", "n", "s1", "s2"), "set-hashes")
     classes = written(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("doc")).distinct()
-    tokens = sets.where(F.size("prefix") > 0).select("doc", "n", "prefix").join(reps, "doc", "left_semi").select(F.explode("prefix").alias("token"), "doc", "n").distinct()
-    tokens = tokens.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
-    groups = written(tokens, "tokens")
+    tokens = first.where(F.size("prefix") > 0).select("doc", "n", "prefix").join(reps, "doc", "left_semi").select(F.explode("prefix").alias("token"), "doc", "n")
+    # unequal sets of which the smaller has n shingles share n / (n + 1) at most; of a token's classes in order of size, the neighbours are nearest in length
+    by_size = Window.partitionBy("token").orderBy("n", "doc")
+    tokens = tokens.where(100 * F.col("n") >= percent * (F.col("n") + 1)).withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    tokens = tokens.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
+    groups = written(tokens.select("token", "doc", "n").distinct(), "tokens")
+    dropped(first)
     swept(spark)
     degree = groups.groupBy("doc").agg(F.count("*").alias("degree"))
     wanted = texts.join(degree.select("doc"), "doc", "left_semi")

@@ -65,11 +65,11 @@ def run(spark, rows):
     return sorted(map(tuple, j.jaccard_components(df).collect()), key=str)
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(j, "SMALL", small)
+@pytest.mark.parametrize("full", [16, 0])
+def test_against_brute_force(spark, monkeypatch, full):
+    monkeypatch.setattr(j, "FULL", full)
     monkeypatch.setattr(j, "HUB_ROUNDS", 2)
-    rows = corpus(small)
+    rows = corpus(full + 2)
     assert run(spark, rows) == brute(rows)
 
 
