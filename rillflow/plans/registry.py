@@ -212,8 +212,8 @@ def _metric_sql(key: str) -> str:
       avg(o) OVER ({g}) AS mo, avg(p) OVER ({g}) AS mp FROM d),
     a AS (SELECT {k}count(*) AS n, sum((o - p) * (o - p)) AS sse, var_pop(o) AS vo, var_pop(p) AS vp, avg(o) AS ao, avg(p) AS ap, corr(o, p) AS c, corr(ro, rp) AS r, covar_pop(o, p) AS cv,
       quantile_cont(abs((p - mp - (o - mo)) / o), 0.67) AS sige, avg(abs((p - o) / o)) AS mape, median((p - o) / o) AS nb, median(abs(ln(p / o))) AS al, median(ln(p / o)) AS ml FROM w {by})
-    SELECT {k}n AS num_obs, round(1 - sse / nullif(vo * n, 0), 4) AS NSE, round(r, 4) AS r, round(1 - sqrt((c - 1) ** 2 + (sqrt(vp) / sqrt(vo) - 1) ** 2 + (ap / ao - 1) ** 2), 4) AS KGE, round(sige, 4) AS sigE,
-      round(sqrt(sse / n) / ap, 4) AS rRMSE, round(mape, 4) AS MAPE, round(nb, 4) AS nBias, round(100 * (exp(al) - 1), 4) AS RE, round(100 * sign(ml) * (exp(abs(ml)) - 1), 4) AS RB,
+    SELECT {k}n AS num_obs, round(1 - sse / nullif(vo * n, 0), 4) AS NSE, round(r, 4) + 0.0 AS r, round(1 - sqrt((c - 1) ** 2 + (sqrt(vp) / sqrt(vo) - 1) ** 2 + (ap / ao - 1) ** 2), 4) AS KGE, round(sige, 4) AS sigE,
+      round(sqrt(sse / n) / ap, 4) AS rRMSE, round(mape, 4) AS MAPE, round(nb, 4) + 0.0 AS nBias, round(100 * (exp(al) - 1), 4) AS RE, round(100 * sign(ml) * (exp(abs(ml)) - 1), 4) AS RB,
       round(1 - sse / n / nullif(vo + vp + (ao - ap) ** 2 + CASE WHEN c >= 0 THEN 0 ELSE 2 * abs(cv) END, 0), 4) + 0.0 AS agreement FROM a"""
 
 
