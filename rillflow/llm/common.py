@@ -206,3 +206,18 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, rows)
+
+
+def most_frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the most frequent keys, at most so many, ties at the limit left out. counts should be a written table: a histogram of the counts gives the least count first,
+    so that no task sends more than its part of the result."""
+    total, least = 0, None
+    for value, keys in sorted(counts.groupBy(n).agg(F.count("*")).where(F.col(n) > 0).collect(), reverse=True):  # as many rows as distinct counts
+        total += keys
+        if total > most:
+            break
+        least = value
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = counts.where(F.col(n) >= least).select(key, n).toPandas()
+    return rows[key].to_numpy(np.int64), rows[n].to_numpy(np.int64)

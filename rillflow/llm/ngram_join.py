@@ -25,6 +25,7 @@ from rillflow.llm.common import (
     doc_key,
     dropped,
     mixed,
+    most_frequent,
     signed,
     small_batches,
     spread,
@@ -109,8 +110,10 @@ def frequent_shingles(texts: DataFrame, size: int) -> Orders:
             often = counts >= IN_BATCH
             yield pa.RecordBatch.from_arrays([pa.array(signed(value[often])), pa.array(counts[often])], names=["v", "n"])
 
-    rows = texts.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v").limit(FREQUENT).toPandas()
-    return Orders(rows["v"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+    counts = written(texts.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")), "frequent")
+    value, n = most_frequent(counts, "v", "n", FREQUENT)
+    dropped(counts)
+    return Orders(value.view(np.uint64), n)
 
 
 def _first_pass(orders: Orders, size: int, percent: int):
