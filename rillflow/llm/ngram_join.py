@@ -158,10 +158,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share prefix shingles under every other order and whose whole sets reach the threshold."""
     names = [f"p{i}" for i in range(2, ORDERS + 1)]
     side = lambda x, cols: sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    near = pairs.join(side("a", names), "a").join(side("b", names), "b")
-    for p in names:
-        near = near.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    both = near.select("a", "b").join(side("a", ["set", "n"]), "a").join(side("b", ["set", "n"]), "b")
+    near = pairs
+    for p in names:  # one filter after the other: each joins what the one before left, and its shuffles go before the next one's come
+        near = near.join(side("a", [p]), "a").join(side("b", [p]), "b").where(F.arrays_overlap(f"{p}_a", f"{p}_b")).select("a", "b")
+        near = written(near, "near")
+        swept(pairs.sparkSession)
+    both = near.join(side("a", ["set", "n"]), "a").join(side("b", ["set", "n"]), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
 
@@ -192,6 +194,7 @@ def set_links(groups: DataFrame, sets: DataFrame, percent: int, known: DataFrame
     best = _by_hub(groups, hubs, percent).groupBy("doc").agg(F.max(F.struct("common", "hub")).alias("h"))
     pairs = best.select(*_ordered(F.col("doc"), F.col("h.hub"))).distinct()
     links = written(verified(pairs, sets, percent).unionByName(known), "links")
+    swept(groups.sparkSession)
     labels = components(links)
     for turn in range(HUB_ROUNDS + 1):
         named = groups.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
