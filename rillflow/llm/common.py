@@ -199,6 +199,8 @@ def text_batches(batches, limit: int = 4 << 20):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = None
+    pa.default_memory_pool().release_unused()  # an idle worker keeps nothing
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

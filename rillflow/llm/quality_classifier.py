@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import bytes_of, coded, hashed, mixed, small_batches, spread, text_batches, whole_text, word_spans
 
 #: At most so many labelled rows are learned from: those with the least hash of their id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 BUCKETS, DIMS, GRAMS, EPOCHS, RATE = 1 << 15, 16, (3, 4, 5), 6, 0.5
 #: A repeated word counts as so many features, about as many as a word has n-grams.
 REPEAT = 16
-BYTES = 4 << 20
+BYTES = 3 << 20
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +84,12 @@ def trained(rows: list[tuple[int, bytes]], seed: int = 0) -> tuple[np.ndarray, f
     rnd = np.random.default_rng(seed)
     vectors = rnd.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS + 1, DIMS)).astype(np.float32)
     layer, bias = np.zeros((DIMS, 2), np.float32), np.zeros(2, np.float32)
-    docs = []
-    for y, raw in rows:
-        x = np.frombuffer(raw, "<i4").reshape(2, -1)
-        docs.append((y, x[0], (x[1] / max(1, x[1].sum())).astype(np.float32)))
-    steps, done = max(1, EPOCHS * len(docs)), 0
+    steps, done = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
-        for i in rnd.permutation(len(docs)):
-            y, ids, share = docs[i]
+        for i in rnd.permutation(len(rows)):
+            y, raw = rows[i]
+            ids, counts = np.frombuffer(raw, "<i4").reshape(2, -1)
+            share = (counts / max(1, counts.sum())).astype(np.float32)
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = share @ vectors[ids]
@@ -111,7 +109,8 @@ def _train(batches):
     rows = []
     for rb in batches:
         rows += zip(rb.column("rank").to_pylist(), rb.column("y").to_pylist(), rb.column("features").to_pylist(), strict=True)
-    weights, bias = trained([r[1:] for r in sorted(rows)])
+    rows.sort()
+    weights, bias = trained([r[1:] for r in rows])
     yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([bias])})
 
 
