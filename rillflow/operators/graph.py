@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rounds of doubling, which reach a depth of 2 ** ROUNDS.
-ROUNDS = 32
-
-
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts lineage in the cluster's shared folder where one is set, else by caching on disk."""
     spark = df.sparkSession
@@ -39,7 +35,7 @@ def outlets(nodes: DataFrame, edges: DataFrame, length: str | None = None) -> Da
     at = nodes.select("node").join(step, F.col("node") == F.col("src"), "left").select("node", F.col("dst").alias("ptr"), F.lit(1).cast("long").alias("depth"), F.coalesce("d", F.lit(0.0)).alias("distance"))
     at = at.withColumn("depth", F.when(F.col("ptr").isNull(), 0).otherwise(F.col("depth"))).withColumn("ptr", F.coalesce("ptr", "node"))
     at = _cut(at)
-    for _ in range(ROUNDS):
+    for _ in range(nodes.count().bit_length() + 1):  # doubling passes any depth in so many rounds; what still moves then is on a cycle
         far = at.select(F.col("node").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"), F.col("distance").alias("_x"))
         new = _cut(at.join(far, "ptr", "left").select("node", F.coalesce("_p", "ptr").alias("new"), "ptr", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("_x", F.lit(0.0))).alias("distance")))
         moved = bool(new.where("new <> ptr").take(1))

@@ -68,7 +68,8 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame, size: float) -> DataFrame
 def coverage_weights(cells: DataFrame, rings: DataFrame, size: float, per_side: int = 10) -> DataFrame:
     """Share of each grid cell (cell, x, y at its middle) inside each polygon (zone, ring: array of points), from per_side x per_side points of the cell."""
     steps = [(i + 0.5) / per_side - 0.5 for i in range(per_side)]
-    box = rings.select("*", *[f(F.transform("ring", lambda p, c=c: p[c])).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
+    axis = lambda c: F.transform("ring", lambda p: p[c])
+    box = rings.select("*", *[f(axis(c)).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
     near = (F.col("x") >= F.col("x0") - size) & (F.col("x") <= F.col("x1") + size) & (F.col("y") >= F.col("y0") - size) & (F.col("y") <= F.col("y1") + size)
     band = lambda c: F.floor(c / F.lit(size * 64)).cast("long")
     box = box.withColumn("_b", F.explode(F.sequence(band(F.col("x0") - size), band(F.col("x1") + size))))

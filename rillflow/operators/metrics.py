@@ -24,6 +24,11 @@ def _over(x: Column, y: Column) -> Column:
     return x / F.when(y != 0, y)
 
 
+def _corr(x: str, y: str) -> Column:
+    """Correlation; missing where one side does not vary."""
+    return _over(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _sse() -> Column:
     return F.sum((F.col("o") - F.col("p")) * (F.col("o") - F.col("p")))
 
@@ -33,14 +38,14 @@ def nse() -> Column:
 
 
 def kge() -> Column:
-    r, a, b = F.corr("o", "p"), _over(F.stddev_pop("p"), F.stddev_pop("o")), _over(F.avg("p"), F.avg("o"))
+    r, a, b = _corr("o", "p"), _over(F.stddev_pop("p"), F.stddev_pop("o")), _over(F.avg("p"), F.avg("o"))
     return 1 - F.sqrt((r - 1) * (r - 1) + (a - 1) * (a - 1) + (b - 1) * (b - 1))
 
 
 def agreement() -> Column:
     """Index of agreement whose kappa term counts when the correlation is negative or missing."""
-    r = F.corr("o", "p")
-    kappa = F.when((r >= 0) & ~F.isnan(r), 0.0).otherwise(2 * F.abs(F.covar_pop("o", "p")))
+    r = _corr("o", "p")
+    kappa = F.when(r >= 0, 0.0).otherwise(2 * F.abs(F.covar_pop("o", "p")))
     below = F.var_pop("o") + F.var_pop("p") + (F.avg("o") - F.avg("p")) * (F.avg("o") - F.avg("p")) + kappa
     return 1 - _over(_sse() / F.count("o"), below)
 
@@ -49,10 +54,10 @@ def agreement() -> Column:
 METRICS: dict[str, Callable[[], Column]] = {
     "num_obs": lambda: F.count("o"),
     "R2": nse,
-    "r": lambda: F.corr("ro", "rp"),
+    "r": lambda: _corr("ro", "rp"),
     "NSE": nse,
     "KGE": kge,
-    "kge_r": lambda: F.corr("o", "p"),
+    "kge_r": lambda: _corr("o", "p"),
     "kge_alpha": lambda: _over(F.stddev_pop("p"), F.stddev_pop("o")),
     "kge_beta": lambda: _over(F.avg("p"), F.avg("o")),
     "sigE": lambda: F.percentile(F.abs((F.col("p") - F.col("mp") - (F.col("o") - F.col("mo"))) / F.col("o")), 0.67),

@@ -43,7 +43,7 @@ def test_metrics_of_too_few_and_of_flat_sites(spark):
     rows = [("few", 1.0, 1.0)] * 8 + [("flat", 2.0, float(i + 1)) for i in range(9)] + [("fit", float(i + 1), float(i + 1)) for i in range(9)] + [("fit", 0.0, 5.0), ("fit", None, 5.0)]
     got = {r.s: r for r in metrics.skill(spark.createDataFrame(rows, "s string, obs double, pred double"), ["s"]).collect()}
     assert got["few"].NSE is None and got["few"].num_obs == 8
-    assert got["flat"].NSE is None and got["fit"].NSE == 1.0 and got["fit"].num_obs == 9 and abs(got["fit"].KGE - 1) < 1e-9 and got["fit"].r == 1.0
+    assert got["flat"].NSE is None and got["fit"].NSE == 1.0 and got["fit"].num_obs == 9 and abs(got["fit"].KGE - 1) < 1e-9 and abs(got["fit"].r - 1) < 1e-9
 
 
 def test_mad_of_zero_rejects_and_softmax_sums_to_one(spark):
