@@ -135,8 +135,7 @@ def words_array(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.A
 
 def hashed(words: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct byte strings."""
-    f = xxhash.xxh3_64_intdigest
-    return np.fromiter((f(w) for w in words.to_pylist()), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
