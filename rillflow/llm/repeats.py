@@ -48,6 +48,8 @@ from rillflow.llm.common import (
 #: A minimiser with more than this share of the sampled segments, or so many segments by estimate, is hot; at most HOT_MOST of them.
 HOT_SHARE, HOT_ROWS, HOT_MOST, SAMPLE = 1 / 2000, 50_000, 1 << 16, 64
 PLACE = np.uint64((1 << 24) - 1)
+#: Values that one step of sliding_argmin takes; a place in them has to fit in PLACE.
+BLOCK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,14 @@ WORDS = Windows(50, 8, True, False, 3 << 20)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least value (by its high 40 bits; the first of equal ones) of each run of width values. At most 2**24 values."""
+    """Place of the least value (by its high 40 bits; the first of equal ones) of each run of width values.
+
+    Longer input is done by blocks that overlap by width - 1, so that each run lies in one block whole.
+    """
+    most = max(BLOCK, width)
+    if len(values) > most:
+        step = most - width + 1
+        return np.concatenate([sliding_argmin(values[a : a + most], width) + a for a in range(0, len(values) - width + 1, step)])
     key = (values & ~PLACE) | np.arange(len(values), dtype=np.uint64)
     size = 1
     while size * 2 <= width:

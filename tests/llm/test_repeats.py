@@ -101,6 +101,22 @@ def test_null_and_repeated_ids(spark):
     assert sorted(x[2] > 0 for x in run(spark, two, r.substring_dedup)) == [False, True]
 
 
+def test_argmin_by_blocks(monkeypatch):
+    values = np.random.default_rng(4).integers(0, 2**63, 1000).astype(np.uint64)
+    values[::3] = 5  # equal ones: the first counts
+    whole = [r.sliding_argmin(values, w) for w in (1, 2, 27, 77, 300)]
+    for size in (1, 50, 77, 128, 999):
+        monkeypatch.setattr(r, "BLOCK", size)
+        assert all(np.array_equal(r.sliding_argmin(values, w), x) for w, x in zip((1, 2, 27, 77, 300), whole, strict=True))
+
+
+def test_argmin_beyond_the_places():
+    values = np.full((1 << 24) + 1000, 2**62, np.uint64)
+    values[(1 << 24) + 500] = 1 << 30
+    got = r.sliding_argmin(values, 77)
+    assert len(got) == len(values) - 76 and got[-1] == len(values) - 77 and (got[(1 << 24) + 424 : (1 << 24) + 501] == (1 << 24) + 500).all()
+
+
 def test_empty_table(spark):
     assert run(spark, [], r.substring_dedup) == []
     assert run(spark, [], r.passage_dedup) == []
