@@ -14,6 +14,8 @@ from rillflow.llm.common import written
 
 #: Documents below this probability of good quality are rejected.
 LEAST_SCORE = 0.5
+#: Near copies: this share of common shingles, in percent, of so many words.
+PERCENT, SHINGLE = 80, 5
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near copies."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, percent=PERCENT, size=SHINGLE)
 
 
 def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,14 @@ def test_stages_against_brute_force(spark):
         start += len(ids)
 
 
+def test_near_copies_by_five_words_and_80_percent(spark):
+    w = [f"w{i}" for i in range(120)]
+    v = [f"v{i}" for i in range(49)]
+    texts = [w[:100], w, v, [*v[:20], "other", *v[21:]], [f"u{i}" for i in range(60)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.deduplicate(spark, docs, SF).collect()) == [0, 2, 4]
+
+
 def test_run(spark):
     got = p.run(spark, SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
