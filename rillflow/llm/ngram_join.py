@@ -270,9 +270,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: those of the smallest doc_id. Of rows with words that share it, the first by text stays."""
-    stays = jaccard_components(docs, percent, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc")).distinct()
-    d = docs.withColumn("_doc", doc_key()).join(stays, "_doc", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_doc").orderBy(whole_text()))
+    """The rows of docs, with all their columns, that stand for their component: one each, of the smallest doc_id (null first). Rows without words all stay.
+
+    Documents are told apart by a 64-bit hash of doc_id and text: a doc_id that rows share, or a null one, links nothing by itself.
+    """
+    own = docs.withColumns({"_id": doc_key(), "_doc": F.xxhash64(doc_key(), whole_text())})
+    key = lambda c: F.coalesce(c, F.lit(NULL_ID))
+    found = jaccard_components(own.select(F.col("_doc").alias("doc_id"), whole_text().alias("text")), percent, size)
+    found = found.where("n_shingles > 0").select(key("doc_id").alias("_doc"), key("component_id").alias("_component")).distinct()
+    stays = own.select("_doc", "_id").distinct().join(found, "_doc").groupBy("_component").agg(F.min(F.struct("_id", "_doc")).alias("least")).select("least._doc")
     bare = ~whole_text().rlike(r"[^\x20\x09-\x0D]")
-    return d.withColumn("_nth", nth).where((F.col("_nth") == 1) | bare).select(*docs.columns)
+    kept = own.where(~bare).join(stays, "_doc", "left_semi").dropDuplicates(["_doc", "_id"])
+    return kept.unionByName(own.where(bare)).select(*docs.columns)

@@ -79,6 +79,14 @@ def test_null_and_repeated_ids(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_of_each_keeps_what_has_no_copy(spark):
+    t, u, v = (" ".join(f"{x}{i}" for i in range(40)) for x in "tuv")
+    rows = [(None, t), (None, u), (None, "z"), (7, ""), (7, "real text"), (9, v), (9, "p q r s t"), (3, t), (12, v), (5, "p q r s t"), (None, u), (None, None)]
+    got = j.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(None, t), (None, u), (None, "z"), (7, ""), (7, "real text"), (9, v), (5, "p q r s t"), (None, None)]
+    assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
