@@ -1,21 +1,23 @@
 """N-gram Jaccard join by prefix filters under several global orders.
 
 A document is the set of its distinct 4-word shingles. If two sets reach the threshold, their prefixes (the first n - ceil(t n) + 1 shingles) share a shingle
-under any order of all shingles. Candidates come from the prefixes under the first order; they must share prefix shingles under the other orders too
-before whole sets are intersected. Each order puts shingles that very many documents have last, and orders the others by a hash of its own. Which shingles are frequent is
-counted per batch and summed; any choice gives the same links, only other candidates.
-
-Copies (equal sets) are one class with its smallest doc_id as representative, so groups of copies send one row. Classes that share a prefix shingle are taken by hubs: each is
-compared with a hub of its groups and components are joined; only groups that still lie in several components are compared on, and only across components,
-in full where that is at most FULL pairs a row, else by more hubs first. No pair within a component is ever made.
+under any order of all shingles. Candidates come from the prefixes under the first order, with bounds by length and by the places of the shared shingle; they must
+share prefix shingles under the other orders too before whole sets are intersected. Each order puts shingles that very many documents have last, and orders the
+others by a hash of its own. Which shingles are frequent is counted per batch over all documents and summed; any choice gives the same links, only other candidates.
+
+Copies (equal sets) are one class, a node, which sends each of its prefix shingles once. Prefix entries travel as packed strings to the bucket of their shingle. There, groups of at most
+SMALL nodes give their pairs. Members of larger groups are compared with one hub of the group, the member that shares most shingles; then only members that lie in another component
+than most of their group are looked at again, and only with members of other components that the bounds admit. A document that differs from the hub in many
+shingles of its own has the group's shingle late in its order, so the bounds admit few partners, however large the group is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import (
@@ -26,10 +28,10 @@ from rillflow.llm.common import (
     dropped,
     mixed,
     most_frequent,
+    shuffle_partitions,
     signed,
     small_batches,
     spread,
-    swept,
     text_batches,
     whole_text,
     windows_hash,
@@ -44,10 +46,18 @@ SHINGLE, PERCENT = 4, 85
 ORDERS = 3
 #: Frequent shingles that an order knows of (at most), and how often a batch must hold one to report it.
 FREQUENT, IN_BATCH = 1 << 18, 2
-FULL, HUB_ROUNDS = 16, 8
-HOT_SHARE = 4096
+#: Groups of up to SMALL nodes give their pairs; shingles of at least this level (a power of two of their count) go to large groups at once.
+SMALL, HOT_LEVEL = 64, 13
+#: So many documents are looked up by broadcast; more are joined by a shuffle.
+BROADCAST_MOST = 1 << 20
 BYTES = 4 << 20
 
+NODE = 12
+ENTRY = np.dtype([("token", "<u4"), ("node", f"V{NODE}"), ("n", "<u4"), ("reach", "<u4")])
+DOC, LARGE, PAIR, PACKED = range(4)
+FOUND = "kind int, doc long, n long, node binary, reach long, token long, other binary"
+SENT = f"{FOUND}, bucket int, packed binary"
+
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending and joined, and their len + 1 offsets."""
@@ -56,24 +66,33 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     starts, stops, edges = word_spans(data, offsets)
     hashes = word_hashes(data, starts, stops)
     n = np.diff(edges)
-    doc, place = spread(np.maximum(n - size + 1, 0))
-    value = windows_hash(hashes, size)[edges[:-1][doc] + place]
+    counts = np.where(n < size, n > 0, n - size + 1)
+    doc, place = spread(counts)
+    at = edges[:-1][doc] + place
+    value = np.zeros(len(doc), np.uint64)
+    full = n[doc] >= size
+    value[full] = windows_hash(hashes, size)[at[full]]
     for k in range(1, size):  # shorter texts: the whole sequence
-        at = np.flatnonzero(n == k)
-        if len(at):
-            doc = np.concatenate([doc, at])
-            value = np.concatenate([value, mixed(windows_hash(hashes, k)[edges[at]], 1000 + k)])
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]) if len(doc) else np.zeros(0, bool)
-    doc, value = doc[new], value[new]
-    return value, np.searchsorted(doc, np.arange(len(n) + 1))
+        short = n[doc] == k
+        if short.any():
+            value[short] = mixed(windows_hash(hashes, k)[at[short]], 1000 + k)
+    ends = np.cumsum(counts)
+    for a, z in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        value[a:z].sort()
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    return value[new], np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], ends])]
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The size of the largest set that can reach the threshold with one of size n if the first shingle they share is at this place."""
+    return (n - place) * (100 + percent) // percent - n
+
+
 class Orders:
     """Global orders of shingles: by frequency class, then by a hash that differs between orders."""
 
@@ -81,24 +100,21 @@ class Orders:
         order = np.argsort(frequent)
         self.look, self.level = Lookup(frequent), np.minimum(63, 1 + np.log2(np.maximum(counts[order], 1)).astype(np.uint64))
 
-    def prefixes(self, value: np.ndarray, edges: np.ndarray, percent: int, seeds: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order: prefix shingles of all sets, joined, and len + 1 offsets."""
-        n = np.diff(edges)
-        doc = np.repeat(np.arange(len(n)), n)
-        level = np.zeros(len(value), np.uint64)
+    def levels(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(value), np.uint64)
         at, k = self.look.find(value)
-        level[at] = self.level[k]
-        most, out = prefix_sizes(n, percent), []
-        for seed in seeds:
-            key = level << np.uint64(58) | mixed(value, seed) >> np.uint64(6)
-            order = np.lexsort((key, doc))
-            place = np.arange(len(value)) - edges[:-1][doc]
-            out.append((value[order][place < most[doc]], np.concatenate([[0], np.cumsum(most)])))
+        out[at] = self.level[k]
         return out
 
-
-def _list(value: np.ndarray, edges: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(signed(np.ascontiguousarray(value))))
+    def prefixes(self, value: np.ndarray, level: np.ndarray, edges: np.ndarray, most: np.ndarray, seed: int) -> np.ndarray:
+        """Where the first most[i] shingles of each set i stand in value, in the order of this seed."""
+        key = level << np.uint64(58) | mixed(value, seed) >> np.uint64(6)
+        out, end = np.zeros(int(most.sum()), np.int64), 0
+        for a, z, m in zip(edges[:-1].tolist(), edges[1:].tolist(), most.tolist(), strict=True):
+            if m:
+                out[end : end + m] = a + key[a:z].argsort()[:m]
+                end += m
+        return out
 
 
 def frequent_shingles(texts: DataFrame, size: int) -> Orders:
@@ -116,157 +132,234 @@ def frequent_shingles(texts: DataFrame, size: int) -> Orders:
     return Orders(value.view(np.uint64), n)
 
 
-def _first_pass(orders: Orders, size: int, percent: int):
-    """Size, set hash and first-order prefix of each document; in a batch only the smallest doc of equal sets keeps its prefix."""
+# --------------------------------------------------------------------------- rows of nodes
+
+
+def nodes_of(value: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """96 bits of each set's hash."""
+    raw, digest = memoryview(np.ascontiguousarray(value).view(np.uint8)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(digest(raw[8 * a : 8 * z])[:NODE] for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), f"V{NODE}")
+
+
+def node_array(nodes: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    out = pa.FixedSizeBinaryArray.from_buffers(pa.binary(NODE), len(nodes), [None, pa.py_buffer(np.ascontiguousarray(nodes))]).cast(pa.binary())
+    return out if missing is None else pc.if_else(pa.array(missing), pa.scalar(None, pa.binary()), out)
+
+
+def rows_of(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
+    """A batch of rows whose other columns are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    full = lambda x, t: x if isinstance(x, pa.Array) else pa.array(np.full(rows, x) if np.isscalar(x) else x, t)
+    return pa.RecordBatch.from_arrays([full(columns[c], kinds[t]) if c in columns else pa.nulls(rows, kinds[t]) for c, t in zip(names, types, strict=True)], names=list(names))
+
+
+def leads(nodes: np.ndarray) -> np.ndarray:
+    """Whether each node is the first of its kind in a batch."""
+    out = np.zeros(len(nodes), bool)
+    out[np.unique(nodes, return_index=True)[1]] = True
+    return out
+
+
+def _first_pass(orders: Orders, size: int, percent: int, buckets: int):
+    """A row for each document, and the prefix entries of each node of a batch, packed by bucket of the shingle; those of very frequent shingles one a row."""
 
     def run(batches):
         for rb in text_batches(batches, BYTES):
             value, edges = shingle_sets(rb.column("text"), size)
-            raw, n = memoryview(np.ascontiguousarray(value).view(np.uint8)), np.diff(edges)
-            digests = [xxhash.xxh3_128_intdigest(raw[8 * a : 8 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            s1 = np.array([x & (2**64 - 1) for x in digests], np.uint64)
-            s2 = np.array([x >> 64 for x in digests], np.uint64)
-            doc = rb.column("doc").to_numpy()
-            order = np.lexsort((doc, s2, s1))
-            lead = np.ones(len(doc), bool)
-            lead[order[1:]] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-            ((prefix, at),) = orders.prefixes(value, edges, percent, [1])
-            counts = np.diff(at)
-            prefix = prefix[np.repeat(lead, counts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(n), pa.array(signed(s1)), pa.array(signed(s2)), _list(prefix, np.concatenate([[0], np.cumsum(counts * lead)]))], names=["doc", "n", "s1", "s2", "prefix"]
-            )
+            n, nodes, doc = np.diff(edges), nodes_of(value, edges), rb.column("doc").to_numpy()
+            deal = (mixed(doc.view(np.uint64), 21) % np.uint64(buckets)).astype(np.int32)
+            yield rows_of(SENT, len(n), kind=DOC, doc=doc, n=n, node=node_array(nodes, n == 0), bucket=deal)
+            # unequal sets of which the smaller has n shingles share n / (n + 1) at most
+            most = np.where(leads(nodes) & (100 * n >= percent * (n + 1)), prefix_sizes(n, percent), 0)
+            level = orders.levels(value)
+            at = orders.prefixes(value, level, edges, most, 1)
+            own, place = spread(most)
+            far = reach(n[own], place, percent)
+            hot = level[at] >= HOT_LEVEL
+            if hot.any():
+                yield rows_of(SENT, int(hot.sum()), kind=LARGE, token=signed(value[at[hot]]), node=node_array(nodes[own[hot]]), n=n[own[hot]], reach=far[hot], bucket=deal[own[hot]])
+            at, own, far = at[~hot], own[~hot], far[~hot]
+            token = mixed(value[at], 22)
+            bucket = (token >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket)
+            entries = np.zeros(len(at), ENTRY)
+            entries["token"], entries["node"], entries["n"], entries["reach"] = token[order], nodes[own[order]], n[own[order]], far[order]
+            ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            raw = entries.tobytes()
+            begins = np.concatenate([[0], ends])[some]
+            packed = [raw[ENTRY.itemsize * a : ENTRY.itemsize * z] for a, z in zip(begins.tolist(), ends[some].tolist(), strict=True)]
+            yield rows_of(SENT, len(some), kind=PACKED, bucket=some, packed=pa.array(packed, pa.binary()))
 
     return run
 
 
+def _paired(batches):
+    """Of a bucket's entries: the pairs of groups of up to SMALL nodes that the bounds admit, and the rows of larger groups. Other rows go through."""
+    held = []
+    for rb in batches:
+        kind = rb.column("kind").to_numpy()
+        if (kind == PACKED).any():
+            held += rb.column("packed").drop_null().to_pylist()
+            rb = rb.filter(pa.array(kind != PACKED))
+        yield rb.select(FOUND_NAMES)
+    x = np.frombuffer(b"".join(held), ENTRY)
+    held = None
+    x = x[np.argsort(x["token"])]
+    alone = np.ones(len(x), bool)
+    same = x["token"][1:] == x["token"][:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    x = x[~alone]
+    if not len(x):
+        return
+    names, code = np.unique(x["node"], return_inverse=True)
+    code = code.reshape(-1)
+    order = np.lexsort((code, x["token"]))
+    x, code = x[order], code[order]
+    first = np.concatenate([[True], (x["token"][1:] != x["token"][:-1]) | (code[1:] != code[:-1])])
+    x, code = x[first], code[first]
+    begin = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
+    size = np.diff(np.append(begin, len(x)))
+    n, far = x["n"].astype(np.int64), x["reach"].astype(np.int64)
+    pairs = []
+    for k in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        i, j = np.triu_indices(k, 1)
+        some = begin[size == k]
+        step = max(1, (1 << 19) // len(i))
+        for a in range(0, len(some), step):
+            p, q = ((some[a : a + step, None] + y).ravel() for y in (i, j))
+            fits = (n[q] <= far[p]) & (n[p] <= far[q])
+            pairs.append(np.unique(code[p[fits]] * len(names) + code[q[fits]]))
+    if pairs:
+        pair = np.unique(np.concatenate(pairs))
+        yield rows_of(FOUND, len(pair), kind=PAIR, node=node_array(names[pair // len(names)]), other=node_array(names[pair % len(names)]))
+    large = np.repeat(size > SMALL, size)
+    if large.any():
+        yield rows_of(FOUND, int(large.sum()), kind=LARGE, token=x["token"][large].astype(np.int64), node=node_array(x["node"][large]), n=n[large], reach=far[large])
+
+
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+FILTERS = [f"p{i}" for i in range(2, ORDERS + 1)]
+SETS = "node binary, n long, set array<long>" + "".join(f", {p} array<int>" for p in FILTERS)
+
+
 def _second_pass(orders: Orders, size: int, percent: int):
-    """Whole sets, and the prefixes under the other orders, of documents that are candidates."""
+    """Whole sets, and 32 bits of the prefix shingles under the other orders."""
+
+    def lists(value, ends):
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value))
 
     def run(batches):
         for rb in text_batches(batches, BYTES):
             value, edges = shingle_sets(rb.column("text"), size)
-            rest = orders.prefixes(value, edges, percent, list(range(2, ORDERS + 1)))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("doc"), pa.array(np.diff(edges)), _list(value, edges), *(_list(v, e) for v, e in rest)], names=["doc", "n", "set", *(f"p{i}" for i in range(2, ORDERS + 1))]
-            )
+            nodes, n = nodes_of(value, edges), np.diff(edges)
+            new = leads(nodes) & (n > 0)
+            value, n, nodes = value[np.repeat(new, n)], n[new], nodes[new]
+            edges, most, level = np.concatenate([[0], np.cumsum(n)]), prefix_sizes(n, percent), orders.levels(value)
+            ends = np.concatenate([[0], np.cumsum(most)])
+            filters = [lists(mixed(value[orders.prefixes(value, level, edges, most, i)], 23).astype(np.uint32).view(np.int32), ends) for i in range(2, ORDERS + 1)]
+            yield pa.RecordBatch.from_arrays([node_array(nodes), pa.array(n), lists(signed(np.ascontiguousarray(value)), edges), *filters], names=["node", "n", "set", *FILTERS])
 
     return run
 
 
+# --------------------------------------------------------------------------- links
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share prefix shingles under every other order and whose whole sets reach the threshold."""
-    names = [f"p{i}" for i in range(2, ORDERS + 1)]
-    side = lambda x, cols: sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    near = pairs
-    for p in names:  # one filter after the other: each joins what the one before left, and its shuffles go before the next one's come
-        near = near.join(side("a", [p]), "a").join(side("b", [p]), "b").where(F.arrays_overlap(f"{p}_a", f"{p}_b")).select("a", "b")
-        near = written(near, "near")
-        swept(pairs.sparkSession)
-    both = near.join(side("a", ["set", "n"]), "a").join(side("b", ["set", "n"]), "b")
+
+    def side(x, columns, frame):
+        return frame.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    filters = sets.select("node", *FILTERS)
+    near = pairs.join(side("a", FILTERS, filters), "a").join(side("b", FILTERS, filters), "b")
+    for p in FILTERS:
+        near = near.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
+    near = written(near.select("a", "b"), "near")
+    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    whole = sets.select("node", "set", "n").join(wanted, "node", "left_semi")
+    both = near.join(side("a", ["set", "n"], whole), "a").join(side("b", ["set", "n"], whole), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
+    links = written(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct(), "links")
+    dropped(near)
+    return links
 
 
-def _ordered(x, y):
+def _ordered(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _long_enough(percent: int, m, n):
-    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
-
+def hub_pairs(large: DataFrame) -> DataFrame:
+    """Pairs of members of each large group with its hub: of the members that lie in most groups, the first."""
+    degree = large.groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = large.join(degree, "node").groupBy("token").agg(F.min(F.struct(-F.col("degree"), "node", "n", "reach")).alias("h"))
+    hubs = hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.reach").alias("hub_reach"))
+    near = large.join(hubs, "token").where((F.col("node") != F.col("hub")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("hub_reach")))
+    return near.select(*_ordered("node", "hub")).distinct()
 
-def _by_hub(groups: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """doc, hub and the number of tokens that they share, of members of a group and its hubs (token, hub, m)."""
-    near = groups.join(hubs, "token").where((F.col("doc") != F.col("hub")) & _long_enough(percent, F.col("m"), F.col("n")))
-    return near.groupBy("doc", "hub").agg(F.count("*").alias("common"))
 
+def cross_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """large has the representative, rep, of each node; labels the component of each doc. Pairs of members of a large group that lie in different components, one of them not in the group's most frequent one, and that the bounds admit."""
+    named = large.join(labels, large["rep"] == labels["doc"], "left").withColumn("label", F.coalesce("component", "rep"))
+    main = named.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    named = written(named.join(main.select("token", F.col("most.label").alias("main")), "token"), "named")
+    left = named.where("label <> main").select("token", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("reach").alias("reach_x"), F.col("label").alias("label_x"))
+    both = left.join(named, "token").where((F.col("label_x") != F.col("label")) & (F.col("n_x") <= F.col("reach")) & (F.col("n") <= F.col("reach_x")))
+    return both.select(*_ordered("x", "node")).distinct()
 
-def set_links(groups: DataFrame, sets: DataFrame, percent: int, known: DataFrame) -> DataFrame:
-    """doc and component of representatives that have links.
 
-    groups: token, doc, n and degree (tokens that a doc shares) of each prefix shingle of several classes; known: links to start from. First each member is compared with one hub, of
-    all hubs of its groups the one that it shares most tokens with; this joins most copies. Then groups that lie in several components are compared in full,
-    if there are at most FULL pairs a row, or by hubs again.
-    """
-    hub = lambda *key: F.min(F.struct(*key, "doc", "n"))
-    hubs = groups.groupBy("token").agg(hub(-F.col("degree")).alias("h")).select("token", F.col("h.doc").alias("hub"), F.col("h.n").alias("m"))
-    best = _by_hub(groups, hubs, percent).groupBy("doc").agg(F.max(F.struct("common", "hub")).alias("h"))
-    pairs = best.select(*_ordered(F.col("doc"), F.col("h.hub"))).distinct()
-    links = written(verified(pairs, sets, percent).unionByName(known), "links")
-    swept(groups.sparkSession)
-    labels = components(links)
-    for turn in range(HUB_ROUNDS + 1):
-        named = groups.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
-        open_ = named.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = written(named.join(open_.where("labels > 1").withColumn("cross", (F.col("s") * F.col("s") - F.col("q")) / 2 / F.col("s")), "token"), "open")
-        groups = left.select("token", "doc", "n", "degree", "label")
-        rows, cross = left.agg(F.count("*"), F.sum("cross")).first()
-        if not rows:
-            break
-        last = turn == HUB_ROUNDS or cross <= FULL * rows
-        if last:
-            other = groups.select("token", F.col("doc").alias("hub"), F.col("n").alias("m"), F.col("label").alias("of"))
-            near = groups.join(other, "token").where((F.col("doc") < F.col("hub")) & (F.col("label") != F.col("of")) & _long_enough(percent, F.col("m"), F.col("n")))
-            pairs = near.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
-        else:
-            many = groups.groupBy("token").agg(F.array(hub(-F.col("degree")), hub(F.xxhash64("doc", F.lit(turn))), hub(F.xxhash64("token", "doc", F.lit(turn)))).alias("hubs"))
-            hubs = many.select("token", F.explode(F.array_distinct(F.transform("hubs", lambda h: F.struct(h["doc"].alias("hub"), h["n"].alias("m"))))).alias("h")).select("token", "h.*")
-            pairs = _by_hub(groups, hubs, percent).select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
-            groups = groups.join(hubs.select("token", F.col("hub").alias("doc")), ["token", "doc"], "left_anti")
-        links = written(links.unionByName(verified(pairs, sets, percent)).distinct(), "links")
-        labels = components(links)
-        groups = groups.drop("label")
-        swept(groups.sparkSession)
-        if last:
-            break
-    return labels
+def looked_up(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc is among ids: by broadcast of up to BROADCAST_MOST ids, else by a shuffle."""
+    ids = written(ids.distinct(), "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_MOST else ids, "doc", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
     A null or empty text has no shingles and no links. Rows with shingles that share a doc_id are linked. A null doc_id sorts first, and the component_id of
-    what it links with is null. Columns other than doc_id and text are not read.
+    what it links with is null. Very long texts are sets as any other. Columns other than doc_id and text are not read.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
+    buckets = shuffle_partitions(spark)
     texts = docs.select(doc_key().alias("doc"), whole_text().alias("text"))
     orders = frequent_shingles(texts, size)
-    first = written(texts.mapInArrow(_first_pass(orders, size, percent), "doc long, n long, s1 long, s2 long, prefix array<long>"), "shingles")
-    sets = written(first.select("doc", "n", "s1", "s2"), "set-hashes")
-    classes = written(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.select(F.col("rep").alias("doc")).distinct()
-    tokens = first.where(F.size("prefix") > 0).select("doc", "n", "prefix").join(reps, "doc", "left_semi").select(F.explode("prefix").alias("token"), "doc", "n")
-    # unequal sets of which the smaller has n shingles share n / (n + 1) at most; of a token's classes in order of size, the neighbours are nearest in length
-    by_size = Window.partitionBy("token").orderBy("n", "doc")
-    tokens = tokens.where(100 * F.col("n") >= percent * (F.col("n") + 1)).withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    tokens = tokens.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
-    groups = written(tokens.select("token", "doc", "n").distinct(), "tokens")
-    dropped(first)
-    swept(spark)
-    degree = groups.groupBy("doc").agg(F.count("*").alias("degree"))
-    wanted = texts.join(degree.select("doc"), "doc", "left_semi")
-    names = ", ".join(f"p{i} array<long>" for i in range(2, ORDERS + 1))
-    whole = written(wanted.mapInArrow(_second_pass(orders, size, percent), f"doc long, n long, set array<long>, {names}"), "sets")
-    swept(spark)
+    sent = texts.mapInArrow(_first_pass(orders, size, percent, buckets), SENT)
+    found = written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_paired, FOUND), "found")
+    rows = found.where(F.col("kind") == DOC).select("doc", "n", "node")
+    classes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    large = written(found.where(F.col("kind") == LARGE).select("token", "node", "n", "reach").distinct(), "large")
+    pairs = found.where(F.col("kind") == PAIR).select(*_ordered("node", "other")).union(hub_pairs(large)).distinct()
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    whole = looked_up(texts, wanted.join(classes, "node").select(F.col("rep").alias("doc")))
+    sets = written(whole.mapInArrow(_second_pass(orders, size, percent), SETS).dropDuplicates(["node"]), "sets")
+    links = verified(pairs, sets, percent)
     # rows that share a doc_id but not their set link their classes
-    own = sets.where("n > 0").select("doc", "s1", "s2").distinct()
-    shared = own.join(own.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1"), "doc").join(classes, ["s1", "s2"]).select("doc", "rep")
-    known = shared.join(shared.groupBy("doc").agg(F.min("rep").alias("least")), "doc").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    labels = set_links(written(groups.join(degree, "doc"), "groups"), whole, percent, known)
-    swept(spark)
-    # class -> component; classes of more than rows / HOT_SHARE copies, of which there are HOT_SHARE at most, by broadcast
-    of = classes.join(labels, classes["rep"] == labels["doc"], "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component"))
-    of = written(of, "class-components")
-    n_rows = sets.count()
-    hot = of.where(F.col("copies") > n_rows / HOT_SHARE).select(F.struct("s1", "s2").alias("k"), F.col("component").alias("hot"))
-    cold = of.where(F.col("copies") <= n_rows / HOT_SHARE).select("s1", "s2", F.lit(0).cast("long").alias("salt"), F.col("component").alias("cold"))
-    rows = sets.select("doc", "n", "s1", "s2", F.struct("s1", "s2").alias("k")).join(F.broadcast(hot), "k", "left").drop("k")
-    rows = rows.withColumn("salt", F.when(F.col("hot").isNull() & (F.col("n") > 0), F.lit(0)).otherwise(F.col("doc")))
-    rows = rows.join(cold, ["s1", "s2", "salt"], "left")
-    id_of = lambda c: F.when(c != NULL_ID, c)
-    return rows.select(id_of(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), id_of(F.coalesce("hot", "cold", "doc")).alias("component_id"))
+    own = rows.where("n > 0").select("doc", "node").distinct()
+    shared = own.join(own.groupBy("doc").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1"), "doc")
+    links = links.union(shared.where(F.col("least") != F.col("node")).select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+    def labelled(links):
+        """doc and component of the representatives that have links."""
+        named = lambda x: classes.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"))
+        return components(links.join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+
+    labels = labelled(links)
+    if large.take(1):
+        reps = classes.select("node", "rep")
+        more = verified(cross_pairs(large.join(reps, "node"), labels), sets, percent)
+        labels = labelled(links.union(more)) if more.take(1) else labels
+    # class -> component, of classes that have copies or links
+    of = classes.join(labels, classes["rep"] == labels["doc"], "left").where("copies > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "rep").alias("component"))
+    bare = rows.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
+    full = rows.where("n > 0").join(written(of, "class-components"), "node", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    id_of = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return full.union(bare).select(id_of("doc").alias("doc_id"), F.col("n").alias("n_shingles"), id_of("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

@@ -65,11 +65,25 @@ def run(spark, rows):
     return sorted(map(tuple, j.jaccard_components(df).collect()), key=str)
 
 
-@pytest.mark.parametrize("full", [16, 0])
-def test_against_brute_force(spark, monkeypatch, full):
-    monkeypatch.setattr(j, "FULL", full)
-    monkeypatch.setattr(j, "HUB_ROUNDS", 2)
-    rows = corpus(full + 2)
+@pytest.mark.parametrize("small", [64, 3, 0])
+def test_against_brute_force(spark, monkeypatch, small):
+    """With small groups, with most groups large, and with large groups only."""
+    monkeypatch.setattr(j, "SMALL", small)
+    rows = corpus(small + 2)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_hot_shingles_and_lookup_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(j, "HOT_LEVEL", 2)
+    monkeypatch.setattr(j, "BROADCAST_MOST", 0)
+    rows = corpus(5)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(3)
+    w = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:30_000] + ["x"] + w[30_000:])), (3, " ".join(w[:40_000])), (4, "y" * 3_000_000), (5, "Y" * 3_000_000 + " "), (6, "y" * 2_999_999)]
     assert run(spark, rows) == brute(rows)
 
 
