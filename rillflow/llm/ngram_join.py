@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import (
@@ -242,25 +242,37 @@ def _paired(batches):
 
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 FILTERS = [f"p{i}" for i in range(2, ORDERS + 1)]
-SETS = "node binary, n long, set array<long>" + "".join(f", {p} array<int>" for p in FILTERS)
 
 
-def _second_pass(orders: Orders, size: int, percent: int):
-    """Whole sets, and 32 bits of the prefix shingles under the other orders."""
+def _lists(value: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(value))
 
-    def lists(value, ends):
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value))
+
+def _batch_sets(batches, size: int):
+    """Of each batch: the distinct nodes, their sets joined, and the sets' sizes."""
+    for rb in text_batches(batches, BYTES):
+        value, edges = shingle_sets(rb.column("text"), size)
+        nodes, n = nodes_of(value, edges), np.diff(edges)
+        new = leads(nodes) & (n > 0)
+        yield nodes[new], value[np.repeat(new, n)], n[new]
+
+
+def _filter_rows(orders: Orders, size: int, percent: int):
+    """32 bits of the prefix shingles of each node under each order but the first, in that order."""
 
     def run(batches):
-        for rb in text_batches(batches, BYTES):
-            value, edges = shingle_sets(rb.column("text"), size)
-            nodes, n = nodes_of(value, edges), np.diff(edges)
-            new = leads(nodes) & (n > 0)
-            value, n, nodes = value[np.repeat(new, n)], n[new], nodes[new]
+        for nodes, value, n in _batch_sets(batches, size):
             edges, most, level = np.concatenate([[0], np.cumsum(n)]), prefix_sizes(n, percent), orders.levels(value)
-            ends = np.concatenate([[0], np.cumsum(most)])
-            filters = [lists(mixed(value[orders.prefixes(value, level, edges, most, i)], 23).astype(np.uint32).view(np.int32), ends) for i in range(2, ORDERS + 1)]
-            yield pa.RecordBatch.from_arrays([node_array(nodes), pa.array(n), lists(signed(np.ascontiguousarray(value)), edges), *filters], names=["node", "n", "set", *FILTERS])
+            own = [_lists(mixed(value[orders.prefixes(value, level, edges, most, i)], 23).astype(np.uint32).view(np.int32), most) for i in range(2, ORDERS + 1)]
+            yield pa.RecordBatch.from_arrays([node_array(nodes), pa.array(n), *own], names=["node", "n", *FILTERS])
+
+    return run
+
+
+def _set_rows(size: int):
+    def run(batches):
+        for nodes, value, n in _batch_sets(batches, size):
+            yield pa.RecordBatch.from_arrays([node_array(nodes), pa.array(n), _lists(signed(np.ascontiguousarray(value)), n)], names=["node", "n", "set"])
 
     return run
 
@@ -268,24 +280,40 @@ def _second_pass(orders: Orders, size: int, percent: int):
 # --------------------------------------------------------------------------- links
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share prefix shingles under every other order and whose whole sets reach the threshold."""
+class Sets:
+    """Fetches filters and whole sets of nodes from the texts of their representatives."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, orders: Orders, size: int, percent: int):
+        self.texts, self.classes, self.orders, self.size, self.percent = texts, classes, orders, size, percent
+
+    def fetched(self, nodes: DataFrame, run, schema: str, name: str) -> DataFrame:
+        """Rows of the nodes, by broadcast of up to BROADCAST_MOST ids, else by a shuffle. A node may have several equal rows."""
+        ids = written(nodes.join(self.classes, "node").select(F.col("rep").alias("doc")).distinct(), "ids")
+        texts = self.texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_MOST else ids, "doc", "left_semi")
+        return written(texts.mapInArrow(run, schema), name)
 
-    def side(x, columns, frame):
-        return frame.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    def filters(self, nodes: DataFrame) -> DataFrame:
+        return self.fetched(nodes, _filter_rows(self.orders, self.size, self.percent), "node binary, n long" + "".join(f", {p} array<int>" for p in FILTERS), "filters")
 
-    filters = sets.select("node", *FILTERS)
-    near = pairs.join(side("a", FILTERS, filters), "a").join(side("b", FILTERS, filters), "b")
-    for p in FILTERS:
-        near = near.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    near = written(near.select("a", "b"), "near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    whole = sets.select("node", "set", "n").join(wanted, "node", "left_semi")
-    both = near.join(side("a", ["set", "n"], whole), "a").join(side("b", ["set", "n"], whole), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    links = written(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct(), "links")
-    dropped(near)
-    return links
+    def admitted(self, p: str) -> Column:
+        """Whether two prefixes share a shingle at places that leave enough behind it; the first one that they share leaves most."""
+        left = lambda x, v: F.col(f"n_{x}") + 1 - F.array_position(f"{p}_{x}", v)
+        least = self.percent * (F.col("n_a") + F.col("n_b"))
+        return F.exists(F.array_intersect(f"{p}_a", f"{p}_b"), lambda v: (100 + self.percent) * F.least(left("a", v), left("b", v)) >= least)
+
+    def verified(self, pairs: DataFrame, filters: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose prefixes admit them under every other order too and whose whole sets reach the threshold."""
+        side = lambda x, frame: frame.dropDuplicates(["node"]).select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in frame.columns])
+        near = pairs.join(side("a", filters), "a").join(side("b", filters), "b")
+        for p in FILTERS:
+            near = near.where(self.admitted(p))
+        near = written(near.select("a", "b"), "near")
+        sets = self.fetched(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _set_rows(self.size), "node binary, n long, set array<long>", "sets")
+        both = near.join(side("a", sets), "a").join(side("b", sets), "b")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        links = written(both.where(100 * shared >= self.percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct(), "links")
+        dropped(near, sets)
+        return links
 
 
 def _ordered(x: str, y: str):
@@ -311,12 +339,6 @@ def cross_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select(*_ordered("x", "node")).distinct()
 
 
-def looked_up(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc is among ids: by broadcast of up to BROADCAST_MOST ids, else by a shuffle."""
-    ids = written(ids.distinct(), "ids")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_MOST else ids, "doc", "left_semi")
-
-
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
@@ -336,9 +358,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     pairs = found.where(F.col("kind") == PAIR).select(*_ordered("node", "other")).union(hub_pairs(large)).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    whole = looked_up(texts, wanted.join(classes, "node").select(F.col("rep").alias("doc")))
-    sets = written(whole.mapInArrow(_second_pass(orders, size, percent), SETS).dropDuplicates(["node"]), "sets")
-    links = verified(pairs, sets, percent)
+    sets = Sets(texts, classes, orders, size, percent)
+    filters = sets.filters(wanted)
+    links = sets.verified(pairs, filters)
     # rows that share a doc_id but not their set link their classes
     own = rows.where("n > 0").select("doc", "node").distinct()
     shared = own.join(own.groupBy("doc").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1"), "doc")
@@ -352,9 +374,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     labels = labelled(links)
     if large.take(1):
         reps = classes.select("node", "rep")
-        more = verified(cross_pairs(large.join(reps, "node"), labels), sets, percent)
-        labels = labelled(links.union(more)) if more.take(1) else labels
-    # class -> component, of classes that have copies or links
+        cross = written(cross_pairs(large.join(reps, "node"), labels), "cross")
+        if cross.take(1):
+            labels = labelled(links.union(sets.verified(cross, filters)))
+    # class to component, of classes that have copies or links
     of = classes.join(labels, classes["rep"] == labels["doc"], "left").where("copies > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "rep").alias("component"))
     bare = rows.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
     full = rows.where("n > 0").join(written(of, "class-components"), "node", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
