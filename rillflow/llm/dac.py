@@ -98,7 +98,7 @@ def at(blob: bytes, places: np.ndarray) -> np.ndarray:
             break
         block, inside = places // BLOCK, places % BLOCK
         held = np.unpackbits(bits.reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
-        places = ranks[block].astype(np.int64) + (held * (np.arange(BLOCK) < inside[:, None])).sum(axis=1)
+        places = ranks[block].astype(np.int64) + (held * (np.arange(BLOCK) < inside[:, None])).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -120,6 +120,90 @@ def _tokenizer(path: str):
     return t, bytes_in
 
 
+class Pieces:
+    """Ids of pieces of text, kept for up to most pieces and most_bytes of them in a worker."""
+
+    def __init__(self, tokenizer: str, most: int = 300_000, most_bytes: int = 24 << 20):
+        self.tokenizer, self.most, self.most_bytes = tokenizer, most, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.first, self.count, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.used = np.zeros(0, np.int32)
+
+    def of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All known ids joined, and the first place and number of ids of each of the given distinct pieces."""
+        if len(self.index) > self.most or self.bytes > self.most_bytes:
+            self._keep_repeated()
+        index = self.index
+        new = [w for w in pieces if w not in index]
+        if new:
+            ids, counts = self._encoded(new)
+            index.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
+            self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, counts])
+            self.bytes += sum(map(len, new))
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
+        at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        self.used[at] += 1
+        return self.flat, self.first[at], self.count[at]
+
+    def _keep_repeated(self) -> None:
+        """Keeps what more than one batch had, or nothing where that is still too much."""
+        stay = [w for w, i in self.index.items() if self.used[i] > 1]
+        at = np.fromiter((self.index[w] for w in stay), np.int64, len(stay))
+        flat, first, count = self.flat, self.first[at], self.count[at]
+        self.clear()
+        size = sum(map(len, stay))
+        if len(stay) <= self.most // 2 and size <= self.most_bytes // 2:
+            group, place = spread(count)
+            self.index, self.bytes = {w: i for i, w in enumerate(stay)}, size
+            self.flat, self.first, self.count, self.used = flat[first[group] + place], np.cumsum(count) - count, count, np.zeros(len(stay), np.int32)
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, joined, and how many each has.
+
+        Pieces of one run of white space before other characters are encoded side by side and parted by their lengths in bytes; the others alone.
+        """
+        t, bytes_in = _tokenizer(self.tokenizer)
+        n = len(pieces)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        ends = np.cumsum(size)
+        plain = SPACE[data[ends - size]] & ~SPACE[data[ends - 1]]  # begins with white space and ends with another character
+        inner = SPACE[data[1:]] & ~SPACE[data[:-1]]  # white space behind another character
+        inner[ends[:-1] - 1] = False
+        plain[np.searchsorted(ends, np.flatnonzero(inner), side="right")] = False
+        plain &= ~odd_documents(data, np.concatenate([[0], ends]))
+        side, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        out, counts = [], np.zeros(n, np.int64)
+        for i in range(0, len(alone), 1000):
+            some = alone[i : i + 1000]
+            for k, e in zip(some.tolist(), t.encode_batch([pieces[j].decode("utf-8") for j in some.tolist()], add_special_tokens=False), strict=True):
+                out.append(np.array(e.ids, np.uint32))
+                counts[k] = len(e.ids)
+        for i in range(0, len(side), 4000):
+            some = side[i : i + 4000]
+            joined = b"".join(pieces[j] for j in some.tolist()).decode("utf-8")
+            got = np.array(t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            stops, reached = np.cumsum(size[some]), np.cumsum(bytes_in[got])
+            stop = np.searchsorted(reached, stops) + 1
+            if not np.array_equal(reached[stop - 1], stops):
+                raise ValueError("a token reaches over white space")
+            out.append(got)
+            counts[some] = np.diff(np.concatenate([[0], stop]))
+        of = np.concatenate([alone, side])
+        ids = np.concatenate(out)
+        begins = np.zeros(n, np.int64)
+        begins[of] = np.cumsum(counts[of]) - counts[of]
+        group, place = spread(counts)
+        return ids[begins[group] + place], counts
+
+
+_KEPT: dict[str, Pieces] = {}
+
+
 def odd_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which documents hold white space other than \\x20 and \\x09-\\x0D; only the others may be cut at white space."""
     at_ = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
@@ -139,9 +223,8 @@ def encoded(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch of texts, joined, and the number of ids of each.
 
     No token of byte-level BPE reaches from a character that is not white space into following white space. So texts are
-    cut before each run of white space, each distinct piece of the batch is encoded once, and the pieces' ids are gathered.
+    cut before each run of white space, each distinct piece is encoded once, and the pieces' ids are gathered.
     """
-    t, bytes_in = _tokenizer(tokenizer)
     data, offsets = bytes_of(column)
     n = len(offsets) - 1
     if not len(data):
@@ -158,29 +241,8 @@ def encoded(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     pieces = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    codes, words = pieces.indices.to_numpy(zero_copy_only=False), pieces.dictionary.to_pylist()
-    # pieces with white space before other characters can be encoded side by side, the others alone
-    whole = set(codes[np.searchsorted(starts, offsets[:-1][odd])].tolist()) if odd.any() else set()
-    alone = [i for i, w in enumerate(words) if i in whole or w[0] > 32 or not (9 <= w[0] <= 13 or w[0] == 32) or not w.strip(b" \t\n\x0b\x0c\r")]
-    ids: list = [None] * len(words)
-    for i in range(0, len(alone), 1000):
-        some = alone[i : i + 1000]
-        for k, e in zip(some, t.encode_batch([words[j].decode("utf-8") for j in some], add_special_tokens=False), strict=True):
-            ids[k] = np.array(e.ids, np.uint32)
-    lone = set(alone)
-    rest = [i for i in range(len(words)) if i not in lone]
-    for i in range(0, len(rest), 4000):
-        some = rest[i : i + 4000]
-        got = np.array(t.encode(b"".join(words[j] for j in some).decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-        ends = np.cumsum([len(words[j]) for j in some])
-        reach = np.cumsum(bytes_in[got])
-        stop = np.searchsorted(reach, ends) + 1
-        if not np.array_equal(reach[stop - 1], ends):
-            raise ValueError("a token reaches over white space")
-        for k, a, b in zip(some, np.concatenate([[0], stop[:-1]]), stop, strict=True):
-            ids[k] = got[a:b]
-    lengths = np.array([len(x) for x in ids])
-    flat, first = np.concatenate(ids), np.cumsum(lengths) - lengths
+    codes = pieces.indices.to_numpy(zero_copy_only=False)
+    flat, first, lengths = _KEPT.setdefault(tokenizer, Pieces(tokenizer)).of(pieces.dictionary.to_pylist())
     group, place = spread(lengths[codes])
     joined = flat[first[codes][group] + place]
     before = np.concatenate([[0], np.cumsum(lengths[codes])])
@@ -268,23 +330,30 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """The id at each place (column place: long) of the whole sequence, by random access within segments; places beyond the end have none."""
+    """The id at each place (column place: long) of the whole sequence, by random access within segments; places beyond the end have none.
+
+    Places are found in the segments' headers first, so that each wanted segment is read once, with all its places.
+    """
     bases = first_places(spark, path)
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     base = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]) if bases else F.create_map(F.lit(0), F.lit(0))
-    segments = files.select((base[F.col("part")] + F.col("part_start")).alias("a"), "n_tokens", "codes")
+    headers = files.select("part", "seq", (base[F.col("part")] + F.col("part_start")).alias("a"), "n_tokens")
     cell = lambda x: F.floor(x / F.lit(SEGMENT_TOKENS))
-    spans = segments.withColumn("cell", F.explode(F.sequence(cell(F.col("a")), cell(F.col("a") + F.col("n_tokens") - 1))))
-    wanted = places.select(F.col("place").cast("long").alias("place")).withColumn("cell", cell(F.col("place")))
+    spans = headers.withColumn("cell", F.explode(F.sequence(cell(F.col("a")), cell(F.col("a") + F.col("n_tokens") - 1))))
+    own = places.select(F.col("place").cast("long").alias("place"))
+    wanted = own.distinct().withColumn("cell", cell(F.col("place")))
     hit = wanted.join(spans, (wanted["cell"] == spans["cell"]) & (wanted["place"] >= spans["a"]) & (wanted["place"] < spans["a"] + spans["n_tokens"]))
+    # as many places a segment as it has tokens, at most
+    lists = hit.groupBy("part", "seq", "a").agg(F.collect_list("place").alias("places"))
 
     def run(batches):
         for b in batches:
-            place, a = b.column("place").to_numpy(), b.column("a").to_numpy()
-            ids = [int(at(blob, [p - s])[0]) for p, s, blob in zip(place, a, b.column("codes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "id": pa.array(ids, pa.int64())})
+            for a, wanted, blob in zip(b.column("a").to_pylist(), b.column("places").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                x = np.array(wanted, np.int64)
+                yield pa.RecordBatch.from_pydict({"place": pa.array(x), "id": pa.array(at(blob, x - a).astype(np.int64))})
 
-    return hit.select("place", "a", "codes").mapInArrow(run, "place long, id long")
+    found = files.select("part", "seq", "codes").join(lists, ["part", "seq"]).select("a", "places", "codes").mapInArrow(run, "place long, id long")
+    return own.join(found, "place")
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

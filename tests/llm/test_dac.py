@@ -5,6 +5,7 @@ import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillflow.llm import dac
@@ -22,6 +23,19 @@ def test_segment_round_trip_and_random_access(ids):
     assert np.array_equal(dac.at(blob, places), x[places])
 
 
+def test_random_access_to_large_ids():
+    x = np.array([256, 1, 70_000, 50_256, 2**32 - 1, 255] * 700, np.uint32)
+    places = np.random.default_rng(1).permutation(len(x))
+    assert np.array_equal(dac.at(dac.packed(x), places), x[places])
+
+
+def test_cached_pieces_are_dropped_and_kept(monkeypatch):
+    """Batches that overflow the cache give the same ids."""
+    monkeypatch.setitem(dac._KEPT, PATH, dac.Pieces(PATH, most=8))
+    for k in range(6):
+        check([" ".join(f"w{j}" for j in range(k, k + 7)), "the same words in each batch"])
+
+
 def plain(texts):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
@@ -56,8 +70,10 @@ def test_files(spark, tmp_path):
         start += len(ids)
     assert got == want
     flat = [x for ids in plain([r[1] for r in order]) for x in [*ids, 0]]
-    places = spark.createDataFrame([(0,), (5,), (len(flat) - 1,), (len(flat),)], "place long")
-    assert sorted(map(tuple, dac.tokens_at(spark, str(tmp_path / "t"), places).collect())) == [(i, flat[i]) for i in (0, 5, len(flat) - 1)]
+    places = spark.createDataFrame([(0,), (5,), (5,), (len(flat) - 1,), (len(flat),)], "place long")
+    assert sorted(map(tuple, dac.tokens_at(spark, str(tmp_path / "t"), places).collect())) == [(i, flat[i]) for i in (0, 5, 5, len(flat) - 1)]
+    every = spark.range(len(flat)).select(F.col("id").alias("place"))
+    assert [r.id for r in dac.tokens_at(spark, str(tmp_path / "t"), every).orderBy("place").collect()] == flat
 
 
 def test_empty_table(spark, tmp_path):
