@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -217,6 +218,14 @@ def text_batches(batches, limit: int = 4 << 20):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     held = None
     pa.default_memory_pool().release_unused()  # an idle worker keeps nothing
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import bytes_of, coded, hashed, mixed, small_batches, spread, text_batches, whole_text, word_spans
 
 #: At most so many labelled rows are learned from: those with the least hash of their id.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 6000
 BUCKETS, DIMS, GRAMS, EPOCHS, RATE = 1 << 15, 16, (3, 4, 5), 6, 0.5
 #: A repeated word counts as so many features, about as many as a word has n-grams.
 REPEAT = 16
-BYTES = 3 << 20
+BYTES = 1 << 20
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +119,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of documents that are not here would use up the bound
     known = known.select("doc_id", "y", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(train_rows)
     d = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known), "doc_id").select("rank", "y", "text")
     got = d.mapInArrow(_document_features, "rank long, y int, features binary").repartition(1).mapInArrow(_train, "weights binary, bias double").collect()

@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark):
     one = p.classify(spark, docs, SF)
     assert one.columns == columns and {r.doc_id for r in one.collect()} == good and 0 < len(good) < docs.count()
     two = p.deduplicate(spark, one, SF)
-    want = {i for i, _, c in brute_links([(r.doc_id, r.text) for r in one.collect()]) if i == c}
+    want = {i for i, _, c in brute_links([(r.doc_id, r.text) for r in one.collect()], p.PERCENT, p.SHINGLE) if i == c}
     assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(want) and len(want) < len(good)
     three = p.decontaminate_(spark, two, SF)
     bad = {x[0] for x in brute_items([(r.doc_id, r.text) for r in two.collect()], [(r.item_id, r.text) for r in items.collect()]) if x[5]}
