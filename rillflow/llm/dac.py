@@ -123,7 +123,7 @@ def _tokenizer(path: str):
 class Pieces:
     """Ids of pieces of text, kept for up to most pieces and most_bytes of them in a worker."""
 
-    def __init__(self, tokenizer: str, most: int = 300_000, most_bytes: int = 24 << 20):
+    def __init__(self, tokenizer: str, most: int = 200_000, most_bytes: int = 12 << 20):
         self.tokenizer, self.most, self.most_bytes = tokenizer, most, most_bytes
         self.clear()
 
