@@ -88,16 +88,24 @@ def _log_sum_exp(xs: Column) -> Column:
     return top + F.ln(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
 
 
-def mixture_mean(mu: Column, log_pi: Column) -> Column:
-    """Mean of a Gaussian mixture; log weights are normalised first."""
-    z = _log_sum_exp(log_pi)
-    return F.aggregate(F.zip_with(mu, log_pi, lambda m, p: m * F.exp(p - z)), F.lit(0.0), lambda a, x: a + x)
+def _log_mean(mu: Column, sigma: Column, log_pi: Column, scale: float, offset: float) -> Column:
+    """Log of the mean of exp(x), where x is a Gaussian mixture in scaled units; log weights are normalised first."""
+    means = F.zip_with(mu, sigma, lambda m, s: m * scale + offset + 0.5 * (s * scale) * (s * scale))
+    return _log_sum_exp(F.zip_with(means, log_pi, lambda m, p: m + p)) - _log_sum_exp(log_pi)
 
 
-def mixture_std(mu: Column, sigma: Column, log_pi: Column, floor: float = 1e-6) -> Column:
-    z, mean = _log_sum_exp(log_pi), mixture_mean(mu, log_pi)
-    second = F.zip_with(F.zip_with(mu, sigma, lambda m, s: m * m + s * s), log_pi, lambda x, p: x * F.exp(p - z))
-    return F.sqrt(F.greatest(F.aggregate(second, F.lit(0.0), lambda a, x: a + x) - mean * mean, F.lit(floor * floor)))
+def mixture_mean(mu: Column, sigma: Column, log_pi: Column, scale: float = 1.0, offset: float = 0.0) -> Column:
+    """Mean in natural units of a variable whose log1p, scaled, is a Gaussian mixture."""
+    return F.exp(_log_mean(mu, sigma, log_pi, scale, offset)) - 1
+
+
+def mixture_std(mu: Column, sigma: Column, log_pi: Column, scale: float = 1.0, offset: float = 0.0, floor: float = 1e-6) -> Column:
+    """Deviation of the same: variances within the parts and between their means; the variance is floor at least."""
+    z, mean = _log_sum_exp(log_pi), F.exp(_log_mean(mu, sigma, log_pi, scale, offset))
+    within = F.zip_with(mu, sigma, lambda m, s: F.exp(2 * (m * scale + offset) + (s * scale) * (s * scale)) * F.expm1((s * scale) * (s * scale)))
+    squares = F.zip_with(mu, sigma, lambda m, s: F.exp(2 * (m * scale + offset) + (s * scale) * (s * scale)))
+    total = F.zip_with(F.zip_with(within, squares, lambda v, q: v + q), log_pi, lambda x, p: x * F.exp(p - z))
+    return F.sqrt(F.greatest(F.aggregate(total, F.lit(0.0), lambda a, x: a + x) - mean * mean, F.lit(floor)))
 
 
 def mixture_nll(y: Column, mu: Column, sigma: Column, log_pi: Column, limit: float = 20.0) -> Column:

@@ -1,12 +1,15 @@
-"""River graphs as edge tables: edge src -> dst flows downstream. Loops double pointers, so they end after the logarithm of the depth."""
+"""River graphs as edge tables: edge src -> dst flows downstream. Outlets double pointers, so they end after the logarithm of the depth; upstream sets go level by level."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's shared folder where one is set, else by caching on disk."""
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the cluster's shared folder, spark.checkpoint.dir; in one of its own only where that is unset, as in tests."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
@@ -34,10 +37,10 @@ def outlets(nodes: DataFrame, edges: DataFrame, length: str | None = None) -> Da
     step = edges.select("src", "dst", (F.col(length) if length else F.lit(1.0)).cast("double").alias("d"))
     at = nodes.select("node").join(step, F.col("node") == F.col("src"), "left").select("node", F.col("dst").alias("ptr"), F.lit(1).cast("long").alias("depth"), F.coalesce("d", F.lit(0.0)).alias("distance"))
     at = at.withColumn("depth", F.when(F.col("ptr").isNull(), 0).otherwise(F.col("depth"))).withColumn("ptr", F.coalesce("ptr", "node"))
-    at = _cut(at)
+    at = cut(at)
     for _ in range(nodes.count().bit_length() + 1):  # doubling passes any depth in so many rounds; what still moves then is on a cycle
         far = at.select(F.col("node").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"), F.col("distance").alias("_x"))
-        new = _cut(at.join(far, "ptr", "left").select("node", F.coalesce("_p", "ptr").alias("new"), "ptr", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("_x", F.lit(0.0))).alias("distance")))
+        new = cut(at.join(far, "ptr", "left").select("node", F.coalesce("_p", "ptr").alias("new"), "ptr", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("_x", F.lit(0.0))).alias("distance")))
         moved = bool(new.where("new <> ptr").take(1))
         at = new.select("node", F.col("new").alias("ptr"), "depth", "distance")
         if not moved:
@@ -48,28 +51,28 @@ def outlets(nodes: DataFrame, edges: DataFrame, length: str | None = None) -> Da
     return at.select("node", F.when(ok, F.col("ptr")).alias("outlet"), F.when(ok, F.col("depth")).alias("depth"), F.when(ok, F.col("distance")).alias("distance"))
 
 
-def upstream(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node and depth of all nodes upstream of the starts (node), themselves included; level by level, least depth."""
     level = starts.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("depth"))
-    seen = level = _cut(level.distinct())
-    for d in range(1, most):
+    seen = level = cut(level.distinct())
+    for d in itertools.count(1):
         level = level.join(edges, F.col("node") == F.col("dst")).select("start", F.col("src").alias("node"), F.lit(d).cast("long").alias("depth")).distinct()
-        level = _cut(level.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        level = cut(level.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if not level.take(1):
             break
-        seen = _cut(seen.unionByName(level))
+        seen = cut(seen.unionByName(level))
     return seen
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and component (its least node), for any graph: least labels travel along edges and jump to their labels' labels."""
-    both = _cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    lab = _cut(nodes.select("node", F.col("node").alias("label")))
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    lab = cut(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(lab, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("m"))
         new = lab.join(near, F.col("node") == F.col("src"), "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("m"))
         jump = new.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        new = _cut(new.join(jump, "m", "left").select("node", "label", F.least("m", F.coalesce("mm", "m")).alias("new")))
+        new = cut(new.join(jump, "m", "left").select("node", "label", F.least("m", F.coalesce("mm", "m")).alias("new")))
         if not new.where("new <> label").take(1):
             return new.select("node", F.col("new").alias("component"))
         lab = new.select("node", F.col("new").alias("label"))
@@ -77,10 +80,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that are left when sources and sinks are peeled off until none is."""
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     while True:
         kept = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        kept = _cut(kept)
+        kept = cut(kept)
         if kept.count() == e.count():
             return nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("node")
         e = kept

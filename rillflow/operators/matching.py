@@ -21,9 +21,10 @@ def buffer_join(left: DataFrame, right: DataFrame, radius: float, how: str = "in
     return left.join(hit.drop("x", "y"), "id", "left")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
-    """The nearest right row within the cut-off; all ties stay."""
+def nearest_join(left: DataFrame, right: DataFrame, most: float, others: bool = False) -> DataFrame:
+    """The nearest right row within the cut-off, with others only rows of another id; all ties stay."""
     hit = buffer_join(left, right, most)
+    hit = hit.where("id <> rid") if others else hit
     best = hit.groupBy("id").agg(F.min("distance").alias("_d"))
     return hit.join(best, "id").where(F.col("distance") == F.col("_d")).drop("_d")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.windows import rows_before
+
 #: Rows count where observation and prediction are above LEAST, and sites where more than FEWEST rows do.
 LEAST, FEWEST = 0.001, 8
 
@@ -14,9 +16,12 @@ LEAST, FEWEST = 0.001, 8
 def _prepared(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
     """Valid pairs o, p with what needs a window: average ranks and group means."""
     d = df.where((F.col(obs) > LEAST) & (F.col(pred) > LEAST) & ~F.isnan(obs) & ~F.isnan(pred)).withColumns({"o": F.col(obs).cast("double"), "p": F.col(pred).cast("double")})
-    d = d.withColumn("_g", F.struct(*keys) if keys else F.lit(0))
-    w = Window.partitionBy("_g")
-    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("_g", c)) - 1) / 2
+    if not keys:  # one group of all rows: ranks by ranges of values, means joined as one row
+        d = rows_before(rows_before(d, [F.col("o")], "_o"), [F.col("p")], "_p")
+        d = d.withColumns({"ro": F.col("_o") + (F.col("_o_ties") + 1) / 2, "rp": F.col("_p") + (F.col("_p_ties") + 1) / 2}).drop("_o", "_p", "_o_ties", "_p_ties")
+        return d.crossJoin(F.broadcast(d.agg(F.avg("o").alias("mo"), F.avg("p").alias("mp"))))
+    w = Window.partitionBy(*keys)
+    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(w.orderBy(c).rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
     return d.withColumns({"ro": rank("o"), "rp": rank("p"), "mo": F.avg("o").over(w), "mp": F.avg("p").over(w)})
 
 
@@ -60,8 +65,8 @@ METRICS: dict[str, Callable[[], Column]] = {
     "kge_r": lambda: _corr("o", "p"),
     "kge_alpha": lambda: _over(F.stddev_pop("p"), F.stddev_pop("o")),
     "kge_beta": lambda: _over(F.avg("p"), F.avg("o")),
-    "sigE": lambda: F.percentile(F.abs((F.col("p") - F.col("mp") - (F.col("o") - F.col("mo"))) / F.col("o")), 0.67),
-    "rRMSE": lambda: _over(F.sqrt(_sse() / F.count("o")), F.avg("p")),
+    "sigE": lambda: F.percentile(F.abs((F.col("p") - F.col("mp") - (F.col("o") - F.col("mo"))) / F.col("mo")), 0.67),
+    "rRMSE": lambda: 100 * _over(F.sqrt(_sse() / F.count("o")), F.avg("p")),
     "MAPE": lambda: F.avg(F.abs((F.col("p") - F.col("o")) / F.col("o"))),
     "nBias": lambda: F.median((F.col("p") - F.col("o")) / F.col("o")),
     "RE": lambda: 100 * (F.exp(F.median(F.abs(F.ln(F.col("p") / F.col("o"))))) - 1),
@@ -86,10 +91,12 @@ def skill(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred",
 
 
 def probabilistic_skill(df: DataFrame, keys: list[str], obs: str, pred: str, std: str) -> DataFrame:
-    """nse_prob and msess: squared errors plus predicted variances against the variance of observations."""
-    d = df.where((F.col(obs) > LEAST) & (F.col(pred) > LEAST)).withColumns({"o": F.col(obs), "p": F.col(pred), "s": F.col(std)})
-    total = F.var_pop("o") * F.count("o")
-    return d.groupBy(*keys).agg((1 - _over(_sse() + F.sum(F.col("s") * F.col("s")), total)).alias("nse_prob"), (1 - _over(_sse() + F.sum(F.col("s") * F.col("s")), 2 * total)).alias("msess"))
+    """nse_prob and msess: squared errors plus predicted variances against the variance of observations. Rows without a deviation do not count; too few rows give none."""
+    valid = (F.col(obs) > LEAST) & (F.col(pred) > LEAST) & ~F.isnan(obs) & ~F.isnan(pred) & F.col(std).isNotNull() & ~F.isnan(std)
+    d = df.where(valid).withColumns({"o": F.col(obs), "p": F.col(pred), "s": F.col(std)})
+    total, error = F.var_pop("o") * F.count("o"), _sse() + F.sum(F.col("s") * F.col("s"))
+    enough = lambda x: F.when(F.count("o") > FEWEST, x)
+    return d.groupBy(*keys).agg(enough(1 - _over(error, total)).alias("nse_prob"), enough(1 - _over(error, 2 * total)).alias("msess"))
 
 
 def median_skill(per_site: DataFrame, metrics: list[str], least: int = 10) -> DataFrame:
@@ -98,7 +105,10 @@ def median_skill(per_site: DataFrame, metrics: list[str], least: int = 10) -> Da
 
 
 def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).select("*", F.cume_dist().over(Window.orderBy(value)).alias("cdf"))
+    """cdf: the share of rows up to a row's value."""
+    d = df.where(F.col(value).isNotNull())
+    ranked = rows_before(d, [F.col(value)], "_before").crossJoin(F.broadcast(d.agg(F.count("*").alias("_all"))))
+    return ranked.withColumn("cdf", (F.col("_before") + F.col("_before_ties")) / F.col("_all")).select(*d.columns, "cdf")
 
 
 def quantiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
@@ -118,12 +128,14 @@ def density_2d(df: DataFrame, x: str, y: str, per_decade: int = 10, least: int =
 
 
 def losses(df: DataFrame, obs: str, pred: str, node: str, huber: float = 1.0) -> DataFrame:
-    """mse, mae, huber and the mean of per-node NSE losses over nodes whose observations vary."""
-    d = df.where(F.col(obs).isNotNull() & F.col(pred).isNotNull()).select(F.col(node).alias("k"), F.col(obs).alias("o"), F.col(pred).alias("p"))
+    """mse, mae, huber and the NSE loss: the mean over nodes of the squared error by row, of all rows of the node, over (deviation of observations + 0.1) squared; nodes of 0 are left out."""
+    ok = F.col(obs).isNotNull() & F.col(pred).isNotNull()
+    d = df.select(F.col(node).alias("k"), F.when(ok, F.col(obs)).alias("o"), F.when(ok, F.col(pred)).alias("p"))
     e = F.abs(F.col("o") - F.col("p"))
-    per = d.groupBy("k").agg(F.count("*").alias("n"), _sse().alias("sse"), F.sum(e).alias("sae"), F.sum(F.when(e <= huber, 0.5 * e * e).otherwise(huber * (e - 0.5 * huber))).alias("sh"), (F.var_pop("o") * F.count("o")).alias("v"))
+    per = d.groupBy("k").agg(F.count("o").alias("n"), F.count("*").alias("rows"), F.coalesce(_sse(), F.lit(0.0)).alias("sse"), F.sum(e).alias("sae"), F.sum(F.when(e <= huber, 0.5 * e * e).otherwise(huber * (e - 0.5 * huber))).alias("sh"), F.coalesce(F.stddev_pop("o"), F.lit(0.0)).alias("dev"))
+    node_loss = F.col("sse") / F.col("rows") / ((F.col("dev") + 0.1) * (F.col("dev") + 0.1))
     n = F.sum("n")
-    return per.agg((F.sum("sse") / n).alias("mse"), (F.sum("sae") / n).alias("mae"), (F.sum("sh") / n).alias("huber"), F.avg(F.when(F.col("v") > 1e-9, F.col("sse") / F.col("v"))).alias("nse_loss"))
+    return per.agg((F.sum("sse") / n).alias("mse"), (F.sum("sae") / n).alias("mae"), (F.sum("sh") / n).alias("huber"), F.avg(F.when(node_loss != 0, node_loss)).alias("nse_loss"))
 
 
 def attribution(df: DataFrame, features: list[str]) -> DataFrame:

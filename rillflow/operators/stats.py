@@ -31,7 +31,7 @@ def merged_stats(parts: DataFrame) -> DataFrame:
 
 
 def scale(stats: DataFrame, log: list[str] = (), plain: list[str] = (), ranged: list[str] = ()) -> DataFrame:
-    """offset and scale of each variable: by log, none, range or z, in this order of precedence; population variance, a tiny deviation counts as 1."""
+    """offset and scale of each variable: by log, none, range or z, in this order of precedence; population variance. A tiny deviation counts as 1, of logs as 1e-6."""
     v = F.col("var")
     mean, log_mean = F.col("sum") / F.col("count"), F.col("log_sum") / F.col("positive_count")
     dev = lambda sq, n, m: F.sqrt(F.greatest(sq / n - m * m, F.lit(0.0)))
@@ -39,7 +39,7 @@ def scale(stats: DataFrame, log: list[str] = (), plain: list[str] = (), ranged:
     is_log, is_plain, is_range = (v.isin(list(x)) if x else F.lit(False) for x in (log, plain, ranged))
     offset = F.when(is_log, log_mean).when(is_plain, 0.0).when(is_range, F.col("min")).otherwise(mean)
     size = (
-        F.when(is_log, whole(dev(F.col("log_sum_sq"), F.col("positive_count"), log_mean)))
+        F.when(is_log, F.greatest(dev(F.col("log_sum_sq"), F.col("positive_count"), log_mean), F.lit(1e-6)))
         .when(is_plain, 1.0)
         .when(is_range, whole(F.col("max") - F.col("min")))
         .otherwise(whole(dev(F.col("sum_sq"), F.col("count"), mean)))
@@ -47,13 +47,15 @@ def scale(stats: DataFrame, log: list[str] = (), plain: list[str] = (), ranged:
     return stats.select("var", is_log.alias("log_norm"), offset.alias("offset"), size.alias("scale"))
 
 
-def static_scale(df: DataFrame, variables: list[str], log: list[str] = ()) -> DataFrame:
-    """Scale of static attributes from the rows: sample deviation; log variables only have an offset."""
+def static_scale(df: DataFrame, variables: list[str], log: list[str] = (), ranged: list[str] = ()) -> DataFrame:
+    """Scale of static attributes from the rows: sample deviation; log variables only have an offset, ranged ones least value and range."""
     x = unpivoted(df, [], variables).where(F.col("x").isNotNull())
-    s = x.groupBy("var").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.avg(F.when(F.col("x") >= 0, F.log1p("x"))).alias("l"))
+    s = x.groupBy("var").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.avg(F.when(F.col("x") >= 0, F.log1p("x"))).alias("l"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     is_log = F.col("var").isin(list(log)) if log else F.lit(False)
-    size = F.when(is_log | F.col("s").isNull() | (F.col("s") < 1e-9), 1.0).otherwise(F.col("s"))
-    return s.select("var", is_log.alias("log_norm"), F.when(is_log, F.col("l")).otherwise(F.col("m")).alias("offset"), size.alias("scale"))
+    is_range = F.col("var").isin(list(ranged)) if ranged else F.lit(False)
+    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    size = F.when(~is_log & is_range, span).when(is_log | F.col("s").isNull() | (F.col("s") < 1e-9), 1.0).otherwise(F.col("s"))
+    return s.select("var", is_log.alias("log_norm"), F.when(is_log, F.col("l")).when(is_range, F.col("lo")).otherwise(F.col("m")).alias("offset"), size.alias("scale"))
 
 
 def categories(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.graph import cut
+
 
 def median_deviation(df: DataFrame, site: str, columns: list[str]) -> DataFrame:
     """d_<column>: deviation from the site's median."""
@@ -73,10 +75,25 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def rows_before(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """df with name, the number of rows that sort before a row, and name_ties, of those that sort as it does.
+
+    Counts of distinct values are dealt by range, summed within a partition and moved by the partitions' totals, of which there is one a partition; no task holds the whole order.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
+    counts = df.groupBy(key.alias("_k")).agg(F.count("*").alias("_n"))
+    parts = cut(counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k").withColumn("_p", F.spark_partition_id()))
+    totals = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))
+    moved = totals.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_o"))
+    earlier = F.sum("_n").over(Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    out = parts.withColumn("_b", F.coalesce(earlier, F.lit(0))).join(F.broadcast(moved), "_p")
+    return df.withColumn("_k", key).join(out.select("_k", (F.col("_b") + F.col("_o")).alias(name), F.col("_n").alias(f"{name}_ties")), "_k").drop("_k")
+
+
 def every_fifth(df: DataFrame, size: str, key: str) -> DataFrame:
     """split: each fifth row by falling size is test."""
-    n = F.row_number().over(Window.orderBy(F.desc(size), key)) - 1
-    return df.withColumn("split", F.when(n % 5 == 4, "test").otherwise("train"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy(size, key).orderBy(key)) - 1
+    return rows_before(df, [-F.col(size), F.col(key)], "_before").withColumn("split", F.when(n % 5 == 4, "test").otherwise("train")).drop("_before", "_before_ties")
 
 
 def pooled_sources(df: DataFrame, sources: list[str], name: str = "pooled") -> DataFrame:

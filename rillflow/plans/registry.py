@@ -211,9 +211,9 @@ def _metric_sql(key: str) -> str:
     return f"""WITH d AS ({_P}), w AS (SELECT *, rank() OVER ({g} ORDER BY o) + (count(*) OVER ({eq[0]}) - 1) / 2 AS ro, rank() OVER ({g} ORDER BY p) + (count(*) OVER ({eq[1]}) - 1) / 2 AS rp,
       avg(o) OVER ({g}) AS mo, avg(p) OVER ({g}) AS mp FROM d),
     a AS (SELECT {k}count(*) AS n, sum((o - p) * (o - p)) AS sse, var_pop(o) AS vo, var_pop(p) AS vp, avg(o) AS ao, avg(p) AS ap, corr(o, p) AS c, corr(ro, rp) AS r, covar_pop(o, p) AS cv,
-      quantile_cont(abs((p - mp - (o - mo)) / o), 0.67) AS sige, avg(abs((p - o) / o)) AS mape, median((p - o) / o) AS nb, median(abs(ln(p / o))) AS al, median(ln(p / o)) AS ml FROM w {by})
+      quantile_cont(abs((p - mp - (o - mo)) / mo), 0.67) AS sige, avg(abs((p - o) / o)) AS mape, median((p - o) / o) AS nb, median(abs(ln(p / o))) AS al, median(ln(p / o)) AS ml FROM w {by})
     SELECT {k}n AS num_obs, round(1 - sse / nullif(vo * n, 0), 4) AS NSE, round(r, 4) + 0.0 AS r, round(1 - sqrt((c - 1) ** 2 + (sqrt(vp) / sqrt(vo) - 1) ** 2 + (ap / ao - 1) ** 2), 4) AS KGE, round(sige, 4) AS sigE,
-      round(sqrt(sse / n) / ap, 4) AS rRMSE, round(mape, 4) AS MAPE, round(nb, 4) + 0.0 AS nBias, round(100 * (exp(al) - 1), 4) AS RE, round(100 * sign(ml) * (exp(abs(ml)) - 1), 4) AS RB,
+      round(100 * sqrt(sse / n) / ap, 4) AS rRMSE, round(mape, 4) AS MAPE, round(nb, 4) + 0.0 AS nBias, round(100 * (exp(al) - 1), 4) AS RE, round(100 * sign(ml) * (exp(abs(ml)) - 1), 4) AS RB,
       round(1 - sse / n / nullif(vo + vp + (ao - ap) ** 2 + CASE WHEN c >= 0 THEN 0 ELSE 2 * abs(cv) END, 0), 4) + 0.0 AS agreement FROM a"""
 
 
@@ -262,8 +262,8 @@ def density_2d(t: Tables) -> DataFrame:
     return metrics.density_2d(t.raw("lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query(f"""SELECT round(sum(sse) / sum(n) / 1e6, 2) AS mse, round(sum(sae) / sum(n), 2) AS mae, round(sum(sh) / sum(n), 2) AS huber, round(avg(CASE WHEN v > 1e-9 THEN sse / v END), 4) AS nse_loss FROM (
-  SELECT subbasin, count(*) AS n, sum((obs - pred) ** 2) AS sse, sum(abs(obs - pred)) AS sae, sum(CASE WHEN abs(obs - pred) <= 1 THEN 0.5 * (obs - pred) ** 2 ELSE abs(obs - pred) - 0.5 END) AS sh, var_pop(obs) * count(*) AS v
+@query(f"""SELECT round(sum(sse) / sum(n) / 1e6, 2) AS mse, round(sum(sae) / sum(n), 2) AS mae, round(sum(sh) / sum(n), 2) AS huber, round(avg(nullif(sse / n / (dev + 0.1) ** 2, 0)), 4) AS nse_loss FROM (
+  SELECT subbasin, count(*) AS n, sum((obs - pred) ** 2) AS sse, sum(abs(obs - pred)) AS sae, sum(CASE WHEN abs(obs - pred) <= 1 THEN 0.5 * (obs - pred) ** 2 ELSE abs(obs - pred) - 0.5 END) AS sh, stddev_pop(obs) AS dev
   FROM ({PRED_OBS}) GROUP BY 1)""")
 def loss_table(t: Tables) -> DataFrame:
     return rounded(rounded(metrics.losses(t.pred_obs(), "obs", "pred", "subbasin").withColumn("mse", F.col("mse") / 1e6), ["mse", "mae", "huber"], 2), ["nse_loss"])
@@ -318,23 +318,26 @@ def source_align(t: Tables) -> DataFrame:
     return lake.aligned({s: one(s) for s in ("click", "view")})
 
 
-@query(f"""SELECT s.subbasin, c.date, d.value FROM (SELECT DISTINCT subbasin FROM ({OBS})) s CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM ({DAILY})), (SELECT max(date) FROM ({DAILY})), INTERVAL 1 DAY))::DATE AS date) c
-  LEFT JOIN ({DAILY}) d ON d.subbasin = s.subbasin AND d.date = c.date""")
+DENSE = f"""SELECT s.subbasin, c.date, d.value FROM (SELECT DISTINCT subbasin FROM ({OBS})) s CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM ({DAILY})), (SELECT max(date) FROM ({DAILY})), INTERVAL 1 DAY))::DATE AS date) c
+  LEFT JOIN ({DAILY}) d ON d.subbasin = s.subbasin AND d.date = c.date"""
+
+
+@query(DENSE)
 def dense_export(t: Tables) -> DataFrame:
     d = t.daily()
     days = d.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
     return lake.dense(d, d, days)
 
 
-_OLD = f"SELECT subbasin, date, value, value * 2 AS extra FROM ({DAILY}) WHERE subbasin % 3 <> 0"
-_NEW = f"SELECT subbasin, date, CASE WHEN subbasin % 5 = 0 THEN NULL ELSE value + 1 END AS value, 7 AS added FROM ({DAILY}) WHERE subbasin % 2 = 0"
+_OLD = f"SELECT subbasin, date, round(avg(value), 6) AS value, count(*) AS extra FROM ({OBS}) WHERE source <> 'view' GROUP BY ALL"
+_NEW = f"SELECT subbasin, date, CASE WHEN max(flags) >= 50 THEN round(avg(value), 6) END AS value, count(*) AS added FROM ({OBS}) WHERE source = 'view' GROUP BY ALL"
 
 
 @query(f"SELECT subbasin, date, CASE WHEN n.added IS NOT NULL THEN n.value ELSE o.value END AS value, o.extra, n.added FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (subbasin, date)")
 def upsert_result(t: Tables) -> DataFrame:
-    d = t.daily()
-    old = d.where("subbasin % 3 <> 0").withColumn("extra", F.col("value") * 2)
-    new = d.where("subbasin % 2 = 0").select("subbasin", "date", F.when(F.col("subbasin") % 5 != 0, F.col("value") + 1).alias("value"), F.lit(7).alias("added"))
+    value = F.round(F.avg("value"), 6)
+    old = t.obs().where("source <> 'view'").groupBy("subbasin", "date").agg(value.alias("value"), F.count("*").alias("extra"))
+    new = t.obs().where("source = 'view'").groupBy("subbasin", "date").agg(F.when(F.max("flags") >= 50, value).alias("value"), F.count("*").alias("added"))
     return lake.merged(old, new, ["subbasin", "date"])
 
 
@@ -368,9 +371,9 @@ def downstream_distance(t: Tables) -> DataFrame:
     return graph.outlets(t.reach(), t.edges().withColumn("len", F.col("src") % 7 + 1), "len").select("node", "distance")
 
 
-@query(f"WITH RECURSIVE r AS (SELECT node AS start, node, 0 AS d FROM ({REACH}) WHERE node IN (1, 7) UNION ALL SELECT r.start, e.src, r.d + 1 FROM r JOIN ({EDGES}) e ON e.dst = r.node) SELECT start, node, d::BIGINT AS depth FROM r")
+@query(f"WITH RECURSIVE r AS (SELECT node AS start, node, 0 AS d FROM ({REACH}) WHERE nextdown IS NULL UNION ALL SELECT r.start, e.src, r.d + 1 FROM r JOIN ({EDGES}) e ON e.dst = r.node) SELECT start, node, d::BIGINT AS depth FROM r")
 def upstream_set(t: Tables) -> DataFrame:
-    return graph.upstream(t.edges(), t.reach().where("node IN (1, 7)").select("node"))
+    return graph.upstream(t.edges(), t.reach().where("nextdown IS NULL").select("node"))
 
 
 @query(f"{_WALK} SELECT start AS node, max_by(node, d) AS component FROM r GROUP BY 1")
@@ -384,14 +387,14 @@ def degree_stats(t: Tables) -> DataFrame:
     return graph.degrees(t.reach(), t.edges())
 
 
-_UP = f"SELECT DISTINCT start FROM ({_WALK} SELECT * FROM r) WHERE node IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 1)"
+_UP = f"SELECT DISTINCT start FROM ({_WALK} SELECT * FROM r) WHERE node IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000)"
 
 
 @query(f"""WITH RECURSIVE keep AS ({_UP}), e AS (SELECT src, dst FROM ({EDGES}) WHERE src IN (FROM keep) AND dst IN (FROM keep)),
   w AS (SELECT start, start AS node, 0 AS d FROM keep UNION ALL SELECT w.start, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node), o AS (SELECT start AS node, max_by(node, d) AS outlet FROM w GROUP BY 1)
   SELECT node, outlet, count(*) OVER (PARTITION BY outlet) AS size FROM o QUALIFY size >= 3""")
 def prune_to_gauges(t: Tables) -> DataFrame:
-    gauges = t.raw("supplier").where("s_suppkey % 4 = 1").select(F.col("s_suppkey").alias("node")).join(t.reach(), "node", "left_semi")
+    gauges = t.raw("supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("node")).join(t.reach(), "node", "left_semi")
     return graph.pruned(t.reach(), t.edges(), gauges, 3)
 
 
@@ -423,10 +426,10 @@ def buffer_join(t: Tables) -> DataFrame:
     return rounded(matching.buffer_join(*_points(t), 0.5).where("id <> rid"), ["distance"]).select("id", "rid", "distance")
 
 
-@query(f"SELECT id, rid, round(d, 4) AS distance FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY d) AS n FROM ({_PAIRS}) WHERE d <= 2 AND rid % 2 = 1 AND id % 2 = 0) WHERE n = 1")
+@query(f"SELECT id, rid, round(d, 4) AS distance FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY d) AS n FROM ({_PAIRS}) WHERE d <= 0.5) WHERE n = 1")
 def nearest_join(t: Tables) -> DataFrame:
     a, b = _points(t)
-    return rounded(matching.nearest_join(a.where("id % 2 = 0"), b.where("rid % 2 = 1"), 2.0), ["distance"]).select("id", "rid", "distance")
+    return rounded(matching.nearest_join(a, b, 0.5, others=True), ["distance"]).select("id", "rid", "distance")
 
 
 @query("""WITH g AS (SELECT l_suppkey AS cell, date_trunc('month', l_shipdate)::DATE AS month, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
@@ -450,11 +453,11 @@ def best_match_two_pass(t: Tables) -> DataFrame:
     return matching.two_pass_match(c, "site", "reach", "diff", "q").select("site", "reach")
 
 
-@query(f"SELECT a.id, b.id AS box FROM ({POINTS}) a JOIN ({POINTS}) b ON a.x BETWEEN b.x - 1 AND b.x + 1 AND a.y BETWEEN b.y - 1 AND b.y + 1 WHERE b.id % 25 = 0")
+@query(f"SELECT a.id, b.id AS box FROM ({POINTS}) a JOIN ({POINTS}) b ON a.x BETWEEN b.x - 0.25 AND b.x + 0.25 AND a.y BETWEEN b.y - 0.25 AND b.y + 0.25")
 def cells_in_boxes(t: Tables) -> DataFrame:
     p = t.points()
-    boxes = p.where("id % 25 = 0").select(F.col("id").alias("box"), (F.col("x") - 1).alias("x0"), (F.col("x") + 1).alias("x1"), (F.col("y") - 1).alias("y0"), (F.col("y") + 1).alias("y1"))
-    return matching.cells_in_boxes(p.withColumnRenamed("id", "cell"), boxes, 1.0).select(F.col("cell").alias("id"), "box")
+    boxes = p.select(F.col("id").alias("box"), (F.col("x") - 0.25).alias("x0"), (F.col("x") + 0.25).alias("x1"), (F.col("y") - 0.25).alias("y0"), (F.col("y") + 0.25).alias("y1"))
+    return matching.cells_in_boxes(p.withColumnRenamed("id", "cell"), boxes, 0.25).select(F.col("cell").alias("id"), "box")
 
 
 @query(f"SELECT r.node, r.nextdown, round(b.x - a.x, 4) AS dx, round(b.y - a.y, 4) AS dy FROM ({REACH}) r JOIN ({POINTS}) a ON a.id = r.node JOIN ({POINTS}) b ON b.id = r.nextdown")
@@ -482,9 +485,9 @@ def sample_index(t: Tables) -> DataFrame:
     return samples.sample_index(d, ["value"], 7, start)
 
 
-@query(f"SELECT subbasin, date, v AS value_seq FROM (SELECT subbasin, date, list(value) OVER w AS v, count(*) OVER w AS n FROM ({DAILY}) WINDOW w AS (PARTITION BY subbasin ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) WHERE n = 7")
+@query(f"SELECT subbasin, date, v AS value_seq FROM (SELECT subbasin, date, list(value) OVER w AS v, count(*) OVER w AS n FROM ({DENSE}) WINDOW w AS (PARTITION BY subbasin ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) WHERE n = 7")
 def sequences(t: Tables) -> DataFrame:
-    return samples.sequences(t.daily(), "subbasin", "date", ["value"], 7)
+    return samples.sequences(dense_export(t), "subbasin", "date", ["value"], 7)
 
 
 _DRAW = "('0x' || substr(md5('0/' || subbasin), 1, 8))::BIGINT"
@@ -508,11 +511,11 @@ def pack_batches(t: Tables) -> DataFrame:
 _LSE = "list_max({0}) + ln(list_sum(list_transform({0}, lambda v: exp(v - list_max({0})))))"
 
 
-@query(f"""SELECT id, round(m, 6) AS mean, round(sqrt(greatest(s - m * m, 1e-12)), 6) AS std FROM (SELECT id, list_sum(list_transform(range(8), lambda i: mu[i + 1] * exp(log_pi[i + 1] - z))) AS m,
-  list_sum(list_transform(range(8), lambda i: (mu[i + 1] ** 2 + sigma[i + 1] ** 2) * exp(log_pi[i + 1] - z))) AS s FROM (SELECT *, {_LSE.format('log_pi')} AS z FROM ({MIXTURE})))""")
+@query(f"""SELECT id, round(m - 1, 6) AS mean, round(sqrt(greatest(s - m * m, 1e-6)), 6) AS std FROM (SELECT id, list_sum(list_transform(range(8), lambda i: exp(0.5 * mu[i + 1] + 0.1 + 0.125 * sigma[i + 1] ** 2 + log_pi[i + 1] - z))) AS m,
+  list_sum(list_transform(range(8), lambda i: exp(mu[i + 1] + 0.2 + 0.5 * sigma[i + 1] ** 2 + log_pi[i + 1] - z))) AS s FROM (SELECT *, {_LSE.format('log_pi')} AS z FROM ({MIXTURE})))""")
 def mixture_moments(t: Tables) -> DataFrame:
     c = F.col
-    return rounded(t.mixture().select("id", C.mixture_mean(c("mu"), c("log_pi")).alias("mean"), C.mixture_std(c("mu"), c("sigma"), c("log_pi")).alias("std")), ["mean", "std"], 6)
+    return rounded(t.mixture().select("id", C.mixture_mean(c("mu"), c("sigma"), c("log_pi"), 0.5, 0.1).alias("mean"), C.mixture_std(c("mu"), c("sigma"), c("log_pi"), 0.5, 0.1).alias("std")), ["mean", "std"], 6)
 
 
 @query(f"""SELECT id, round(z - ({_LSE.format('t')}), 6) AS nll FROM (SELECT id, {_LSE.format('log_pi')} AS z,

@@ -40,10 +40,11 @@ def test_encodings_of_missing_values(spark):
         C.one_hot(c("k"), "k", [])
 
 
-def test_mixture_of_one_part_is_a_normal(spark):
+def test_mixture_of_one_part_is_a_log_normal(spark):
     df = spark.createDataFrame([([2.0], [0.5], [-7.0], 2.5)], "mu array<double>, s array<double>, p array<double>, y double")
-    mean, std, nll = df.select(C.mixture_mean(c("mu"), c("p")), C.mixture_std(c("mu"), c("s"), c("p")), C.mixture_nll(c("y"), c("mu"), c("s"), c("p"))).first()
-    assert abs(mean - 2) < 1e-9 and abs(std - 0.5) < 1e-9 and abs(nll - (0.5 + math.log(0.5) + 0.5 * math.log(2 * math.pi))) < 1e-9
+    mean, std, nll = df.select(C.mixture_mean(c("mu"), c("s"), c("p"), 0.5, 0.25), C.mixture_std(c("mu"), c("s"), c("p"), 0.5, 0.25), C.mixture_nll(c("y"), c("mu"), c("s"), c("p"))).first()
+    m, v = 2.0 * 0.5 + 0.25, (0.5 * 0.5) ** 2
+    assert abs(mean - (math.exp(m + v / 2) - 1)) < 1e-9 and abs(std - math.sqrt(math.expm1(v) * math.exp(2 * m + v))) < 1e-9 and abs(nll - (0.5 + math.log(0.5) + 0.5 * math.log(2 * math.pi))) < 1e-9
 
 
 def test_padding(spark):
