@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,13 @@ def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def apart(docs: DataFrame, needed: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f(docs) with the columns of docs. While f runs, columns that it does not need have names that no operator uses, so none can clash."""
+    names = {c: c if c in needed else f"other {i}" for i, c in enumerate(docs.columns)}
+    out = f(docs.toDF(*names.values()))
+    return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

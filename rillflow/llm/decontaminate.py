@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import LOWER, bytes_of, small_batches, spread, swept, table_of, text_batches, whole_text, windows_hash, word_hashes, word_spans, written
+from rillflow.llm.common import LOWER, apart, bytes_of, small_batches, spread, swept, table_of, text_batches, whole_text, windows_hash, word_hashes, word_spans, written
 
 #: Bytes that separate words of the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 SEPARATORS = table_of((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -199,8 +199,9 @@ def judged(docs: DataFrame, items: DataFrame, names: list[str], window: int = WI
     texts = docs.select(whole_text().alias("text"))
     windows = written(item_windows(items, window), "item-windows")
     blocks = max(1, -(-windows.count() // block))
-    kept = docs.select(*names)
-    out = docs.select(*names, whole_text().alias("_text"), F.array().cast("array<bigint>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    quoted = [F.col(f"`{c}`") for c in names]
+    kept = docs.select(*quoted)
+    out = docs.select(*quoted, whole_text().alias("_text"), F.array().cast("array<bigint>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     schema = out.schema
     for i in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == i)
@@ -220,14 +221,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """One row per row of docs: its words, the words inside any window of an item, and the items whose windows occur.
 
     Null texts and ids: a null text has no words, a null item_id counts as an item with an empty id, a null doc_id is kept. Items that share their words both
-    count; items without words have no window. Repeated rows give repeated results; other columns of either table are not read.
+    count; items without words have no window. Repeated rows give repeated results; other columns of either table are not read. Very long texts are judged whole.
     """
     return judged(docs, items, ["doc_id"], window, shingle, block)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **limits: int) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of an item."""
-    own = [x.split()[0] for x in RESULT.split(", ")]
-    if set(own) & set(docs.columns):
-        raise ValueError(f"columns of docs may not be named {own}")
-    return judged(docs, items, docs.columns, **limits).where("not contaminated").drop(*own)
+    """The rows of docs, with all their columns, whatever their names, that hold no window of an item. Null and empty texts stay; repeated rows stay or go together."""
+    return apart(docs, ("text",), lambda d: judged(d, items, d.columns, **limits).where("not contaminated"))

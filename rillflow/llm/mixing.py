@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import written
+from rillflow.llm.common import apart, written
 
 BLOCKS, STEPS = 1024, 8
 
@@ -68,6 +68,11 @@ def bisected(meets, steps: int = STEPS, fan: int = 15) -> float:
     return hi
 
 
+def mixed(docs: DataFrame, **targets) -> DataFrame:
+    """The columns of docs, whatever their names, of mixed_sources(): one row for each copy of a document."""
+    return apart(docs, ("doc_id", "text", "source"), lambda d: mixed_sources(d, **targets))
+
+
 def mixed_sources(
     docs: DataFrame,
     max_repeat: float | None = 2.0,

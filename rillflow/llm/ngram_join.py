@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import (
     LOWER,
     NULL_ID,
+    apart,
     bytes_of,
     doc_key,
     dropped,
@@ -388,8 +389,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component: one each, of the smallest doc_id (null first). Rows without words all stay.
 
-    Documents are told apart by a 64-bit hash of doc_id and text: a doc_id that rows share, or a null one, links nothing by itself.
+    Documents are told apart by a 64-bit hash of doc_id and text: a doc_id that rows share, or a null one, links nothing by itself. Other columns may have any name.
     """
+    return apart(docs, ("doc_id", "text"), lambda d: _one_of_each(d, percent, size))
+
+
+def _one_of_each(docs: DataFrame, percent: int, size: int) -> DataFrame:
     own = docs.withColumns({"_id": doc_key(), "_doc": F.xxhash64(doc_key(), whole_text())})
     key = lambda c: F.coalesce(c, F.lit(NULL_ID))
     found = jaccard_components(own.select(F.col("_doc").alias("doc_id"), whole_text().alias("text")), percent, size)
@@ -397,4 +402,4 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     stays = own.select("_doc", "_id").distinct().join(found, "_doc").groupBy("_component").agg(F.min(F.struct("_id", "_doc")).alias("least")).select("least._doc")
     bare = ~whole_text().rlike(r"[^\x20\x09-\x0D]")
     kept = own.where(~bare).join(stays, "_doc", "left_semi").dropDuplicates(["_doc", "_id"])
-    return kept.unionByName(own.where(bare)).select(*docs.columns)
+    return kept.unionByName(own.where(bare))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import bytes_of, coded, hashed, mixed, small_batches, spread, text_batches, whole_text, word_spans
+from rillflow.llm.common import apart, bytes_of, coded, hashed, mixed, small_batches, spread, text_batches, whole_text, word_spans
 
 #: At most so many labelled rows are learned from: those with the least hash of their id.
 TRAIN_ROWS = 6000
@@ -147,15 +147,21 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(score)], names=[*names, "score"])
 
     small_batches(docs.sparkSession)
-    d = docs.select(*names)
+    d = docs.select(*[F.col(f"`{c}`") for c in names])
     return d.mapInArrow(run, d.limit(0).withColumn("score", F.lit(0.0)).schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, whatever their names, whose score is at least so much. Null and empty texts have the score of the bias; repeated rows stay or go together."""
+    model = fitted(docs, labels, train_rows)
+    return apart(docs, ("text",), lambda d: with_score(d, model).where(F.col("score") >= least))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs.
 
     Rows without a label of 0 or 1 and a doc_id teach nothing; without any labelled row, each score is 0.5. A doc_id that is labelled twice takes the larger label.
-    Repeated rows give repeated results; a null doc_id is not held out.
+    Repeated rows give repeated results; a null doc_id is not held out. Very long texts are scored whole; columns other than doc_id and text are not read.
     """
     model = fitted(docs, labels, train_rows)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

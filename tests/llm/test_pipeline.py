@@ -44,6 +44,20 @@ def test_near_copies_by_five_words_and_80_percent(spark):
     assert sorted(r.doc_id for r in p.deduplicate(spark, docs, SF).collect()) == [0, 2, 4]
 
 
+def test_edge_rows_and_clashing_columns(spark):
+    """Null and empty texts, null, shared and repeated ids, a long text, and columns that operators use themselves."""
+    extra = ["score", "n_tokens", "epoch", "block_rank", "n_words", "contaminated", "_doc", "_text", "_s", "rank", "a.b"]
+    some = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").collect()]
+    rows = [*some, (None, None, None), (None, "", "web"), (None, "a few words", None), (7, "a shared id", "web"), *some[:2], (90001, "word " * 40_000, "web")]
+    docs = spark.createDataFrame([(i, t, s, *(f"{c}-{k}" for c in extra)) for k, (i, t, s) in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in extra))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = {tuple(r) for r in out.collect()}
+        assert got and got <= {tuple(r) for r in docs.collect()}
+    assert p.tokenize(spark, docs, SF).count() == len(rows)
+
+
 def test_run(spark):
     got = p.run(spark, SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
