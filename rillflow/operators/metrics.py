@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.graph import cut
 from rillflow.operators.windows import rows_before
 
 #: Rows count where observation and prediction are above LEAST, and sites where more than FEWEST rows do.
@@ -17,6 +18,7 @@ def _prepared(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
     """Valid pairs o, p with what needs a window: average ranks and group means."""
     d = df.where((F.col(obs) > LEAST) & (F.col(pred) > LEAST) & ~F.isnan(obs) & ~F.isnan(pred)).withColumns({"o": F.col(obs).cast("double"), "p": F.col(pred).cast("double")})
     if not keys:  # one group of all rows: ranks by ranges of values, means joined as one row
+        d = cut(d)  # read five times below
         d = rows_before(rows_before(d, [F.col("o")], "_o"), [F.col("p")], "_p")
         d = d.withColumns({"ro": F.col("_o") + (F.col("_o_ties") + 1) / 2, "rp": F.col("_p") + (F.col("_p_ties") + 1) / 2}).drop("_o", "_p", "_o_ties", "_p_ties")
         return d.crossJoin(F.broadcast(d.agg(F.avg("o").alias("mo"), F.avg("p").alias("mp"))))
