@@ -101,6 +101,12 @@ def probabilistic_skill(df: DataFrame, keys: list[str], obs: str, pred: str, std
     return d.groupBy(*keys).agg(enough(1 - _over(error, total)).alias("nse_prob"), enough(1 - _over(error, 2 * total)).alias("msess"))
 
 
+def log_r2(df: DataFrame, keys: list[str], obs: str, pred: str, most_without: int = 10) -> DataFrame:
+    """log_r2: the share of variance of log10 observations that predictions explain, over more than so many pairs that are both above 0."""
+    d = df.where((F.col(obs) > 0) & (F.col(pred) > 0)).select(*keys, F.log10(obs).alias("o"), F.log10(pred).alias("p"))
+    return d.groupBy(*keys).agg(F.when(F.count("o") > most_without, nse()).alias("log_r2"))
+
+
 def median_skill(per_site: DataFrame, metrics: list[str], least: int = 10) -> DataFrame:
     """Median of each metric over the sites with enough observations."""
     return per_site.where(F.col("num_obs") >= least).agg(*[F.median(m).alias(m) for m in metrics], F.count("*").alias("sites"))

@@ -57,13 +57,15 @@ def epoch_order(samples: DataFrame, epoch: int, seed: int = 0) -> DataFrame:
     return samples.orderBy(hashed_order(F.col("sample_id"), F.lit(epoch), seed=seed), "sample_id")
 
 
-def packed_batches(samples: DataFrame, budget: int, pool: int = 10, shards: int = 64, seed: int = 0) -> DataFrame:
+def packed_batches(samples: DataFrame, budget: int, pool: int = 10, shards: int | None = None, shard_rows: int = 20_000, seed: int = 0) -> DataFrame:
     """shard, batch, slot of samples (sample_id, nodes): each batch takes a seed and then the largest that fits of the next pool, up to budget - 1 nodes.
 
-    Shards of a hash are packed one by one, so a batch never spans two of them. A sample beyond the budget is an error.
+    Shards of a hash are packed one by one, so a batch never spans two of them; without a number of shards it grows with the samples, some shard_rows each. A sample beyond the budget is an error.
     """
-    if samples.where(F.col("nodes") > budget - 1).take(1):
+    n, most = samples.agg(F.count("*"), F.max("nodes")).first()
+    if most is not None and most > budget - 1:
         raise ValueError("a sample is larger than the budget")
+    shards = shards or max(1, -(-n // shard_rows))
     s = samples.select("sample_id", F.col("nodes").cast("long").alias("nodes")).withColumn("shard", F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(shards)).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.operators.windows import rows_before
+
 PARTIAL = ("count", "sum", "sum_sq", "min", "max", "log_sum", "log_sum_sq", "positive_count")
 
 
@@ -59,8 +61,9 @@ def static_scale(df: DataFrame, variables: list[str], log: list[str] = (), range
 
 
 def categories(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values in ascending order with their places."""
-    return df.where(F.col(column).isNotNull()).groupBy().agg(F.sort_array(F.collect_set(column)).alias("c")).select(F.posexplode("c").alias("place", "category"))
+    """Distinct values in ascending order with their places; repeats go before anything is ordered, and no task holds all values."""
+    ranked = rows_before(df.where(F.col(column).isNotNull()).select(column).distinct(), [F.col(column)], "_b")
+    return ranked.select(F.col("_b").cast("int").alias("place"), F.col(column).alias("category"))
 
 
 def active_bits(df: DataFrame, column: str, bits: int = 31) -> DataFrame:

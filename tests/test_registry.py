@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import metrics, stats, windows
-from rillflow.plans import registry
+from rillflow.plans import registry, training
 
+assert training  # its queries are in the registry too
 SF = "/root/testdata/sf0.001"
 
 
