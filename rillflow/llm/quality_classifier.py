@@ -60,6 +60,18 @@ def repeats_before(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Buckets in two bytes each, counts in two or, where one is larger, four; the first byte tells which."""
+    width = 4 if counts.max(initial=0) >= 1 << 16 else 2
+    return bytes([width]) + ids.astype("<u2").tobytes() + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = raw[0]
+    n = (len(raw) - 1) // (2 + width)
+    return np.frombuffer(raw, "<u2", n, 1), np.frombuffer(raw, f"<u{width}", n, 1 + 2 * n).astype(np.int64)
+
+
 def _document_features(batches):
     """Buckets with counts of each labelled document, packed."""
     for rb in text_batches(batches, BYTES):
@@ -75,7 +87,7 @@ def _document_features(batches):
             b, n = np.unique(ids[first[c][group] + j], return_counts=True)
             if k := int(again[z] - again[a]):
                 b, n = np.append(b, BUCKETS), np.append(n, REPEAT * k)
-            out.append(b.astype("<i4").tobytes() + n.astype("<i4").tobytes())
+            out.append(packed(b, n))
         yield pa.RecordBatch.from_arrays([rb.column("rank"), rb.column("y"), pa.array(out, pa.binary())], names=["rank", "y", "features"])
 
 
@@ -88,7 +100,7 @@ def trained(rows: list[tuple[int, bytes]], seed: int = 0) -> tuple[np.ndarray, f
     for _ in range(EPOCHS):
         for i in rnd.permutation(len(rows)):
             y, raw = rows[i]
-            ids, counts = np.frombuffer(raw, "<i4").reshape(2, -1)
+            ids, counts = unpacked(raw)
             share = (counts / max(1, counts.sum())).astype(np.float32)
             rate = RATE * (1 - done / steps)
             done += 1

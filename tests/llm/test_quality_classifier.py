@@ -32,3 +32,11 @@ def test_no_labels_and_no_documents(spark):
 def test_training_bound(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     assert q.fitted(docs, labels, 3)[1] != q.fitted(docs, labels)[1]
+
+
+def test_packed_features_come_back():
+    import numpy as np
+
+    for ids, counts in (([], []), ([0, 5, 32768], [1, 65535, 2]), ([1, 32768], [70_000, 3])):
+        got = q.unpacked(q.packed(np.array(ids, np.int64), np.array(counts, np.int64)))
+        assert [x.tolist() for x in got] == [ids, counts]
