@@ -236,6 +236,17 @@ def trimmed() -> None:
         trim(0)
 
 
+def frugal(run: Callable) -> Callable:
+    """run, a function of batches, whose worker gives memory back when it has ended and its arrays are gone, so that idle workers keep little."""
+
+    def ended(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trimmed()
+
+    return ended
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Lowers the rows of an Arrow batch, so that batches of whole texts stay within a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

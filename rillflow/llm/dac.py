@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import SPACE, bytes_of, new_path, shuffle_partitions, small_batches, spread, text_batches, whole_text
+from rillflow.llm.common import SPACE, bytes_of, frugal, new_path, shuffle_partitions, small_batches, spread, text_batches, whole_text
 
 WIDTHS = (8, 8, 16)
 SEGMENT_TOKENS = 1 << 20
@@ -291,7 +291,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     d = d.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(_writer(tokenizer, end_id, widths, SEGMENT_TOKENS), FILE_SCHEMA).write.parquet(path)
+    d.mapInArrow(frugal(_writer(tokenizer, end_id, widths, SEGMENT_TOKENS)), FILE_SCHEMA).write.parquet(path)
 
 
 def first_places(spark: SparkSession, path: str) -> dict[int, int]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import LOWER, apart, bytes_of, small_batches, spread, swept, table_of, text_batches, whole_text, windows_hash, word_hashes, word_spans, written
+from rillflow.llm.common import LOWER, apart, bytes_of, frugal, small_batches, spread, swept, table_of, text_batches, whole_text, windows_hash, word_hashes, word_spans, written
 
 #: Bytes that separate words of the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
 SEPARATORS = table_of((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -209,12 +209,12 @@ def judged(docs: DataFrame, items: DataFrame, names: list[str], window: int = WI
         if not rows:
             continue
         b = Block(rows, shingle)
-        counts = texts.mapInArrow(_counted(b), "s int, v long, n long").groupBy("s", "v").agg(F.sum("n")).collect()
+        counts = texts.mapInArrow(frugal(_counted(b)), "s int, v long, n long").groupBy("s", "v").agg(F.sum("n")).collect()
         out = out.mapInArrow(_matched(b, b.prefixes({(r[0], r[1]): r[2] for r in counts}), names), schema)
     swept(spark)
     for column in RESULT.split(", "):
         kept = kept.withColumn(column.split()[0], F.lit(None).cast(column.split()[1]))
-    return out.mapInArrow(_summed(names), kept.schema)
+    return out.mapInArrow(frugal(_summed(names)), kept.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

@@ -27,6 +27,7 @@ from rillflow.llm.common import (
     bytes_of,
     doc_key,
     dropped,
+    frugal,
     mixed,
     most_frequent,
     shuffle_partitions,
@@ -127,7 +128,7 @@ def frequent_shingles(texts: DataFrame, size: int) -> Orders:
             often = counts >= IN_BATCH
             yield pa.RecordBatch.from_arrays([pa.array(signed(value[often])), pa.array(counts[often])], names=["v", "n"])
 
-    counts = written(texts.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")), "frequent")
+    counts = written(texts.mapInArrow(frugal(run), "v long, n long").groupBy("v").agg(F.sum("n").alias("n")), "frequent")
     value, n = most_frequent(counts, "v", "n", FREQUENT)
     dropped(counts)
     return Orders(value.view(np.uint64), n)
@@ -291,7 +292,7 @@ class Sets:
         """Rows of the nodes, by broadcast of up to BROADCAST_MOST ids, else by a shuffle. A node may have several equal rows."""
         ids = written(nodes.join(self.classes, "node").select(F.col("rep").alias("doc")).distinct(), "ids")
         texts = self.texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_MOST else ids, "doc", "left_semi")
-        return written(texts.mapInArrow(run, schema), name)
+        return written(texts.mapInArrow(frugal(run), schema), name)
 
     def filters(self, nodes: DataFrame) -> DataFrame:
         return self.fetched(nodes, _filter_rows(self.orders, self.size, self.percent), "node binary, n long" + "".join(f", {p} array<int>" for p in FILTERS), "filters")
@@ -351,8 +352,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     buckets = shuffle_partitions(spark)
     texts = docs.select(doc_key().alias("doc"), whole_text().alias("text"))
     orders = frequent_shingles(texts, size)
-    sent = texts.mapInArrow(_first_pass(orders, size, percent, buckets), SENT)
-    found = written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_paired, FOUND), "found")
+    sent = texts.mapInArrow(frugal(_first_pass(orders, size, percent, buckets)), SENT)
+    found = written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(frugal(_paired), FOUND), "found")
     rows = found.where(F.col("kind") == DOC).select("doc", "n", "node")
     classes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
     large = written(found.where(F.col("kind") == LARGE).select("token", "node", "n", "reach").distinct(), "large")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import apart, bytes_of, coded, hashed, mixed, small_batches, spread, text_batches, whole_text, word_spans
+from rillflow.llm.common import apart, bytes_of, coded, frugal, hashed, mixed, small_batches, spread, text_batches, whole_text, word_spans
 
 #: At most so many labelled rows are learned from: those with the least hash of their id.
 TRAIN_ROWS = 6000
@@ -21,35 +21,43 @@ BUCKETS, DIMS, GRAMS, EPOCHS, RATE = 1 << 15, 16, (3, 4, 5), 6, 0.5
 #: A repeated word counts as so many features, about as many as a word has n-grams.
 REPEAT = 16
 BYTES = 1 << 20
+#: Distinct words whose n-grams are made in one vector pass.
+AT_ONCE = 1 << 14
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words and of their n-grams of characters, in order of the words, and len + 1 offsets."""
+    """Buckets of the distinct words and of their n-grams of characters, in order of the words, and len + 1 offsets; AT_ONCE words at a time."""
+    parts = [_features_of(words.slice(a, AT_ONCE)) for a in range(0, len(words), AT_ONCE)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+
+
+def _features_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in order of the words, and how many each word has."""
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    own = (mixed(hashed(words), 9) % np.uint64(BUCKETS)).astype(np.int64)
-    text = "".join("<" + w.decode("utf-8", "replace") + ">" for w in words.to_pylist())
-    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    own = (mixed(hashed(words), 9) % np.uint64(BUCKETS)).astype(np.int32)
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words.to_pylist()]
     # a word's end: as many ">" as words, told apart by lengths
-    size = np.array([len(w.decode("utf-8", "replace")) + 2 for w in words.to_pylist()])
+    size = np.fromiter(map(len, marked), np.int64, n)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.cumsum(size)
     place = np.repeat(ends, size) - np.arange(len(chars))  # characters left in the word
-    word = np.repeat(np.arange(n), size)
-    ids, of = [own], [np.arange(n)]
+    word = np.repeat(np.arange(n, dtype=np.int32), size)
+    ids, of = [own], [np.arange(n, dtype=np.int32)]
     with np.errstate(over="ignore"):
         for g in GRAMS:
             if len(chars) < g:
                 continue
             h = np.full(len(chars) - g + 1, g, np.uint64)
             for k in range(g):
-                h = (h ^ chars[k : k + len(h)]) * np.uint64(0x100000001B3)
+                h ^= chars[k : k + len(h)]
+                h *= np.uint64(0x100000001B3)
             at = np.flatnonzero(place[: len(h)] >= g)
-            ids.append((mixed(h[at], 3) % np.uint64(BUCKETS)).astype(np.int64))
+            ids.append((mixed(h[at], 3) % np.uint64(BUCKETS)).astype(np.int32))
             of.append(word[at])
     ids, of = np.concatenate(ids), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    return ids[order], np.searchsorted(of[order], np.arange(n + 1))
+    return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=n)
 
 
 def repeats_before(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -82,9 +90,10 @@ def _document_features(batches):
         again = np.concatenate([[0], np.cumsum(repeats_before(codes, edges))])
         out = []
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            c = codes[a:z]
+            c, times = np.unique(codes[a:z], return_counts=True)
             group, j = spread(first[c + 1] - first[c])
-            b, n = np.unique(ids[first[c][group] + j], return_counts=True)
+            b, back = np.unique(ids[first[c][group] + j], return_inverse=True)
+            n = np.bincount(back, weights=times[group], minlength=len(b)).astype(np.int64)
             if k := int(again[z] - again[a]):
                 b, n = np.append(b, BUCKETS), np.append(n, REPEAT * k)
             out.append(packed(b, n))
@@ -134,7 +143,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of documents that are not here would use up the bound
     known = known.select("doc_id", "y", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").limit(train_rows)
     d = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known), "doc_id").select("rank", "y", "text")
-    got = d.mapInArrow(_document_features, "rank long, y int, features binary").repartition(1).mapInArrow(_train, "weights binary, bias double").collect()
+    got = d.mapInArrow(frugal(_document_features), "rank long, y int, features binary").repartition(1).mapInArrow(frugal(_train), "weights binary, bias double").collect()
     return (np.frombuffer(got[0].weights, "<f4"), got[0].bias) if got else (np.zeros(BUCKETS + 1, np.float32), 0.0)
 
 
@@ -160,7 +169,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     small_batches(docs.sparkSession)
     d = docs.select(*[F.col(f"`{c}`") for c in names])
-    return d.mapInArrow(run, d.limit(0).withColumn("score", F.lit(0.0)).schema)
+    return d.mapInArrow(frugal(run), d.limit(0).withColumn("score", F.lit(0.0)).schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -36,7 +36,17 @@ def test_training_bound(spark):
 
 def test_packed_features_come_back():
     import numpy as np
+import pyarrow as pa
 
     for ids, counts in (([], []), ([0, 5, 32768], [1, 65535, 2]), ([1, 32768], [70_000, 3])):
         got = q.unpacked(q.packed(np.array(ids, np.int64), np.array(counts, np.int64)))
         assert [x.tolist() for x in got] == [ids, counts]
+
+
+def test_features_do_not_depend_on_how_many_words_go_at_once(monkeypatch):
+    words = pa.array([f"wörd{k * k}".encode() for k in range(500)] + [b"", b"\xff>", b"x" * 3000], pa.large_binary())
+    ids, first = q.word_features(words)
+    monkeypatch.setattr(q, "AT_ONCE", 7)
+    few_ids, few_first = q.word_features(words)
+    assert np.array_equal(ids, few_ids) and np.array_equal(first, few_first)
+    assert first[-1] == len(ids) and len(first) == len(words) + 1
