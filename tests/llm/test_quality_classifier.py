@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rillflow.llm import quality_classifier as q
@@ -35,9 +37,6 @@ def test_training_bound(spark):
 
 
 def test_packed_features_come_back():
-    import numpy as np
-import pyarrow as pa
-
     for ids, counts in (([], []), ([0, 5, 32768], [1, 65535, 2]), ([1, 32768], [70_000, 3])):
         got = q.unpacked(q.packed(np.array(ids, np.int64), np.array(counts, np.int64)))
         assert [x.tolist() for x in got] == [ids, counts]
