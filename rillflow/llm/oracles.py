@@ -109,4 +109,38 @@ e AS (SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM c)
 SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, ('0x' || substr(md5('0/' || epoch || '/' || s || '/' || b), 1, 8))::BIGINT AS block_rank FROM e
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10}
+OP13 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, n_chars, text,
+         list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) AS c
+  FROM documents),
+f AS (
+  SELECT *, concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+         coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head,
+         CASE WHEN xor(c, 4294967295::BIGINT) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low
+  FROM d),
+h AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) AS bad FROM f),
+l AS MATERIALIZED (SELECT *, coalesce(lang, '') AS g, lang IS NOT NULL AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM h),
+u AS (SELECT k, g, 0 AS level, pos, n, leaf AS h FROM l
+  UNION ALL SELECT k, g, level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY k, g, level, pos // 8),
+um AS MATERIALIZED (SELECT * FROM u),
+s AS MATERIALIZED (SELECT k, g, h AS subroot, level, row_number() OVER (ORDER BY k, encode(g)) - 1 AS rank, count(*) OVER () AS n FROM um WHERE n = 1),
+t AS (SELECT 0 AS level, rank AS pos, n, subroot AS h FROM s
+  UNION ALL SELECT level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, pos // 8),
+tm AS MATERIALIZED (SELECT * FROM t),
+a AS (SELECT k, g, level, pos, h FROM um WHERE n > 1 UNION ALL SELECT s.k, s.g, s.level + tm.level, tm.pos, tm.h FROM s, tm WHERE tm.n > 1),
+w AS MATERIALIZED (SELECT k, g, level, pos // 8 AS up, list(h ORDER BY pos) AS run FROM a GROUP BY ALL),
+c AS (SELECT k, g, pos AS leaf_pos, 0 AS level, pos, bad AS fold, '' AS proof FROM l
+  UNION ALL
+  SELECT c.k, c.g, c.leaf_pos, c.level + 1, CASE WHEN c.level + 1 = s.level THEN s.rank ELSE c.pos // 8 END,
+         sha256(array_to_string(w.run[1:p], '') || c.fold || array_to_string(w.run[p + 2:], '')), c.proof || array_to_string(w.run[1:p], '') || array_to_string(w.run[p + 2:], '')
+  FROM (SELECT c.*, x.level AS own, x.rank, CASE WHEN c.level = x.level THEN x.rank ELSE c.pos END AS q, q % 8 AS p FROM c JOIN s x ON x.k = c.k AND x.g = c.g) c
+  JOIN s ON s.k = c.k AND s.g = c.g JOIN w ON w.k = c.k AND w.g = c.g AND w.level = c.level AND w.up = c.q // 8),
+e AS (SELECT k, g, leaf_pos, max_by(fold, level) AS fold, max_by(proof, level) AS proof FROM c GROUP BY ALL),
+r AS (SELECT h AS root FROM tm WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(e.proof) AS proof_sha256, e.fold AS folded_root, e.fold = r.root AS verified
+FROM l JOIN e ON e.k = l.k AND e.g = l.g AND e.leaf_pos = l.pos JOIN s ON s.k = l.k AND s.g = l.g, r
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10, "op13_merkle_manifest": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import dac, decontaminate, lm_scoring, mixing, ngram_join, quality_classifier, repeats, warc
+from rillflow.llm import dac, decontaminate, lm_scoring, merkle, mixing, ngram_join, quality_classifier, repeats, warc
 from rillflow.llm.quality_rules import quality_rules
 
 
@@ -55,6 +55,10 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.passage_dedup(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.dataset_manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
@@ -66,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_passage_dedup": op10_passage_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
