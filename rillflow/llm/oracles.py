@@ -109,6 +109,8 @@ e AS (SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM c)
 SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, ('0x' || substr(md5('0/' || epoch || '/' || s || '/' || b), 1, 8))::BIGINT AS block_rank FROM e
 """
 
+OP12 = f"SELECT *, doc_id = component_id AS kept FROM ({OP2.replace('len(w) - 3', 'len(w) - 4').replace('[i + 1:i + 4]', '[i + 1:i + 5]')})"
+
 OP13 = """
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, source, n_chars, text,
@@ -143,4 +145,4 @@ SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(e.proof) AS proof_sha256, e.f
 FROM l JOIN e ON e.k = l.k AND e.g = l.g AND e.leaf_pos = l.pos JOIN s ON s.k = l.k AND s.g = l.g, r
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10, "op13_merkle_manifest": OP13}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10, "op12_minhash_dedup": OP12, "op13_merkle_manifest": OP13}
