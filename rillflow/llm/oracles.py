@@ -109,6 +109,19 @@ e AS (SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM c)
 SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, ('0x' || substr(md5('0/' || epoch || '/' || s || '/' || b), 1, 8))::BIGINT AS block_rank FROM e
 """
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 5
+"""
+
 OP12 = f"SELECT *, doc_id = component_id AS kept FROM ({OP2.replace('len(w) - 3', 'len(w) - 4').replace('[i + 1:i + 4]', '[i + 1:i + 5]')})"
 
 OP13 = """
@@ -145,4 +158,4 @@ SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(e.proof) AS proof_sha256, e.f
 FROM l JOIN e ON e.k = l.k AND e.g = l.g AND e.leaf_pos = l.pos JOIN s ON s.k = l.k AND s.g = l.g, r
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10, "op12_minhash_dedup": OP12, "op13_merkle_manifest": OP13}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_quality_rules": OP3, "op7_warc_revisits": OP7, "op8_decontamination": OP8, "op9_source_mixing": OP9, "op10_passage_dedup": OP10, "op11_hard_negatives": OP11, "op12_minhash_dedup": OP12, "op13_merkle_manifest": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import dac, decontaminate, lm_scoring, merkle, minhash, mixing, ngram_join, quality_classifier, repeats, warc
+from rillflow.llm import dac, decontaminate, hard_negatives, lm_scoring, merkle, minhash, mixing, ngram_join, quality_classifier, repeats, warc
 from rillflow.llm.quality_rules import quality_rules
 
 
@@ -55,6 +55,10 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.passage_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_minhash_dedup": op12_minhash_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
