@@ -1,8 +1,8 @@
 """Merkle manifest of a dataset: a tree a lang over its rows by doc_id, a tree over the langs' subroots, and proofs that a recursive query climbs.
 
 Rows are leaves. Eight consecutive nodes of a level have one parent, until one node is left. Each inner node is stored as a row that holds its children's digests and points at its own parent and
-its place there. The climb is a recursive query from all leaves at once: each step joins the parents, replaces the leaf's slot by the digest folded so far, and appends the siblings as a row
-of that level, so that no proof is carried from level to level. It has as many steps as the trees are deep: the logarithm, to base 8, of the rows and of the langs.
+its place there. The climb is a recursive query from all leaves at once: each step joins the parents, replaces each leaf's slot by the digest folded so far, and appends the siblings as a row
+of that level, so that no proof is carried from level to level; the eight leaves of a run share a row, as all siblings above their parent are the same to them. It has as many steps as the trees are deep: the logarithm, to base 8, of the rows and of the langs.
 
 Places come from a range partitioning by lang, doc_id and digest: one count a partition moves the places within it, so no task sees a whole lang, however many rows it has.
 """
@@ -79,26 +79,35 @@ def node_id(level: int, pos: Column) -> Column:
     return F.lit(level * LEVEL) + F.col("tree") + pos
 
 
-CLIMB = """WITH RECURSIVE climb(leaf, level, at, place, folded, siblings) AS (
-  SELECT leaf, 0, at, place, folded, CAST('' AS BINARY) FROM {starts}
+CLIMB = """WITH RECURSIVE climb(run, level, at, place, leaves, siblings) AS (
+  SELECT run, 0, at, CAST(NULL AS INT), leaves, CAST('' AS BINARY) FROM {starts}
   UNION ALL
-  SELECT c.leaf, c.level + 1, n.parent, n.place,
-    unhex(sha2(CAST(concat(lower(hex(substring(n.children, 1, 32 * c.place))), lower(hex(c.folded)), lower(hex(substring(n.children, 32 * c.place + 33)))) AS BINARY), 256)),
-    concat(substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33))
+  SELECT c.run, c.level + 1, n.parent, n.place,
+    transform(c.leaves, x -> named_struct('leaf', x.leaf, 'slot', x.slot, 'place', n.place, 'folded',
+      unhex(sha2(CAST(concat(lower(hex(substring(n.children, 1, 32 * x.place))), lower(hex(x.folded)), lower(hex(substring(n.children, 32 * x.place + 33)))) AS BINARY), 256)))),
+    if(c.place IS NULL, n.children, concat(substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33)))
   FROM climb c JOIN {nodes} n ON c.at = n.id)
-SELECT leaf, max_by(folded, level) AS folded, sort_array(collect_list(struct(level, siblings))) AS proof FROM climb GROUP BY leaf"""
+SELECT run, max_by(leaves, level) AS leaves, sort_array(collect_list(struct(level, siblings))) AS proof FROM climb GROUP BY run"""
 
 
 def climbed(starts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """leaf, the digest folded up to the root, and the siblings by level, of starts (leaf, at, place, folded): by a recursive query over nodes (id, children, parent, place)."""
+    """leaf, the digest folded up to the root, and proof, the digest of its siblings by level, of starts (leaf, at, place, folded): by a recursive query over nodes (id, children, parent, place).
+
+    The leaves of a run climb in one row, each with its own digest: what is above their parent, and so what is appended there, is the same to them.
+    """
     spark: SparkSession = starts.sparkSession
+    runs = starts.groupBy("at").agg(F.collect_list(F.struct("leaf", F.coalesce("place", F.lit(0)).alias("slot"), "place", "folded")).alias("leaves")).select(F.coalesce("at", F.lit(-1)).alias("run"), "at", "leaves")
     key = "spark.sql.cteRecursionRowLimit"
     limit = spark.conf.get(key, None)
-    spark.conf.set(key, "-1")  # a row a leaf and level; read while the query runs
+    spark.conf.set(key, "-1")  # a row a run and level; read while the query runs
     try:
-        return written(spark.sql(CLIMB, starts=starts, nodes=nodes), "climbed")
+        up = written(spark.sql(CLIMB, starts=runs, nodes=nodes), "climbed")
     finally:
         spark.conf.unset(key) if limit is None else spark.conf.set(key, limit)
+    above = F.array_join(F.transform(F.slice("proof", 3, F.greatest(F.size("proof"), F.lit(1))), lambda x: text_of(x["siblings"])), "")
+    each = up.select(F.explode("leaves").alias("x"), F.coalesce(F.get("proof.siblings", F.lit(1)), F.lit("").cast("binary")).alias("run"), above.alias("above"))
+    others = lambda side: text_of(F.expr(side))
+    return each.select("x.leaf", "x.folded", digest(others("substring(run, 1, 32 * x.slot)"), others("substring(run, 32 * x.slot + 33)"), F.col("above")).alias("proof"))
 
 
 def manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -155,9 +164,8 @@ def dataset_manifest(docs: DataFrame) -> DataFrame:
     starts = leaves.select("leaf", "at", "place", F.coalesce("tampered", "digest").alias("folded"))
     inner = nodes.select("id", "children", "parent", "place")
     up = climbed(starts, sized(inner, inner.count()))
-    proof = F.array_join(F.transform("proof.siblings", text_of), "")
     out = leaves.select("leaf", "doc_id", "tree", "digest").join(up, "leaf").join(sized(subroots, subroots.count()), "tree")
     return out.select(
-        "doc_id", text_of(F.col("digest")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), text_of(F.col("root")).alias("root"), F.sha2(proof.cast("binary"), 256).alias("proof_sha256"),
+        "doc_id", text_of(F.col("digest")).alias("leaf"), text_of(F.col("subroot")).alias("subroot"), text_of(F.col("root")).alias("root"), text_of(F.col("proof")).alias("proof_sha256"),
         text_of(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
