@@ -5,8 +5,8 @@ value of another one, found by a walk over bins that is the same in all document
 after the other are a band; documents whose bins agree in a band meet in its bucket. For two sets at the threshold of 0.85 that share no band the chance is about 6e-11.
 
 Copies (equal sets) are one node. In a bucket each node is paired with one hub, so a bucket of n nodes gives n - 1 pairs, and hubs are the same node in most bands of a cluster. Pairs are confirmed
-on full sets. What a star leaves open, members of a bucket that end in another component than most of it, is paired with the bucket's members of other components; in buckets with more
-than OPEN_MOST open members these go to the prefix-filter join instead, which is exact. So each pair that shares a bucket is confirmed, or lies in one component already.
+on full sets. What a star leaves open, members of a bucket that no confirmed star ties to most of it, is paired with the bucket's other members; in buckets with more
+than OPEN_MOST open members these go to the prefix-filter join instead, which is exact. So each pair that shares a bucket is looked at, or lies in one star already.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SHINGLE, PERCENT = 5, 85
 #: Bins of a signature (a power of two), and bins of a band.
 BINS, ROWS = 128, 4
 OPEN_MOST = 64
+#: Edges that a task of the component search takes.
+TASK_ROWS = 20_000
 ENTRY = np.dtype([("key", "<u8"), ("node", f"V{NODE}"), ("n", "<u4")])
 DOC, PAIR, MEMBER, PACKED = range(4)
 FOUND = "kind int, doc long, n long, node binary, other binary, key long"
@@ -161,7 +163,7 @@ def confirmed(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
 def _open_pairs(member: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that stars left open, and nodes of buckets with more than OPEN_MOST open members.
 
-    A bucket is looked at only if its hub and a member lie in different components. A member is open if it is not in the component that most of the bucket is in.
+    A bucket is looked at only if its hub and a member have different labels. A member is open if it does not have the label that most of the bucket has.
     """
     of_hub = label.select(F.col("node").alias("a"), F.col("label").alias("of_hub"))
     apart = pairs.join(label.select(F.col("node").alias("b"), "label"), "b").join(of_hub, "a").where("label <> of_hub")
@@ -176,6 +178,13 @@ def _open_pairs(member: DataFrame, pairs: DataFrame, label: DataFrame, percent:
     return both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), large
 
 
+def star_labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, n and label of each class: the least hub that it links with, or that hub's own. Nodes of one label lie in one component; those of one component may have several labels."""
+    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+    one = written(classes.select("node", "n").join(up, "node", "left").select("node", "n", F.coalesce("up", "node").alias("up")), "hubs")
+    return one.join(one.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("label")), "up", "left").select("node", "n", F.coalesce("label", "up").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs: kept where the document is the first of its component.
 
@@ -204,18 +213,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         named = lambda x: classes.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"))
         return links.join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
-    labels = components(edges(links))
+    every = edges(links)
     if member.take(1):
-        label = classes.join(labels, classes["rep"] == labels["doc"], "left").select("node", "n", F.coalesce("component", "rep").alias("label"))
-        rest, large = _open_pairs(member, star, label, percent)
-        more = edges(links.union(confirmed(sets, rest, percent)))
+        rest, large = _open_pairs(member, star, written(star_labels(classes, links), "labels"), percent)
+        every = edges(links.union(confirmed(sets, rest, percent)))
         large = written(large.join(classes, "node").select(F.col("rep").alias("doc")), "large")
         if large.take(1):
-            exact = ngram_join.jaccard_components(texts.join(large.distinct(), "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text"), percent, size)
-            joined = exact.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("a"), F.coalesce("component_id", F.lit(NULL_ID)).alias("b"))
-            more = more.union(joined)
-        labels = components(more)
-        dropped(large)
+            exact = ngram_join.jaccard_components(texts.join(large, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text"), percent, size, TASK_ROWS)
+            every = every.union(exact.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("a"), F.coalesce("component_id", F.lit(NULL_ID)).alias("b")))
+    labels = components(every, TASK_ROWS)
     of = classes.join(labels, classes["rep"] == labels["doc"], "left").where("copies > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "rep").alias("component"))
     bare = rows.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
     full = rows.where("n > 0").join(written(of, "class-components"), "node", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))

@@ -341,8 +341,8 @@ def cross_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select(*_ordered("x", "node")).distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs.
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, task_rows: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs. task_rows is that of components().
 
     A null or empty text has no shingles and no links. Rows with shingles that share a doc_id are linked. A null doc_id sorts first, and the component_id of
     what it links with is null. Very long texts are sets as any other. Columns other than doc_id and text are not read.
@@ -371,7 +371,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     def labelled(links):
         """doc and component of the representatives that have links."""
         named = lambda x: classes.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"))
-        return components(links.join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        return components(links.join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), task_rows)
 
     labels = labelled(links)
     if large.take(1):
