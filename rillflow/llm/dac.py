@@ -10,6 +10,7 @@ and, but for the last, the bitmap (little-endian bits, padded to 64 bytes) and t
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -113,11 +114,10 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     bytes_in = np.zeros(t.get_vocab_size(), np.int64)
     for token, i in t.get_vocab().items():
         bytes_in[i] = len(token)  # byte-level: a character for each byte
-    return t, bytes_in
+    return t, bytes_in, tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
 
 
 class Pieces:
@@ -166,7 +166,7 @@ class Pieces:
 
         Pieces of one run of white space before other characters are encoded side by side and parted by their lengths in bytes; the others alone.
         """
-        t, bytes_in = _tokenizer(self.tokenizer)
+        t, bytes_in, added = _tokenizer(self.tokenizer)
         n = len(pieces)
         data = np.frombuffer(b"".join(pieces), np.uint8)
         size = np.fromiter(map(len, pieces), np.int64, n)
@@ -175,7 +175,7 @@ class Pieces:
         inner = SPACE[data[1:]] & ~SPACE[data[:-1]]  # white space behind another character
         inner[ends[:-1] - 1] = False
         plain[np.searchsorted(ends, np.flatnonzero(inner), side="right")] = False
-        plain &= ~odd_documents(data, np.concatenate([[0], ends]))
+        plain &= ~odd_documents(data, np.concatenate([[0], ends]), added)
         side, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
         out, counts = [], np.zeros(n, np.int64)
         for i in range(0, len(alone), 1000):
@@ -204,8 +204,8 @@ class Pieces:
 _KEPT: dict[str, Pieces] = {}
 
 
-def odd_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which documents hold white space other than \\x20 and \\x09-\\x0D; only the others may be cut at white space."""
+def odd_documents(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Which documents hold white space other than \\x20 and \\x09-\\x0D, or the text of an added token, which the library takes whole; only the others may be cut at white space."""
     at_ = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
     pad = np.concatenate([data, np.zeros(2, np.uint8)])
     p = np.flatnonzero(data == 0xC2)
@@ -214,6 +214,9 @@ def odd_documents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     a, b, c = pad[p], pad[p + 1], pad[p + 2]
     general = (a == 0xE2) & (b == 0x80) & ((c <= 0x8B) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
     at_.append(p[(a == 0xE1) & np.isin(b, (0x9A, 0xA0)) | general | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)])
+    raw = data.tobytes() if added else b""
+    for word in added:
+        at_.append(np.array([m.start() for m in re.finditer(re.escape(word), raw)], np.int64))
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, np.concatenate(at_), side="right") - 1] = True
     return out
@@ -233,7 +236,7 @@ def encoded(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     cut = space.copy()
     cut[1:] &= ~space[:-1]
     begins = offsets[:-1][np.diff(offsets) > 0]
-    odd = odd_documents(data, offsets)
+    odd = odd_documents(data, offsets, _tokenizer(tokenizer)[2])
     if odd.any():
         cut[np.repeat(odd, np.diff(offsets))] = False
     cut[begins] = True

@@ -38,7 +38,6 @@ def test_cached_pieces_are_dropped_and_kept(monkeypatch):
 
 def plain(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(["" if x is None else x for x in texts], add_special_tokens=False)]
 
 
@@ -55,7 +54,7 @@ def test_encoding_equals_the_library(texts):
 
 
 def test_encoding_edge_texts():
-    check(["", None, " ", "\n\n", "a", " a", "a ", "it's  a\n\n b", "<|endoftext|> x", "x" * 3000, "ab " * 5000, "a   b c", "﻿a b"])
+    check(["", None, " ", "\n\n", "a", " a", "a ", "it's  a\n\n b", "<|endoftext|> x", "a <|endoftext|> b  c", "<|endoftext|><|endoftext|>", "<|endof", "text|> <|endoftext|>\n", "x" * 3000, "ab " * 5000, "a   b c", "﻿a b"])
 
 
 def test_files(spark, tmp_path):
