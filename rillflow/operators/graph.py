@@ -78,9 +78,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lab = new.select("node", F.col("new").alias("label"))
 
 
+def _doubled(at: DataFrame, marks: dict, rounds: int) -> DataFrame:
+    """at (node, ptr, marks) after pointer doubling: each round a node takes its pointer's pointer, and marks of what lies behind it; marks: name -> (own, behind) -> new. Ends when no pointer is left."""
+    at = cut(at)
+    for _ in range(rounds):
+        if not at.where("ptr IS NOT NULL").take(1):
+            break
+        far = at.select(F.col("node").alias("ptr"), F.col("ptr").alias("_p"), *[F.col(m).alias(f"_{m}") for m in marks])
+        at = cut(at.join(far, "ptr", "left").select("node", F.col("_p").alias("ptr"), *[f(F.col(m), F.col(f"_{m}")).alias(m) for m, f in marks.items()]))
+    return at
+
+
 def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that are left when sources and sinks are peeled off until none is."""
+    """Nodes on cycles, not those that only lead to one.
+
+    Where each node has one way down, as in a river, pointers are doubled until they span more steps than there are nodes: where they end then is on a cycle, and each node of a cycle is such an end.
+    Other graphs are peeled: sources and sinks go until there is none.
+    """
     e = cut(edges.select("src", "dst").distinct())
+    if not e.groupBy("src").count().where("count > 1").take(1):
+        at = e.select(F.col("src").alias("node"), F.col("dst").alias("ptr"))
+        ends = _doubled(at, {}, e.count().bit_length() + 1)
+        return nodes.select("node").join(ends.where("ptr IS NOT NULL").select(F.col("ptr").alias("node")).distinct(), "node", "left_semi")
     while True:
         kept = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
         kept = cut(kept)
@@ -89,18 +108,28 @@ def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = kept
 
 
+def gauges_below(nodes: DataFrame, edges: DataFrame, gauges: DataFrame) -> DataFrame:
+    """node, first and last: the first gauge at or below each node, and the last one strictly below it, else itself if it is one. Missing where there is none.
+
+    A forest's pointers are doubled with two marks, the nearest and the furthest gauge of the steps that a pointer spans; rounds are the logarithm of the depth. On a cycle, last is some gauge of it.
+    """
+    mark = gauges.select(F.col("node"), F.col("node").alias("first")).distinct()
+    at = nodes.select("node").join(mark, "node", "left").join(edges.select(F.col("src").alias("node"), F.col("dst").alias("ptr")), "node", "left").withColumn("last", F.col("first"))
+    marks = {"first": lambda own, behind: F.coalesce(own, behind), "last": lambda own, behind: F.coalesce(behind, own)}
+    return _doubled(at.select("node", "ptr", "first", "last"), marks, nodes.count().bit_length() + 1).select("node", "first", "last")
+
+
 def pruned(nodes: DataFrame, edges: DataFrame, gauges: DataFrame, least: int = 10) -> DataFrame:
-    """Nodes upstream of any gauge with the outlet of what is left of their basin; basins of fewer nodes go."""
-    keep = upstream(edges, gauges).select("node").distinct()
-    inner = edges.join(keep.select(F.col("node").alias("src")), "src", "left_semi").join(keep.select(F.col("node").alias("dst")), "dst", "left_semi")
-    out = outlets(keep, inner).where("outlet IS NOT NULL")
-    return out.withColumn("size", F.count("*").over(Window.partitionBy("outlet"))).where(F.col("size") >= least).select("node", "outlet", "size")
+    """Nodes upstream of any gauge, with the outlet of what is left of their basin, which is its last gauge, the number of its nodes, and the outlet that it had; basins of fewer nodes go, and so do nodes that lead to a cycle."""
+    keep = gauges_below(nodes, edges, gauges).where("first IS NOT NULL").select("node", F.col("last").alias("outlet"))
+    whole = outlets(nodes, edges).where("outlet IS NOT NULL").select("node", F.col("outlet").alias("original"))
+    big = keep.groupBy("outlet").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return keep.join(big, "outlet").join(whole, "node").select("node", "outlet", "size", "original")
 
 
 def first_gauge_below(nodes: DataFrame, edges: DataFrame, gauges: DataFrame) -> DataFrame:
-    """node and gauge: the first gauge at or below each node."""
-    up = upstream(edges, gauges)
-    return up.groupBy("node").agg(F.min(F.struct("depth", "start")).alias("m")).select("node", F.col("m.start").alias("gauge"))
+    """node and gauge: the first gauge at or below each node; nodes without one are left out."""
+    return gauges_below(nodes, edges, gauges).where("first IS NOT NULL").select("node", F.col("first").alias("gauge"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.operators.graph import cut
-from rillflow.operators.windows import rows_before
+from rillflow.operators.windows import exact_quantiles, rows_before
 
 #: Rows count where observation and prediction are above LEAST, and sites where more than FEWEST rows do.
 LEAST, FEWEST = 0.001, 8
@@ -57,22 +57,45 @@ def agreement() -> Column:
     return 1 - _over(_sse() / F.count("o"), below)
 
 
+def r2() -> Column:
+    """As NSE, but of flat observations 1 where all predictions are right and else 0."""
+    return F.when(F.var_pop("o") == 0, F.when(_sse() == 0, 1.0).otherwise(0.0)).otherwise(nse())
+
+
+def _signed(m: Column) -> Column:
+    return 100 * F.signum(m) * (F.exp(F.abs(m)) - 1)
+
+
+#: name -> (value of a pair, quantile, what the quantile becomes): metrics of an order of all pairs.
+QUANTILES: dict[str, tuple[Callable[[], Column], float, Callable[[Column], Column]]] = {
+    "sigE": (lambda: F.abs((F.col("p") - F.col("mp") - (F.col("o") - F.col("mo"))) / F.col("mo")), 0.67, lambda m: m),
+    "nBias": (lambda: (F.col("p") - F.col("o")) / F.col("o"), 0.5, lambda m: m),
+    "RE": (lambda: F.abs(F.ln(F.col("p") / F.col("o"))), 0.5, lambda m: 100 * (F.exp(m) - 1)),
+    "RB": (lambda: F.ln(F.col("p") / F.col("o")), 0.5, _signed),
+}
+
+
+def _of_quantile(name: str) -> Callable[[], Column]:
+    value, q, finish = QUANTILES[name]
+    return lambda: finish(F.percentile(value(), q))
+
+
 #: name -> Column builder over o, p, ro, rp, mo, mp; to add a metric is to add an entry.
 METRICS: dict[str, Callable[[], Column]] = {
     "num_obs": lambda: F.count("o"),
-    "R2": nse,
+    "R2": r2,
     "r": lambda: _corr("ro", "rp"),
     "NSE": nse,
     "KGE": kge,
     "kge_r": lambda: _corr("o", "p"),
     "kge_alpha": lambda: _over(F.stddev_pop("p"), F.stddev_pop("o")),
-    "kge_beta": lambda: _over(F.avg("p"), F.avg("o")),
-    "sigE": lambda: F.percentile(F.abs((F.col("p") - F.col("mp") - (F.col("o") - F.col("mo"))) / F.col("mo")), 0.67),
+    "kge_beta": lambda: F.when(F.stddev_pop("o") != 0, _over(F.avg("p"), F.avg("o"))),
+    "sigE": _of_quantile("sigE"),
     "rRMSE": lambda: 100 * _over(F.sqrt(_sse() / F.count("o")), F.avg("p")),
     "MAPE": lambda: F.avg(F.abs((F.col("p") - F.col("o")) / F.col("o"))),
-    "nBias": lambda: F.median((F.col("p") - F.col("o")) / F.col("o")),
-    "RE": lambda: 100 * (F.exp(F.median(F.abs(F.ln(F.col("p") / F.col("o"))))) - 1),
-    "RB": lambda: _signed(F.median(F.ln(F.col("p") / F.col("o")))),
+    "nBias": _of_quantile("nBias"),
+    "RE": _of_quantile("RE"),
+    "RB": _of_quantile("RB"),
     "agreement": agreement,
     "MAE": lambda: F.avg(F.abs(F.col("p") - F.col("o"))),
     "RMSE": lambda: F.sqrt(_sse() / F.count("o")),
@@ -80,15 +103,15 @@ METRICS: dict[str, Callable[[], Column]] = {
 }
 
 
-def _signed(m: Column) -> Column:
-    return 100 * F.signum(m) * (F.exp(F.abs(m)) - 1)
-
-
 def skill(df: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred", metrics: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
-    """One row a key with each metric; without keys one row in bulk. Metrics of too few pairs are missing."""
+    """One row a key with each metric; without keys one row in bulk, whose quantiles are picked by rank. Metrics of too few pairs are missing."""
     d = _prepared(df, keys, obs, pred)
     chosen = METRICS if metrics is None else metrics
-    out = d.groupBy(*keys).agg(*[f().alias(n) for n, f in chosen.items()], F.count("*").alias("_n"))
+    ranked = [] if keys else [n for n, f in chosen.items() if n in QUANTILES and f is METRICS[n]]
+    out = d.groupBy(*keys).agg(*[f().alias(n) for n, f in chosen.items() if n not in ranked], F.count("*").alias("_n"))
+    if ranked:
+        q = exact_quantiles(cut(d), {n: (QUANTILES[n][0](), QUANTILES[n][1]) for n in ranked})  # both sides have one row
+        out = out.crossJoin(q.select(*[QUANTILES[n][2](F.col(n)).alias(n) for n in ranked]))
     return out.select(*keys, *[F.when((F.col("_n") > FEWEST) | F.lit(n == "num_obs"), F.col(n)).alias(n) for n in chosen])
 
 
@@ -109,7 +132,8 @@ def log_r2(df: DataFrame, keys: list[str], obs: str, pred: str, most_without: in
 
 def median_skill(per_site: DataFrame, metrics: list[str], least: int = 10) -> DataFrame:
     """Median of each metric over the sites with enough observations."""
-    return per_site.where(F.col("num_obs") >= least).agg(*[F.median(m).alias(m) for m in metrics], F.count("*").alias("sites"))
+    sites = per_site.where(F.col("num_obs") >= least)
+    return exact_quantiles(sites, {m: (F.col(m), 0.5) for m in metrics}).crossJoin(sites.agg(F.count("*").alias("sites")))
 
 
 def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
@@ -120,7 +144,8 @@ def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
-    return df.agg(*[F.percentile(value, q).alias(f"q{round(100 * q)}") for q in at])
+    """Exact quantiles of all rows, by rank; columns q50 and so on."""
+    return exact_quantiles(df, {f"q{round(100 * q)}": (F.col(value), q) for q in at})
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, log: bool = False) -> DataFrame:

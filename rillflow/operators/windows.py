@@ -75,19 +75,42 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def rows_before(df: DataFrame, by: list[Column], name: str) -> DataFrame:
-    """df with name, the number of rows that sort before a row, and name_ties, of those that sort as it does.
+def ranked_values(df: DataFrame, key: Column) -> DataFrame:
+    """_k, each distinct value of the key, with _before, the rows that sort before it, and _n, its rows.
 
     Counts of distinct values are dealt by range, summed within a partition and moved by the partitions' totals, of which there is one a partition; no task holds the whole order.
     """
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
     counts = df.groupBy(key.alias("_k")).agg(F.count("*").alias("_n"))
     parts = cut(counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k").withColumn("_p", F.spark_partition_id()))
     totals = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))
     moved = totals.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_o"))
     earlier = F.sum("_n").over(Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
     out = parts.withColumn("_b", F.coalesce(earlier, F.lit(0))).join(F.broadcast(moved), "_p")
-    return df.withColumn("_k", key).join(out.select("_k", (F.col("_b") + F.col("_o")).alias(name), F.col("_n").alias(f"{name}_ties")), "_k").drop("_k")
+    return out.select("_k", (F.col("_b") + F.col("_o")).alias("_before"), "_n")
+
+
+def rows_before(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """df with name, the number of rows that sort before a row, and name_ties, of those that sort as it does."""
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
+    ranked = ranked_values(df, key).select("_k", F.col("_before").alias(name), F.col("_n").alias(f"{name}_ties"))
+    return df.withColumn("_k", key).join(ranked, "_k").drop("_k")
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row with a column for each name: the exact quantile of a value over all rows where it is there, interpolated between two ranks; missing without rows.
+
+    All values are ranked at once, by name and value, so that there is one shuffle by value and one by range; then the two rows at a quantile's place are picked.
+    """
+    values = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, (v, _) in wanted.items()])
+    rows = df.select(F.explode(values).alias("x")).select("x.name", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ranked = ranked_values(rows, F.struct("name", "v")).select("_k.name", "_k.v", "_before", "_n")
+    per = ranked.groupBy("name").agg(F.min("_before").alias("first"), F.sum("_n").alias("all"))  # a row a name
+    at = F.element_at(F.create_map(*[x for n, (_, q) in wanted.items() for x in (F.lit(n), F.lit(float(q)))]), F.col("name"))
+    placed = ranked.join(F.broadcast(per.withColumn("h", at * (F.col("all") - 1))), "name").withColumn("i", F.col("_before") - F.col("first"))
+    holds = lambda h: F.max(F.when((F.col("i") <= h) & (h < F.col("i") + F.col("_n")), F.col("v")))
+    picked = placed.groupBy("name").agg(holds(F.floor("h")).alias("lo"), holds(F.ceil("h")).alias("hi"), F.first(F.col("h") - F.floor("h")).alias("w"))
+    found = picked.select("name", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("v"))
+    return found.agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in wanted])
 
 
 def every_fifth(df: DataFrame, size: str, key: str) -> DataFrame:

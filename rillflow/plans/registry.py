@@ -312,10 +312,13 @@ def _source(name: str) -> str:
     return f"SELECT subbasin, date, round(avg(value), 6) AS {name}__value FROM ({OBS}) WHERE source = '{name}' GROUP BY ALL"
 
 
-@query(f"SELECT * FROM ({_source('click')}) FULL JOIN ({_source('view')}) USING (subbasin, date)")
+_EVENTS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT * FROM " + " FULL JOIN ".join(f"({_source(s)})" + " USING (subbasin, date)" * (i > 0) for i, s in enumerate(_EVENTS)))
 def source_align(t: Tables) -> DataFrame:
     one = lambda s: t.obs().where(F.col("source") == s).groupBy("subbasin", "date").agg(F.round(F.avg("value"), 6).alias("value"))
-    return lake.aligned({s: one(s) for s in ("click", "view")})
+    return lake.aligned({s: one(s) for s in _EVENTS})
 
 
 DENSE = f"""SELECT s.subbasin, c.date, d.value FROM (SELECT DISTINCT subbasin FROM ({OBS})) s CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM ({DAILY})), (SELECT max(date) FROM ({DAILY})), INTERVAL 1 DAY))::DATE AS date) c
@@ -390,12 +393,36 @@ def degree_stats(t: Tables) -> DataFrame:
 _UP = f"SELECT DISTINCT start FROM ({_WALK} SELECT * FROM r) WHERE node IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000)"
 
 
+_GAUGE = "SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 2000"
+
+
+def _gauges(t: Tables) -> DataFrame:
+    return t.raw("supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("node")).join(t.reach(), "node", "left_semi")
+
+
 @query(f"""WITH RECURSIVE keep AS ({_UP}), e AS (SELECT src, dst FROM ({EDGES}) WHERE src IN (FROM keep) AND dst IN (FROM keep)),
-  w AS (SELECT start, start AS node, 0 AS d FROM keep UNION ALL SELECT w.start, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node), o AS (SELECT start AS node, max_by(node, d) AS outlet FROM w GROUP BY 1)
-  SELECT node, outlet, count(*) OVER (PARTITION BY outlet) AS size FROM o QUALIFY size >= 3""")
+  w AS (SELECT start, start AS node, 0 AS d FROM keep UNION ALL SELECT w.start, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node), o AS (SELECT start AS node, max_by(node, d) AS outlet FROM w GROUP BY 1),
+  x AS (SELECT start AS node, max_by(node, d) AS original FROM ({_WALK} SELECT * FROM r) GROUP BY 1)
+  SELECT node, outlet, count(*) OVER (PARTITION BY outlet) AS size, original FROM o JOIN x USING (node) QUALIFY size >= 3""")
 def prune_to_gauges(t: Tables) -> DataFrame:
-    gauges = t.raw("supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("node")).join(t.reach(), "node", "left_semi")
-    return graph.pruned(t.reach(), t.edges(), gauges, 3)
+    return graph.pruned(t.reach(), t.edges(), _gauges(t), 3)
+
+
+@query(f"""{_WALK} SELECT start AS node, min_by(node, d) FILTER (g) AS first, max_by(node, d) FILTER (g) AS last FROM (SELECT *, node IN ({_GAUGE}) AS g FROM r) GROUP BY 1""")
+def gauges_below(t: Tables) -> DataFrame:
+    return graph.gauges_below(t.reach(), t.edges(), _gauges(t))
+
+
+_RING = "SELECT user_id AS src, max(CASE WHEN user_id % 7 < 3 THEN user_id - user_id % 7 + (user_id % 7 + 1) % 3 ELSE user_id - 1 END) AS dst FROM events GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({_RING}), w AS (SELECT src AS start, dst AS node, 1 AS d FROM e UNION ALL SELECT start, e.dst, d + 1 FROM w JOIN e ON e.src = w.node WHERE d < 8)
+  SELECT DISTINCT start AS node FROM w WHERE node = start""")
+def cycle_nodes(t: Tables) -> DataFrame:
+    """Rings of three users, each with tails of four that lead into the ring."""
+    u, r = F.col("user_id"), F.col("user_id") % 7
+    e = t.raw("events").select(u.alias("src"), F.when(r < 3, u - r + (r + 1) % 3).otherwise(u - 1).alias("dst")).distinct()
+    return graph.on_cycles(e.select(F.col("src").alias("node")), e)
 
 
 @query(f"""WITH v AS (SELECT node, node::DOUBLE AS value FROM ({REACH})), a AS (SELECT v.node, coalesce(sum(u.value), 0) AS value FROM v LEFT JOIN ({EDGES}) e ON e.dst = v.node LEFT JOIN v u ON u.node = e.src GROUP BY 1),
