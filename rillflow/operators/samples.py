@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_index(df: DataFrame, targets: list[str], length: int, start: str) -> DataFrame:
-    """sample_id, basin_idx, basin and end date: days from start + length on at which any target of any subbasin is there; numbered by basin, then day."""
-    any_ = F.lit(False)
+def sample_index(df: DataFrame, targets: list[str], length: int, start: str, predict: bool = False) -> DataFrame:
+    """sample_id, basin_idx, basin and end date: days from start + length on at which any target of any subbasin is there, or all such days to predict; numbered by basin, then day."""
+    any_ = F.lit(predict)
     for t in targets:
         any_ = any_ | F.col(t).isNotNull()
     ok = df.groupBy("basin", "date").agg(F.bool_or(any_).alias("ok")).where(F.col("ok") & (F.col("date") >= F.date_add(F.to_date(F.lit(start)), length)))
@@ -23,13 +23,27 @@ def sample_index(df: DataFrame, targets: list[str], length: int, start: str) ->
     return ok.join(per, "basin").select((F.col("_before") + day).cast("long").alias("sample_id"), "basin_idx", "basin", F.col("date").alias("end_date"))
 
 
+def halo_blocks(dense: DataFrame, keys: list[str], date: str, values: list[str], length: int, days: int | None = None) -> DataFrame:
+    """keys, block, d and values: a dense series as arrays of consecutive days, with d, the days since 1970 of each entry.
+
+    A block has so many days (twice the length by default) and, before them, the length - 1 days of the block before, so that each run of length days lies whole in the block of its last
+    day. A value is stored 1 + (length - 1) / days times, not length times; it is shuffled by the first key and the block, so blocks of one first key and block stay together.
+    """
+    days = days or max(2 * length, 16)
+    d = F.unix_date(F.col(date))
+    own = F.floor(d / days).cast("int")
+    last = F.floor((d + length - 1) / days).cast("int")  # of days shorter than the halo, some blocks behind
+    rows = dense.select(*keys, d.alias("_d"), *values, F.explode(F.sequence(own, last)).alias("block"))
+    rows = rows.repartition(keys[0], "block")
+    series = rows.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("_d", *values))).alias("_r"))
+    return series.select(*keys, "block", F.col("_r._d").alias("d"), *[F.col(f"_r.{v}").alias(v) for v in values])
+
+
 def sequences(dense: DataFrame, site: str, date: str, values: list[str], length: int) -> DataFrame:
-    """For each day of a dense series with length days behind it, the arrays of the last length values."""
-    w = Window.partitionBy(site).orderBy(date).rowsBetween(-(length - 1), 0)
-    # a missing value would fall out of a list, so each is wrapped
-    lists = {c: F.transform(F.collect_list(F.struct(F.col(c).alias("v"))).over(w), lambda x: x["v"]) for c in values}
-    full = F.count(F.lit(1)).over(w)
-    return dense.select(site, date, *[e.alias(f"{c}_seq") for c, e in lists.items()], full.alias("_n")).where(F.col("_n") == length).drop("_n")
+    """For each day of a dense series with length - 1 days behind it, the arrays of the last length values: slices of halo blocks, made behind the only shuffle."""
+    b = halo_blocks(dense, [site], date, values, length).where(F.size("d") >= length)
+    at = b.withColumn("_i", F.explode(F.sequence(F.lit(length), F.size("d"))))
+    return at.select(site, F.date_from_unix_date(F.get("d", F.col("_i") - 1)).alias(date), *[F.slice(v, F.col("_i") - length + 1, length).alias(f"{v}_seq") for v in values])
 
 
 def hashed_order(*columns: Column, seed: int = 0) -> Column:

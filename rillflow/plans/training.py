@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions import columns as C
 from rillflow.operators import features, graph, ingest, metrics, samples
 from rillflow.plans.registry import DENSE, dense_export, query, rounded, unequal
-from rillflow.plans.tables import ATTRS, DAILY, OBS, POINTS, PRED_OBS, REACH, SWOT, Tables
+from rillflow.plans.tables import ATTRS, DAILY, EDGES, OBS, POINTS, PRED_OBS, REACH, SWOT, Tables
+from rillflow.sources import lake
 
 # --------------------------------------------------------------------------- joins of sources
 
@@ -206,6 +208,76 @@ def collated_batches(t: Tables) -> DataFrame:
     return features.collated(b, n, e, 32)
 
 
+_NODES = f"SELECT s.subbasin, s.subbasin % 5 AS basin, c_acctbal AS a, s.subbasin IN (SELECT s_suppkey FROM supplier) AS inside, (row_number() OVER (PARTITION BY s.subbasin % 5 ORDER BY s.subbasin) - 1)::BIGINT AS place FROM (SELECT DISTINCT subbasin FROM ({OBS})) s LEFT JOIN customer ON c_custkey = s.subbasin"
+_TWO = f"SELECT subbasin, date, CAST(avg(value) FILTER (source = 'view') AS DOUBLE) AS v, CAST(avg(flags) FILTER (source <> 'view') AS DOUBLE) AS k FROM ({OBS}) GROUP BY ALL"
+_TWO_DENSE = f"SELECT s.subbasin, s.basin, s.date, t.v, t.k FROM (SELECT n.subbasin, n.basin, c.date FROM ({_NODES}) n CROSS JOIN (SELECT unnest(generate_series((SELECT min(date) FROM ({DAILY})), (SELECT max(date) FROM ({DAILY})), INTERVAL 1 DAY))::DATE AS date) c) s LEFT JOIN ({_TWO}) t USING (subbasin, date)"
+_BATCH = 3
+
+
+def _whole(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Sample index and whole samples of five basins with two variables, static attributes, edges and inflow."""
+    two = t.obs().groupBy("subbasin", "date").agg(F.avg(F.when(F.col("source") == "view", F.col("value"))).alias("v"), F.avg(F.when(F.col("source") != "view", F.col("flags"))).alias("k"))
+    days = t.daily().agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    dense = lake.dense(two, two, days).withColumn("basin", F.col("subbasin") % 5)
+    places = graph.numbered(t.reach().select("node", (F.col("node") % 5).alias("basin")), "basin")
+    inner = t.edges().where("src % 5 = dst % 5")
+    at = lambda x: places.select(F.col("node").alias(x), F.col("place").alias(f"_{x}"))
+    edges = inner.join(at("src"), "src").join(at("dst"), "dst").select((F.col("src") % 5).alias("basin"), F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    static = t.raw("customer").select(F.col("c_custkey").alias("subbasin"), F.col("c_acctbal").alias("a"))
+    index = samples.sample_index(dense, ["v", "k"], 4, str(t.daily().agg(F.min("date")).first()[0]))
+    subset = t.raw("supplier").select(F.col("s_suppkey").alias("subbasin"))
+    return index, features.assembled(index, dense, places, ["v", "k", "absent"], ["v", "k"], subset, 4, static, edges=edges, inflow=graph.inflow_slots(inner, places))
+
+
+def _collated(t: Tables) -> DataFrame:
+    index, whole = _whole(t)
+    b = index.select("sample_id", F.floor(F.col("sample_id") / _BATCH).cast("long").alias("batch"), (F.col("sample_id") % _BATCH).alias("slot"))
+    most = t.reach().groupBy(F.col("node") % 5).count().agg(F.max("count")).first()[0]
+    return features.collated_samples(b, whole, _BATCH * most + 2, {"sat": ["v", "absent"], "flag": ["k"]}, ["v", "k"], ["a"], fill=-1.0)
+
+
+_INDEX = f"""SELECT row_number() OVER (ORDER BY basin, date) - 1 AS i, basin, date AS end_date FROM (SELECT basin, date FROM ({_TWO_DENSE}) GROUP BY ALL HAVING bool_or(v IS NOT NULL OR k IS NOT NULL) AND date >= (SELECT min(date) FROM ({DAILY})) + 4)"""
+_COLLATED = f"""WITH n AS MATERIALIZED ({_NODES}), d AS MATERIALIZED ({_TWO_DENSE}), i AS MATERIALIZED ({_INDEX}), size AS (SELECT {_BATCH} * max(c) + 2 AS size FROM (SELECT count(*) AS c FROM n GROUP BY basin)),
+  s AS (SELECT i // {_BATCH} AS batch, i % {_BATCH} AS slot, i.basin, end_date, n.subbasin, n.place, n.a, n.inside FROM i JOIN n USING (basin)),
+  p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY slot, place) - 1 AS pos, count(*) OVER (PARTITION BY batch) AS real FROM s),
+  o AS MATERIALIZED (SELECT batch, slot, min(pos) AS off FROM p GROUP BY ALL),
+  w AS MATERIALIZED (SELECT p.batch, p.pos, t.t, d.v, d.k, p.inside FROM p CROSS JOIN (SELECT unnest(range(4)) AS t) t JOIN d ON d.subbasin = p.subbasin AND d.date = p.end_date - 3 + t.t::INTEGER),
+  c AS (SELECT batch, t, list([v, NULL::DOUBLE] ORDER BY pos) AS sat, list([k] ORDER BY pos) AS flag, list(CASE WHEN inside THEN v END ORDER BY pos) AS yv, list(CASE WHEN inside THEN k END ORDER BY pos) AS yk FROM w GROUP BY ALL),
+  x AS (SELECT batch, list(list_concat(sat, list_transform(range(size - len(sat)), lambda z: [-1::DOUBLE, -1])) ORDER BY t) AS x_sat, list(list_concat(flag, list_transform(range(size - len(flag)), lambda z: [-1::DOUBLE])) ORDER BY t) AS x_flag,
+    [list_resize(max_by(yv, t), any_value(size), -1)] AS y_v, [list_resize(max_by(yk, t), any_value(size), -1)] AS y_k FROM c, size GROUP BY 1),
+  e AS MATERIALIZED (SELECT p.batch, p.slot, p.pos - p.place + a.place AS src, p.pos - p.place + b.place AS dst FROM p JOIN ({EDGES}) e ON e.src = p.subbasin JOIN n a ON a.subbasin = e.src JOIN n b ON b.subbasin = e.dst WHERE a.basin = b.basin),
+  g AS (SELECT batch, list(src ORDER BY slot, src, dst) AS src, list(dst ORDER BY slot, src, dst) AS dst FROM e GROUP BY 1),
+  f AS (SELECT batch, dst AS pos, list(src ORDER BY src)[1:2] AS l FROM e GROUP BY ALL),
+  q AS (SELECT p.batch, list([coalesce(l[1], real), coalesce(l[2], real)] ORDER BY pos) AS l, list([coalesce(len(l) >= 1, false), coalesce(len(l) >= 2, false)] ORDER BY pos) AS m FROM p LEFT JOIN f USING (batch, pos) GROUP BY 1),
+  m AS (SELECT batch, any_value(real) AS real, list(basin ORDER BY pos) AS basin, list(subbasin ORDER BY pos) AS subbasin, list(end_date ORDER BY pos) AS end_date, list([a] ORDER BY pos) AS s, list(slot ORDER BY pos) AS idx FROM p GROUP BY 1)
+  SELECT m.batch, m.real, m.basin, m.subbasin, m.end_date, x_sat, x_flag, y_v, y_k, list_concat(m.s, list_transform(range(size - m.real), lambda z: [-1::DOUBLE])) AS s, list_resize(coalesce(g.src, []), size, m.real) AS src, list_resize(coalesce(g.dst, []), size, m.real) AS dst,
+    list_resize(m.idx, size, 0) AS graph_idx, list_transform(range(size), lambda z: z < m.real) AS node_mask, list_transform(range(size), lambda z: z < coalesce(len(g.src), 0)) AS edge_mask,
+    list_concat(q.l, list_transform(range(size - m.real), lambda z: [m.real, m.real])) AS inflow, list_concat(q.m, list_transform(range(size - m.real), lambda z: [false, false])) AS inflow_mask
+  FROM m JOIN x USING (batch) JOIN q USING (batch) LEFT JOIN g USING (batch), size"""
+
+
+@query(_COLLATED)
+def collated_samples(t: Tables) -> DataFrame:
+    return _collated(t)
+
+
+def _mean_model(batch: dict) -> dict:
+    """Predicts from the last two days of each node and its attribute, with a deviation for one target."""
+    v, k = np.nan_to_num(batch["x_sat"][-2:, :, 0]), np.nan_to_num(batch["x_flag"][-2:, :, 0])
+    return {"v": (0.01 * v.sum(0) + 0.1, 0.5 + 0 * v[0]), "k": k.mean(0) + np.nan_to_num(batch["s"][:, 0]) / 1000}
+
+
+@query(f"""WITH d AS MATERIALIZED ({_TWO_DENSE}), n AS ({_NODES}), i AS ({_INDEX})
+  SELECT i.basin, n.subbasin, i.end_date AS date, CASE WHEN inside THEN round(exp(2 * b.v + 1) - 1, 4) END AS obs_v, round(exp(2 * (0.01 * (coalesce(a.v, 0) + coalesce(b.v, 0)) + 0.1) + 1) - 1, 4) AS pred_v,
+    round(sqrt((exp(1.0) - 1) * exp(2 * (2 * (0.01 * (coalesce(a.v, 0) + coalesce(b.v, 0)) + 0.1) + 1) + 1)), 4) AS pred_v_std, CASE WHEN inside THEN round(b.k * 3 + 7, 4) END AS obs_k, round(((coalesce(a.k, 0) + coalesce(b.k, 0)) / 2 + coalesce(n.a, 0) / 1000) * 3 + 7, 4) AS pred_k
+  FROM i JOIN n USING (basin) JOIN d b ON b.subbasin = n.subbasin AND b.date = i.end_date JOIN d a ON a.subbasin = n.subbasin AND a.date = i.end_date - 1""".replace("exp(2 * b.v + 1)", "exp(2 * b.v / 100 + 1)"))
+def batch_predictions(t: Tables) -> DataFrame:
+    """The whole path: daily sources, sample index, halo blocks, whole samples, collated batches, a model, natural units."""
+    small = _collated(t).withColumn("y_v", F.transform("y_v", lambda d: F.transform(d, lambda v: v / 100)))
+    out = features.batch_predictions(small, _mean_model, {"v": (1.0, 2.0, True), "k": (7.0, 3.0, False)}, deviation=True)
+    return rounded(out, ["obs_v", "pred_v", "pred_v_std", "obs_k", "pred_k"]).select("basin", "subbasin", "date", "obs_v", "pred_v", "pred_v_std", "obs_k", "pred_k")
+
+
 _PAIR = """SELECT c_nationkey AS basin, o_orderkey, o_totalprice AS obs, exp(11 + 0.5 * (o_totalprice / 200000 - 0.1 * c_nationkey / 25)) - 1 AS pred FROM orders JOIN customer ON c_custkey = o_custkey"""
 
 
