@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import distance
-from rillflow.operators.windows import first_per_key
+from rillflow.operators.windows import first_per_key, rows_before
 
 
 def buffer_join(left: DataFrame, right: DataFrame, radius: float, how: str = "inner") -> DataFrame:
@@ -66,26 +66,43 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame, size: float) -> DataFrame
     return hit.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("cell", "box")
 
 
-def coverage_weights(cells: DataFrame, rings: DataFrame, size: float, per_side: int = 10) -> DataFrame:
-    """Share of each grid cell (cell, x, y at its middle) inside each polygon (zone, ring: array of points), from per_side x per_side points of the cell."""
-    steps = [(i + 0.5) / per_side - 0.5 for i in range(per_side)]
-    axis = lambda c: F.transform("ring", lambda p: p[c])
-    box = rings.select("*", *[f(axis(c)).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
-    near = (F.col("x") >= F.col("x0") - size) & (F.col("x") <= F.col("x1") + size) & (F.col("y") >= F.col("y0") - size) & (F.col("y") <= F.col("y1") + size)
-    band = lambda c: F.floor(c / F.lit(size * 64)).cast("long")
-    box = box.withColumn("_b", F.explode(F.sequence(band(F.col("x0") - size), band(F.col("x1") + size))))
-    pairs = cells.withColumn("_b", band(F.col("x"))).join(box, "_b").where(near)
-    points = F.array(*[F.struct(F.lit(a * size).alias("a"), F.lit(b * size).alias("b")) for a in steps for b in steps])
-    p = pairs.withColumn("_p", F.explode(points)).withColumns({"px": F.col("x") + F.col("_p.a"), "py": F.col("y") + F.col("_p.b")})
-    n = F.size("ring")
-    edge = lambda i: (F.get("ring", i), F.get("ring", (i + 1) % n))
+def covered(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The exact area that a ring (array of points; closed or not, of either direction, dents allowed) has within a box.
+
+    Each edge adds, over the part of the box's x that it spans, the mean height that it has above the box's floor, held within the box; edges back take away. Of an edge that rises
+    through the box's floor or ceiling the share below, within and above counts on its own, so the sum is exact.
+    """
+    n = F.size(ring)
+    u, v = (lambda i: F.get(ring, i)), (lambda i: F.get(ring, (i + 1) % n))
+    held = lambda y: F.greatest(F.least(y, y1), y0)
 
-    def crosses(i):
-        u, v = edge(i)
-        return F.when(((u["y"] > F.col("py")) != (v["y"] > F.col("py"))) & (F.col("px") < (v["x"] - u["x"]) * (F.col("py") - u["y"]) / (v["y"] - u["y"]) + u["x"]), 1).otherwise(0)
+    def part(i: Column) -> Column:
+        ax, ay, bx, by = u(i)["x"], u(i)["y"], v(i)["x"], v(i)["y"]
+        within = lambda x: F.greatest(F.least(x, x1), x0)
+        rise = (by - ay) / F.when(bx != ax, bx - ax)
+        s = F.when(within(ax) == ax, ay).otherwise(ay + (within(ax) - ax) * rise)
+        t = F.when(within(bx) == bx, by).otherwise(ay + (within(bx) - ax) * rise)
+        span = F.when(F.abs(t - s) > 1e-13 * (y1 - y0), t - s)
+        inside = (held(t) - held(s)) / span * ((held(s) + held(t)) / 2 - y0)
+        above = (F.greatest(t, y1) - F.greatest(s, y1)) / span * (y1 - y0)
+        mean = F.coalesce(inside + above, held((s + t) / 2) - y0)
+        return F.coalesce((within(bx) - within(ax)) * mean, F.lit(0.0))
 
-    inside = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), crosses), F.lit(0), lambda a, x: a + x) % 2
-    return p.groupBy("cell", "zone").agg(F.avg(inside).alias("w")).where("w > 0")
+    return F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), part), F.lit(0.0), lambda a, x: a + x))
+
+
+def coverage_weights(cells: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+    """Share of each grid cell (cell, x, y at its middle) inside each polygon (zone, ring: array of points), by exact areas; cells and rings meet on coarse cells of 64 by 64."""
+    axis = lambda c: F.transform("ring", lambda p: p[c])
+    box = rings.where(F.size("ring") > 2).select("*", *[f(axis(c)).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
+    band = lambda c: F.floor(c / F.lit(size * 64)).cast("long")
+    half = F.lit(size / 2)
+    for c in "xy":
+        box = box.withColumn(f"_{c}", F.explode(F.sequence(band(F.col(f"{c}0") - half), band(F.col(f"{c}1") + half))))
+    pairs = cells.withColumns({f"_{c}": band(F.col(c)) for c in "xy"}).join(box, ["_x", "_y"])
+    near = (F.col("x") + half > F.col("x0")) & (F.col("x") - half < F.col("x1")) & (F.col("y") + half > F.col("y0")) & (F.col("y") - half < F.col("y1"))
+    x, y = F.col("x"), F.col("y")
+    return pairs.where(near).select("cell", "zone", (covered(F.col("ring"), x - half, y - half, x + half, y + half) / (size * size)).alias("w")).where("w > 0")
 
 
 def point_on_line(line: str = "line", x: str = "x", y: str = "y", lo: float = 0.01, hi: float = 0.99):
@@ -110,21 +127,33 @@ def point_on_line(line: str = "line", x: str = "x", y: str = "y", lo: float = 0.
     return F.greatest(F.least(found / F.when(total > 0, total), F.lit(hi)), F.lit(lo))
 
 
-def spatial_batches(points: DataFrame, batch: int, seed: int = 1, pad: float = 0.1) -> DataFrame:
-    """k-means groups of about batch points (id, x, y), with their bounding boxes padded and snapped outward to the grid."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def hilbert_key(x: Column, y: Column, bits: int = 16) -> Column:
+    """The place of a cell (whole numbers below 2 ** bits) along the Hilbert curve, on which neighbours stay close."""
+    n = 1 << bits
+
+    def step(at: Column, s: Column) -> Column:
+        right, up = at["x"].bitwiseAND(s) != 0, at["y"].bitwiseAND(s) != 0
+        d = at["d"] + s * s * F.when(right & ~up, 3).when(right, 2).when(up, 1).otherwise(0)
+        turned = lambda c: F.when(right & ~up, n - 1 - c).otherwise(c)
+        return F.struct(F.when(up, at["x"]).otherwise(turned(at["y"])).alias("x"), F.when(up, at["y"]).otherwise(turned(at["x"])).alias("y"), d.alias("d"))
+
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    return F.aggregate(F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(bits))]), start, step, lambda at: at["d"])
+
+
+def spatial_batches(points: DataFrame, batch: int, pad: float = 0.1, bits: int = 16) -> DataFrame:
+    """points (id, x, y) in batches of exactly batch points along a Hilbert curve (the last has the rest), with n and their bounding boxes padded and snapped outward to the grid.
 
-    k = max(1, -(-points.count() // batch))
-    v = VectorAssembler(inputCols=["x", "y"], outputCol="v").transform(points)
-    if k == 1:
-        labelled = points.withColumn("batch", F.lit(0))
-    else:
-        labelled = KMeans(k=k, featuresCol="v", predictionCol="batch", seed=seed).fit(v).transform(v).drop("v")
+    Places on the curve are counted by range, so no task sees all points; a batch is a run of the curve, its box a group of batch points.
+    """
+    extent = points.agg(*[f(c).alias(f"_{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))])
+    cell = lambda c: F.floor(F.coalesce((F.col(c) - F.col(f"_{c}0")) / F.when(F.col(f"_{c}1") > F.col(f"_{c}0"), F.col(f"_{c}1") - F.col(f"_{c}0")), F.lit(0.0)) * ((1 << bits) - 1))
+    keyed = points.crossJoin(F.broadcast(extent)).select(*points.columns, hilbert_key(cell("x"), cell("y"), bits).alias("_key"))
+    labelled = rows_before(keyed, [F.col("_key"), F.col("id")], "_before").withColumn("batch", F.floor(F.col("_before") / batch).cast("long")).select(*points.columns, "batch")
     box = labelled.groupBy("batch").agg(
         *[(F.floor((F.min(c) - pad) / pad) * pad).alias(f"{c}0") for c in "xy"], *[(F.ceil((F.max(c) + pad) / pad) * pad).alias(f"{c}1") for c in "xy"], F.count("*").alias("n")
     )
-    return labelled.join(F.broadcast(box), "batch") if k <= 10_000 else labelled.join(box, "batch")
+    return labelled.join(box, "batch")
 
 
 def grid_snapped(df: DataFrame, column: str, step: float = 0.1, tolerance: float = 0.01) -> DataFrame:

@@ -493,9 +493,29 @@ def downstream_vectors(t: Tables) -> DataFrame:
     return rounded(matching.downstream_vectors(p), ["dx", "dy"])
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT *, floor((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) * 65535)::BIGINT AS i, floor((y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) * 65535)::BIGINT AS j FROM ({POINTS})),
+  h AS (SELECT id, i, j, 0::BIGINT AS d, 32768::BIGINT AS s FROM p UNION ALL
+    SELECT id, CASE WHEN j & s <> 0 THEN i WHEN i & s <> 0 THEN 65535 - j ELSE j END, CASE WHEN j & s <> 0 THEN j WHEN i & s <> 0 THEN 65535 - i ELSE i END,
+      d + s * s * CASE WHEN i & s <> 0 AND j & s = 0 THEN 3 WHEN i & s <> 0 THEN 2 WHEN j & s <> 0 THEN 1 ELSE 0 END, s // 2 FROM h WHERE s > 0),
+  b AS (SELECT p.id, x, y, (row_number() OVER (ORDER BY d, p.id) - 1) // 50 AS batch FROM p JOIN h ON h.id = p.id AND h.s = 0)
+  SELECT id, batch, count(*) OVER (PARTITION BY batch) AS n, round(floor((min(x) OVER (PARTITION BY batch) - 0.1) / 0.1) * 0.1, 4) AS x0, round(ceil((max(y) OVER (PARTITION BY batch) + 0.1) / 0.1) * 0.1, 4) AS y1 FROM b""")
 def spatial_batches(t: Tables) -> DataFrame:
-    return matching.spatial_batches(t.points(), 50)
+    return rounded(matching.spatial_batches(t.points(), 50).select("id", "batch", "n", "x0", "y1"), ["x0", "y1"])
+
+
+@query(f"""WITH r AS (SELECT id AS zone, [{{'x': x, 'y': y}}, {{'x': x + 9, 'y': y + 2}}, {{'x': x + 4, 'y': y + 3}}, {{'x': x + 7, 'y': y + 8}}, {{'x': x, 'y': y + 6}}] AS ring FROM ({POINTS})),
+  c AS (SELECT id AS cell, floor(x) AS x0, floor(y) AS y0 FROM ({POINTS})),
+  e AS (SELECT cell, zone, x0, y0, unnest(list_transform(range(5), lambda i: {{'ax': ring[i + 1].x, 'ay': ring[i + 1].y, 'bx': ring[(i + 1) % 5 + 1].x, 'by': ring[(i + 1) % 5 + 1].y}})) AS e FROM c JOIN r ON x0 < ring[1].x + 9 AND x0 + 1 > ring[1].x AND y0 < ring[1].y + 8 AND y0 + 1 > ring[1].y),
+  s AS (SELECT cell, zone, y0, least(greatest(e.ax, x0), x0 + 1) AS a, least(greatest(e.bx, x0), x0 + 1) AS b, e.ay + (least(greatest(e.ax, x0), x0 + 1) - e.ax) * (e.by - e.ay) / nullif(e.bx - e.ax, 0) - y0 AS s, e.ay + (least(greatest(e.bx, x0), x0 + 1) - e.ax) * (e.by - e.ay) / nullif(e.bx - e.ax, 0) - y0 AS t FROM e),
+  g AS (SELECT cell, zone, (b - a) * CASE WHEN s = t THEN least(greatest(s, 0), 1) ELSE (CASE WHEN t <= 0 THEN 0 WHEN t <= 1 THEN t * t / 2 ELSE t - 0.5 END - CASE WHEN s <= 0 THEN 0 WHEN s <= 1 THEN s * s / 2 ELSE s - 0.5 END) / (t - s) END AS part FROM s WHERE a <> b)
+  SELECT cell, zone, round(abs(sum(part)), 5) AS w FROM g GROUP BY ALL HAVING abs(sum(part)) > 1e-6""")
+def coverage(t: Tables) -> DataFrame:
+    """Dented rings of five points, each moved to a point, over cells of 1 by 1; slanted edges by the antiderivative in SQL."""
+    p, x, y = t.points(), F.col("x"), F.col("y")
+    at = lambda i, j: F.struct((x + i).alias("x"), (y + j).alias("y"))
+    rings = p.select(F.col("id").alias("zone"), F.array(at(0, 0), at(9, 2), at(4, 3), at(7, 8), at(0, 6)).alias("ring"))
+    cells = p.select(F.col("id").alias("cell"), (F.floor("x") + 0.5).alias("x"), (F.floor("y") + 0.5).alias("y"))
+    return rounded(matching.coverage_weights(cells, rings, 1.0).where("w > 1e-6"), ["w"], 5)
 
 
 # --------------------------------------------------------------------------- samples, mixtures, hydraulics, scoring
