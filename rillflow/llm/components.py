@@ -39,4 +39,4 @@ def components(links: DataFrame, task_rows: int | None = None) -> DataFrame:
             break
         mark = now
     stars = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return written(stars.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct()), "components")
+    return written(_few(stars.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct()), parts), "components")

@@ -5,8 +5,8 @@ value of another one, found by a walk over bins that is the same in all document
 after the other are a band; documents whose bins agree in a band meet in its bucket. For two sets at the threshold of 0.85 that share no band the chance is about 6e-11.
 
 Copies (equal sets) are one node. In a bucket each node is paired with one hub, so a bucket of n nodes gives n - 1 pairs, and hubs are the same node in most bands of a cluster. Pairs are confirmed
-on full sets. What a star leaves open, members of a bucket that no confirmed star ties to most of it, is paired with the bucket's other members; in buckets with more
-than OPEN_MOST open members these go to the prefix-filter join instead, which is exact. So each pair that shares a bucket is looked at, or lies in one star already.
+on full sets. A star leaves pairs of its other members open where one of them is not tied to the hub; the members of such stars, and they alone, go to the prefix-filter join, which is exact
+and takes only pairs with rare shingles in common. So each pair that shares a bucket is looked at, or lies in one star already.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from rillflow.llm.common import (
     frugal,
     mixed,
     shuffle_partitions,
-    signed,
     small_batches,
     spread,
     text_batches,
@@ -37,12 +36,11 @@ from rillflow.llm.ngram_join import BYTES, NODE, Sets, _set_rows, leads, node_ar
 SHINGLE, PERCENT = 5, 85
 #: Bins of a signature (a power of two), and bins of a band.
 BINS, ROWS = 128, 4
-OPEN_MOST = 64
 #: Edges that a task of the component search takes.
 TASK_ROWS = 20_000
 ENTRY = np.dtype([("key", "<u8"), ("node", f"V{NODE}"), ("n", "<u4")])
-DOC, PAIR, MEMBER, PACKED = range(4)
-FOUND = "kind int, doc long, n long, node binary, other binary, key long"
+DOC, PAIR, PACKED = range(3)
+FOUND = "kind int, doc long, n long, node binary, other binary"
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 SENT = f"{FOUND}, bucket int, packed binary"
 
@@ -108,7 +106,7 @@ def _first_pass(size: int, percent: int, buckets: int):
 
 
 def _starred(percent: int):
-    """Of the entries of a task: pairs of each bucket's hub with its other nodes (n is 1 where their sizes admit a link), and the members of buckets of three or more. Other rows go through."""
+    """Of the entries of a task: pairs of each bucket's hub with its other nodes (n has 1 where their sizes admit a link, and 2 where the bucket has more nodes than these). Other rows go through."""
 
     def run(batches):
         held = []
@@ -138,51 +136,34 @@ def _starred(percent: int):
         group, place = spread(count)
         hub, n = begin[group], x["n"].astype(np.int64)
         fits = 100 * np.minimum(n, n[hub]) >= percent * np.maximum(n, n[hub])
-        pair, at = np.unique((code[hub] * len(names) + code)[place > 0], return_index=True)
-        yield rows_of(FOUND, len(pair), kind=PAIR, n=fits[place > 0][at].astype(np.int64), node=node_array(names[pair // len(names)]), other=node_array(names[pair % len(names)]))
-        many = np.flatnonzero((count[group] > 2) & (place > 0))
-        for a in range(0, len(many), 1 << 16):
-            at = many[a : a + (1 << 16)]
-            yield rows_of(FOUND, len(at), kind=MEMBER, key=signed(np.ascontiguousarray(x["key"][at])), node=node_array(x["node"][at]), other=node_array(x["node"][hub[at]]))
+        what = fits + 2 * (count[group] > 2)
+        key = np.unique(((code[hub] * len(names) + code) * 4 + what)[place > 0])
+        pair, what = key // 4, key % 4
+        yield rows_of(FOUND, len(pair), kind=PAIR, n=what, node=node_array(names[pair // len(names)]), other=node_array(names[pair % len(names)]))
 
     return run
 
 
 def confirmed(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose full sets reach the threshold. Each side is joined by its node; a hub has as many rows as partners, which Spark's skew join splits."""
-    pairs = written(pairs, "pairs")
+    """Pairs (a, b), a table, of nodes whose full sets reach the threshold. Each side is joined by its node; a hub has as many rows as partners, which Spark's skew join splits."""
     full = sets.fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _set_rows(sets.size), "node binary, n long, set array<long>", "sets")
     side = lambda x: full.dropDuplicates(["node"]).select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = written(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
-    dropped(pairs, full)
+    dropped(full)
     return links
 
 
-def _open_pairs(member: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that stars left open, and nodes of buckets with more than OPEN_MOST open members.
-
-    A bucket is looked at only if its hub and a member have different labels. A member is open if it does not have the label that most of the bucket has.
-    """
-    of_hub = label.select(F.col("node").alias("a"), F.col("label").alias("of_hub"))
-    apart = pairs.join(label.select(F.col("node").alias("b"), "label"), "b").join(of_hub, "a").where("label <> of_hub")
-    split = written(member.join(apart.select(F.col("a").alias("other"), F.col("b").alias("node")), ["other", "node"], "left_semi").select("key").distinct(), "split")
-    rows = member.join(split, "key", "left_semi")
-    rows = rows.select("key", "node").unionByName(rows.select("key", F.col("other").alias("node"))).distinct().join(label, "node")
-    most = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
-    named = written(rows.join(most.select("key", F.col("m.label").alias("main"), (F.col("all") - F.col("m.c")).alias("open")), "key"), "named")
-    large = named.where(F.col("open") > OPEN_MOST).select("node").distinct()
-    left = named.where((F.col("label") != F.col("main")) & (F.col("open") <= OPEN_MOST)).select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"))
-    both = left.join(named, "key").where(F.col("label") != F.col("label_x")).where(100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x"))
-    return both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), large
-
-
-def star_labels(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, n and label of each class: the least hub that it links with, or that hub's own. Nodes of one label lie in one component; those of one component may have several labels."""
-    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-    one = written(classes.select("node", "n").join(up, "node", "left").select("node", "n", F.coalesce("up", "node").alias("up")), "hubs")
-    return one.join(one.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("label")), "up", "left").select("node", "n", F.coalesce("label", "up").alias("label"))
+def open_nodes(star: DataFrame, links: DataFrame) -> DataFrame:
+    """node: hubs and members of stars over more than two nodes, of which a member is not tied to its hub. A node is tied to the least hub that it links with, and through that to its hub's hub."""
+    up = written(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "hubs")
+    label = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("label"))
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    many = star.where(F.col("what") >= 2)
+    both = many.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    loose = written(both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a").distinct(), "loose")
+    return many.join(loose, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -200,10 +181,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     found = written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(frugal(_starred(percent)), FOUND), "found")
     rows = found.where(F.col("kind") == DOC).select("doc", "n", "node")
     classes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    member = found.where(F.col("kind") == MEMBER).select("key", "node", "other")
-    star = written(found.where(F.col("kind") == PAIR).select(F.col("node").alias("a"), F.col("other").alias("b"), F.col("n").alias("fits")).distinct(), "star")
+    pairs = found.where(F.col("kind") == PAIR).groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.bit_or("n").alias("what"))
+    star = written(pairs, "star")
     sets = Sets(texts, classes.select("node", "rep"), None, size, percent)
-    links = confirmed(sets, star.where("fits = 1").select("a", "b"), percent)
+    links = confirmed(sets, star.where(F.col("what") % 2 == 1).select("a", "b"), percent)
     # rows that share a doc_id but not their set link their classes
     own = rows.where("n > 0").select("doc", "node").distinct()
     shared = own.join(own.groupBy("doc").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1"), "doc")
@@ -214,13 +195,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         return links.join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
     every = edges(links)
-    if member.take(1):
-        rest, large = _open_pairs(member, star, written(star_labels(classes, links), "labels"), percent)
-        every = edges(links.union(confirmed(sets, rest, percent)))
-        large = written(large.join(classes, "node").select(F.col("rep").alias("doc")), "large")
-        if large.take(1):
-            exact = ngram_join.jaccard_components(texts.join(large, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text"), percent, size, TASK_ROWS)
-            every = every.union(exact.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("a"), F.coalesce("component_id", F.lit(NULL_ID)).alias("b")))
+    rest = written(open_nodes(star, links).join(classes, "node").select(F.col("rep").alias("doc")), "open")
+    if rest.take(1):
+        held = written(texts.join(rest, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "text"), "open-texts")
+        exact = ngram_join.jaccard_components(held, percent, size, TASK_ROWS)
+        every = every.union(exact.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("a"), F.coalesce("component_id", F.lit(NULL_ID)).alias("b")))
     labels = components(every, TASK_ROWS)
     of = classes.join(labels, classes["rep"] == labels["doc"], "left").where("copies > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "rep").alias("component"))
     bare = rows.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
