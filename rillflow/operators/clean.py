@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions.columns import value_filter
 from rillflow.operators.windows import first_per_key
 
 
@@ -18,6 +19,27 @@ def quality_gate(df: DataFrame, flags: str, uncertainty: str, flag_limit: int =
     return df.where((F.col(flags) < flag_limit) & (F.col(uncertainty) < most))
 
 
+def value_filters(df: DataFrame, filters: list[dict], groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """Applies filters of a column, an operation and a value, each to a feature_list or to a feature_group of groups: exactly one of the two. Controls are read as they were before any filter."""
+    controls = {f["column"]: F.col(f["column"]) for f in filters}
+    held = df.withColumns({f"_control_{i}": c for i, c in enumerate(controls.values())})
+    at = {name: F.col(f"_control_{i}") for i, name in enumerate(controls)}
+    for f in filters:
+        if ("feature_list" in f) == ("feature_group" in f):
+            raise ValueError("a filter names a list of features or a group, and not both")
+        names = f["feature_list"] if "feature_list" in f else (groups or {})[f["feature_group"]]
+        held = held.withColumns({c: value_filter(F.col(c), at[f["column"]], f["operation"], f["value"]) for c in names})
+    return held.drop(*[f"_control_{i}" for i in range(len(at))])
+
+
+def missing_shares(df: DataFrame, columns: list[str], most: float = 0.99) -> DataFrame:
+    """variable, missing (share of rows), has_gap (any missing) and mostly_missing (more than the limit) of each column, in one pass. Without rows the share is missing."""
+    one = df.agg(F.count("*").alias("_n"), *[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns])
+    rows = one.unpivot("_n", columns, "variable", "_there")
+    share = 1 - F.col("_there") / F.when(F.col("_n") > 0, F.col("_n"))
+    return rows.select("variable", share.alias("missing"), (F.col("_there") < F.col("_n")).alias("has_gap"), F.coalesce(share > most, F.lit(False)).alias("mostly_missing"))
+
+
 def enough_rows(df: DataFrame, site: str, width: str, slope: str, least: int = 10) -> DataFrame:
     """Physical rows (width and slope above 0) of sites that have enough of them."""
     df = df.where((F.col(width) > 0) & (F.col(slope) > 0))

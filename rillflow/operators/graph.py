@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import itertools
+import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the cluster's shared folder, spark.checkpoint.dir; in one of its own only where that is unset, as in tests."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Cuts lineage by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -52,7 +59,7 @@ def outlets(nodes: DataFrame, edges: DataFrame, length: str | None = None) -> Da
 
 
 def upstream(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node and depth of all nodes upstream of the starts (node), themselves included; level by level, least depth."""
+    """start, node and depth of all nodes upstream of the starts (node), themselves included; level by level, least depth. For any graph; of forests intervals.upstream_in_forest() finds them without a walk."""
     level = starts.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("depth"))
     seen = level = cut(level.distinct())
     for d in itertools.count(1):
@@ -132,6 +139,14 @@ def first_gauge_below(nodes: DataFrame, edges: DataFrame, gauges: DataFrame) ->
     return gauges_below(nodes, edges, gauges).where("first IS NOT NULL").select("node", F.col("first").alias("gauge"))
 
 
+def require_one_outlet(nodes: DataFrame, edges: DataFrame) -> None:
+    """An error, with some of them, if there are components without an outlet or with several."""
+    ends = nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti").withColumn("_end", F.lit(1))
+    per = components(nodes, edges).join(ends, "node", "left").groupBy("component").agg(F.count("_end").alias("outlets")).where("outlets <> 1")
+    if rows := per.orderBy("component").take(5):
+        raise ValueError(f"components with other than one outlet: {[tuple(r) for r in rows]}")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     i = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
     o = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.operators.graph import cut
-from rillflow.operators.windows import exact_quantiles, rows_before
+from rillflow.operators.windows import exact_quantiles, position_weights, rows_before
 
 #: Rows count where observation and prediction are above LEAST, and sites where more than FEWEST rows do.
 LEAST, FEWEST = 0.001, 8
@@ -171,6 +171,28 @@ def losses(df: DataFrame, obs: str, pred: str, node: str, huber: float = 1.0) ->
     return per.agg((F.sum("sse") / n).alias("mse"), (F.sum("sae") / n).alias("mae"), (F.sum("sh") / n).alias("huber"), F.avg(F.when(node_loss != 0, node_loss)).alias("nse_loss"))
 
 
+def spin_up_loss(df: DataFrame, obs: str, pred: str, node: str, order: str) -> DataFrame:
+    """spin_up_nse: as the NSE loss, but squared errors count by their place in the node's sequence, by position_weights(), so that its last third decides. Rows without a pair are errors of 0."""
+    d = position_weights(df.select(F.col(node).alias("k"), F.col(order).alias("_i"), F.col(obs).alias("o"), F.col(pred).alias("p")), "k", "_i", "w")
+    ok = F.col("o").isNotNull() & F.col("p").isNotNull()
+    square = F.when(ok, (F.col("o") - F.col("p")) * (F.col("o") - F.col("p"))).otherwise(0.0)
+    per = d.groupBy("k").agg((F.sum(F.col("w") * square) / F.sum("w")).alias("mse"), F.coalesce(F.stddev_pop(F.when(ok, F.col("o"))), F.lit(0.0)).alias("dev"))
+    loss = F.col("mse") / ((F.col("dev") + 0.1) * (F.col("dev") + 0.1))
+    return per.agg(F.avg(F.when(loss != 0, loss)).alias("spin_up_nse"))
+
+
+def mixture_loss(df: DataFrame, nll: Column, mask: Column) -> DataFrame:
+    """gmm_nll: the mean negative log likelihood of the rows that the mask holds; 0 without any."""
+    held = F.coalesce(mask & nll.isNotNull(), F.lit(False))
+    return df.agg((F.coalesce(F.sum(F.when(held, nll)), F.lit(0.0)) / (F.sum(held.cast("double")) + 1e-8)).alias("gmm_nll"))
+
+
+def loss_over_targets(losses: DataFrame, weights: dict[str, float], target: str = "target", loss: str = "loss") -> DataFrame:
+    """loss: the mean over targets whose weight is not 0. A target without weight is left out; one without any pair, whose loss is missing, counts as 0."""
+    chosen = [n for n, w in weights.items() if w != 0]
+    return losses.where(F.col(target).isin(chosen)).agg(F.avg(F.coalesce(F.col(loss), F.lit(0.0))).alias("loss"))
+
+
 def attribution(df: DataFrame, features: list[str]) -> DataFrame:
     """Absolute mean attribution of each feature, largest first."""
     x = df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], features, "feature", "x")

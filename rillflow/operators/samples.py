@@ -62,6 +62,17 @@ def random_split(sites: DataFrame, share: float, seed: int = 0) -> DataFrame:
     return sites.withColumn("role", F.when(hashed_order(F.col("subbasin"), seed=seed) < int(share * 2**32), "train").otherwise("test"))
 
 
+def split_by_match(sites: DataFrame, matches: DataFrame, key: str = "subbasin") -> DataFrame:
+    """role: sites that have a match are test, the others train."""
+    return sites.join(matches.select(key).distinct().withColumn("_m", F.lit(True)), key, "left").withColumn("role", F.when(F.col("_m"), "test").otherwise("train")).drop("_m")
+
+
+def split_by_dates(df: DataFrame, date: str, ranges: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row a row and role whose range of days, both ends included, holds its day; ranges may overlap, and rows in none go."""
+    holds = [F.when(F.col(date).between(F.lit(a).cast("date"), F.lit(z).cast("date")), F.lit(role)) for role, (a, z) in ranges.items()]
+    return df.withColumn("role", F.explode(F.array_compact(F.array(*holds))))
+
+
 def k_fold(sites: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
     """One row a site, fold and role."""
     return sites.withColumn("_f", hashed_order(F.col("subbasin"), seed=seed) % k).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", F.when(F.col("_f") == F.col("fold"), "test").otherwise("train")).drop("_f")

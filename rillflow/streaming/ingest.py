@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillflow.operators.windows import first_per_key
 from rillflow.sources.lake import KEYS, Lake
@@ -29,18 +29,57 @@ def best_daily(stream: DataFrame, site: str, ts: str, uncertainty: str, delay: s
     return best.select(site, F.to_date("window.start").alias("date"), "b.*")
 
 
-def memory_stream(stream: DataFrame, site: str, ts: str, value: str) -> DataFrame:
-    """site, ts, last and staleness_days: the last valid value up to each row, per site in state."""
+class _Memory(StatefulProcessor):
+    """A site's rows wait until the watermark has passed them, then come out in order with the last valid value up to each. State: rows that wait, and the last valid value with its time."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, at = state.get if state.exists else (None, None)
-        for pdf in frames:
-            rows = []
-            for t, v in pdf.sort_values(ts)[[ts, value]].itertuples(index=False, name=None):
-                if not pd.isna(v):
-                    last, at = float(v), int(t.value)
-                rows.append((key[0], t, last, None if at is None else (t.value - at) / 86400e9))
-            yield pd.DataFrame(rows, columns=["site", "ts", "last", "staleness_days"])
-        state.update((last, at))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, v double")
+        self.last = handle.getValueState("last", "v double, t long")
 
-    return stream.groupBy(F.col(site).alias("site")).applyInPandasWithState(step, "site long, ts timestamp, last double, staleness_days double", "last double, at long", "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.waiting.appendList([(int(t), None if pd.isna(v) else float(v)) for t, v in zip(new["t"], new["v"], strict=True)])
+        self.handle.registerTimer(_after(int(new["t"].min())))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["t", "v"]).astype({"t": "int64", "v": "float64"})
+        due = rows.t < timerValues.getCurrentWatermarkInMs() * 1000
+        rest = rows[~due]
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.put([(int(t), None if pd.isna(v) else float(v)) for t, v in zip(rest.t, rest.v, strict=True)])
+            self.handle.registerTimer(_after(int(rest.t.min())))
+        ready = rows[due].sort_values(["t", "v"], na_position="first", kind="stable")
+        if not len(ready):
+            return
+        before = self.last.get() if self.last.exists() else (None, None)
+        at = ready.t.where(ready.v.notna()).ffill().astype("Int64")
+        value = ready.v.ffill()
+        if before[1] is not None:
+            at, value = at.fillna(before[1]), value.fillna(before[0])
+        if not pd.isna(at.iloc[-1]):
+            self.last.update((float(value.iloc[-1]), int(at.iloc[-1])))
+        yield pd.DataFrame({"site": key[0], "t": ready.t, "last": value, "at": at})
+
+    def close(self) -> None:
+        pass
+
+
+def _after(t: int) -> int:
+    """The first whole millisecond behind a time in microseconds."""
+    return t // 1000 + 1
+
+
+def memory_stream(stream: DataFrame, site: str, ts: str, value: str, delay: str = "1 day") -> DataFrame:
+    """site, ts, last and staleness_days: the last valid value up to each row, per site in state. Rows may come in any order and in any micro-batch.
+
+    A row comes out once the watermark, the latest time less the delay, has passed it; until then it waits in state, which the delay bounds. Later rows are dropped. Of rows of one site and instant,
+    missing values come first, then smaller ones. Runs in append mode on the RocksDB state store, which it sets for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select(F.col(site).cast("string").alias("site"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v"))
+    rows = rows.withColumn("v", F.when(~F.isnan("v"), F.col("v"))).where("ts IS NOT NULL").withWatermark("ts", delay).withColumn("t", F.unix_micros("ts"))
+    out = rows.groupBy("site").transformWithStateInPandas(_Memory(), "site string, t long, last double, at long", "append", "eventtime")
+    return out.select("site", F.timestamp_micros("t").alias("ts"), "last", ((F.col("t") - F.col("at")) / 86400e6).alias("staleness_days"))
