@@ -108,13 +108,13 @@ def test_memory_of_rows_out_of_order(spark, tmp_path):
     order = sorted(range(120), key=lambda i: i + rnd.randrange(12))  # at most 12 rows, 6 hours, out of order
     batches = [[rows[i] for i in order[k : k + 30]] for k in range(0, 120, 30)] + [[("s0", start + dt.timedelta(hours=20), -1.0), ("s9", start + dt.timedelta(days=9), 1.0)]]
     inbox = tmp_path / "in"
+    inbox.mkdir()
     schema = "site string, ts timestamp, v double"
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
-    inbox.mkdir()
-    for k, b in enumerate(batches):
-        spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
-        part = next((tmp_path / f"b{k}").glob("*.parquet"))
-        part.rename(inbox / f"{k}.parquet")
+    for part in ([0, 1, 2], [3, 4]):  # run, stop and go on from the checkpoint
+        for k in part:
+            spark.createDataFrame(batches[k], schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+            next((tmp_path / f"b{k}").glob("*.parquet")).rename(inbox / f"{k}.parquet")
         q = memory_stream(source, "site", "ts", "v", "12 hours").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out"))
         q.awaitTermination()
     want = []
