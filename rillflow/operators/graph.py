@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
