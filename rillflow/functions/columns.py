@@ -44,10 +44,20 @@ def denormalised(c: Column, offset: Column, scale: Column, log_norm: Column, sme
     return F.when(log_norm, F.expm1(x) * F.lit(smearing)).otherwise(x)
 
 
-def denormalised_std(mu: Column, sigma: Column, offset: Column, scale: Column) -> Column:
-    """Standard deviation in original units of a log-normal given by mu and sigma in scaled log units."""
-    m, s = mu * scale + offset, sigma * scale
-    return F.sqrt((F.exp(s * s) - 1) * F.exp(2 * m + s * s))
+def denormalised_std(mu: Column, sigma: Column, offset: Column, scale: Column, log_norm: Column | None = None, scaled: bool = True) -> Column:
+    """Standard deviation in original units. Log variables, and all without log_norm, are log-normals given by mu and sigma in scaled log units; of the others sigma times the scale is left.
+
+    scaled=False takes mu and sigma of log variables as log units but for the offset, for scales that hold none.
+    """
+    m, s = (mu * scale + offset, sigma * scale) if scaled else (mu + offset, sigma)
+    spread = F.sqrt(F.expm1(s * s) * F.exp(2 * m + s * s))
+    return spread if log_norm is None else F.when(log_norm, spread).otherwise(sigma * scale)
+
+
+def require_plain(names: list[str], encoded: list[str]) -> None:
+    """An error if a name is that of an encoded column: those have no scale, so they are neither normalised nor brought back."""
+    if odd := sorted(n for n in names if n in encoded):
+        raise ValueError(f"encoded columns have no scale: {odd}")
 
 
 def relative_difference(a: Column, b: Column) -> Column:
@@ -58,6 +68,22 @@ def unit_discharge(q: Column, area: Column) -> Column:
     return q / F.when(area != 0, area)
 
 
+def discharge_of(unit: Column, area: Column) -> Column:
+    """The discharge that unit_discharge() has been made of; missing without an area."""
+    return unit * F.when(area != 0, area)
+
+
+def softplus(x: Column) -> Column:
+    """ln(1 + exp(x)), also where exp(x) is too large."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def manning_soft(area0: Column, width: Column, dh: Column, slope: Column, n: Column, least: float = 1e-6) -> Column:
+    """Discharge by Manning's equation with the area held above 0 by softplus, so that only width and slope can leave it missing."""
+    a = least + softplus(area0 + width * dh)
+    return F.when((width > 0) & (slope >= 0), F.pow(a, 5 / 3) * F.pow(width, -2 / 3) * F.sqrt(slope) / n)
+
+
 def manning(area0: Column, width: Column, dh: Column, slope: Column, n: Column) -> Column:
     """Discharge of a reach from its base area, width, stage change, slope and roughness; missing where a root has no value."""
     a = area0 + width * dh
@@ -130,6 +156,16 @@ def nearest_day(ts: Column) -> Column:
     return F.to_date(ts + F.expr("INTERVAL 12 HOURS"))
 
 
+def utc_day(ts: Column) -> Column:
+    """The day in UTC of a moment, whatever the session's zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
+def epoch_days(day: Column) -> Column:
+    """Days since 1970-01-01."""
+    return F.unix_date(day)
+
+
 def parsed_ids(c: Column) -> Column:
     """A list of whole numbers from its text, or missing."""
     return F.from_json(c, "array<bigint>")
@@ -167,3 +203,49 @@ def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
+
+
+def middle_vertex(line: Column) -> Column:
+    """The vertex in the middle of a line (array of points x, y); the later of two."""
+    return F.get(line, F.floor(F.size(line) / 2).cast("int"))
+
+
+def oriented(line: Column, below: Column) -> Column:
+    """A line turned so that it runs downstream: its end lies at the start of the line below. It is turned if its start is nearer to that, and left as it is where there is no line below."""
+    to = F.get(below, 0)
+    gap = lambda p: distance(p["x"], p["y"], to["x"], to["y"])
+    return F.when(gap(F.get(line, 0)) < gap(F.element_at(line, -1)), F.reverse(line)).otherwise(line)
+
+
+def along(line: Column, share: Column) -> Column:
+    """The point at a share, from 0 to 1, of a line's length; missing for lines without a length."""
+    at = F.get(line, 0)
+    parts = F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: F.struct(F.get(line, i)["x"].alias("ax"), F.get(line, i)["y"].alias("ay"), p["x"].alias("bx"), p["y"].alias("by")))
+    size = lambda s: distance(s["ax"], s["ay"], s["bx"], s["by"])
+    total = F.aggregate(parts, F.lit(0.0), lambda a, s: a + size(s))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = acc["left"].between(0.0, size(s)) & (size(s) > 0)
+        t = acc["left"] / F.when(size(s) > 0, size(s))
+        return F.struct((acc["left"] - size(s)).alias("left"), F.when(inside, s["ax"] + t * (s["bx"] - s["ax"])).otherwise(acc["x"]).alias("x"), F.when(inside, s["ay"] + t * (s["by"] - s["ay"])).otherwise(acc["y"]).alias("y"))
+
+    last = F.element_at(line, -1)
+    start = F.struct((share * total).alias("left"), F.when(share > 0, last["x"]).otherwise(at["x"]).cast("double").alias("x"), F.when(share > 0, last["y"]).otherwise(at["y"]).cast("double").alias("y"))
+    return F.when(total > 0, F.aggregate(parts, start, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"))))
+
+
+def centroid(ring: Column) -> Column:
+    """The centroid of a ring's area (array of points x, y, closed or not); of a ring without area the mean of its vertices."""
+    o = F.get(ring, 0)
+    n = F.size(ring)
+    near = F.transform(ring, lambda p: F.struct((p["x"] - o["x"]).alias("x"), (p["y"] - o["y"]).alias("y")))  # from the first vertex: far from the origin products would lose digits
+    none = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def edge(acc: Column, i: Column) -> Column:
+        p, q = F.get(near, i), F.get(near, F.pmod(i + 1, n))
+        turn = p["x"] * q["y"] - q["x"] * p["y"]
+        return F.struct((acc["a"] + turn).alias("a"), (acc["x"] + (p["x"] + q["x"]) * turn).alias("x"), (acc["y"] + (p["y"] + q["y"]) * turn).alias("y"))
+
+    mean = lambda c: o[c] + F.aggregate(near, F.lit(0.0), lambda a, p: a + p[c]) / n
+    found = F.aggregate(F.sequence(F.lit(0), n - 1), none, edge, lambda a: F.struct(*[F.coalesce(o[c] + a[c] / F.when(a["a"] != 0, 3 * a["a"]), mean(c)).alias(c) for c in "xy"]))
+    return F.when(n > 0, found)

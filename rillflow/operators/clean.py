@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import value_filter
@@ -67,7 +67,9 @@ def with_suffix(df: DataFrame, columns: list[str], suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c}{suffix}" for c in columns})
 
 
-def gauge_screen(df: DataFrame, mean: str, most: str, name: str, banned: tuple[str, ...] = ("slough", "canal")) -> DataFrame:
+def gauge_screen(df: DataFrame, mean: str, most: str, name: str, banned: tuple[str, ...] = ("slough", "canal"), bad: DataFrame | None = None, key: str = "site") -> DataFrame:
+    """Gauges with a mean above 1 or a peak above 10, without those whose name has a banned word, in any case, and those of the list of bad ones."""
+    df = df if bad is None else df.join(bad.select(key).distinct(), key, "left_anti")
     keep = (F.col(mean) > 1) | (F.col(most) > 10)
     for word in banned:
         keep = keep & ~F.coalesce(F.col(name), F.lit("")).ilike(f"%{word}%")
@@ -86,3 +88,20 @@ def missing_from(sites: DataFrame, graph: DataFrame, key: str) -> DataFrame:
 def require_none(df: DataFrame, message: str) -> None:
     if rows := df.take(5):
         raise ValueError(f"{message}: {[tuple(r) for r in rows]}")
+
+
+def unioned(parts: dict[str, DataFrame], name: str = "part") -> DataFrame:
+    """Parts of several regions under each other, with the region that a row is from; columns that a part lacks are missing in its rows."""
+    if not parts:
+        raise ValueError("no parts")
+    marked = [df.withColumn(name, F.lit(region)) for region, df in parts.items()]
+    out = marked[0]
+    for df in marked[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def group_summary(df: DataFrame, keys: list[str], value: str, condition: Column) -> DataFrame:
+    """n rows of each group, n_valid with a value, their share and mean, and whether any and all rows meet the condition; rows for which it is missing do not."""
+    met, there = F.coalesce(condition, F.lit(False)), F.count(value)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), there.alias("n_valid"), (there / F.count("*")).alias("observed"), F.avg(value).alias("mean"), F.bool_or(met).alias("any"), F.bool_and(met).alias("all"))

@@ -154,6 +154,19 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.withColumns({"source": F.col("n_in") == 0, "sink": F.col("n_out") == 0})
 
 
+def graph_summary(nodes: DataFrame, edges: DataFrame, distance: str | None = None, area: str | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
+    """One row: nodes, edges, components, density (edges over ordered pairs of nodes), sources, sinks, the least, largest and mean distance of edges, the mean area of nodes, and n_<flag>, the nodes with each flag."""
+    n, x = F.count("*"), F.lit(None).cast("double")
+    own = nodes.agg(n.alias("nodes"), F.avg(area or x).alias("mean_area"), *[F.count_if(F.coalesce(F.col(f).cast("boolean"), F.lit(False))).alias(f"n_{f}") for f in flags])
+    d = F.col(distance) if distance else x
+    between = edges.agg(n.alias("edges"), F.min(d).alias("distance_min"), F.max(d).alias("distance_max"), F.avg(d).alias("distance_mean"))
+    ends = degrees(nodes, edges).agg(F.count_if("source").alias("sources"), F.count_if("sink").alias("sinks"))
+    parts = components(nodes, edges).agg(F.count_distinct("component").alias("components"))
+    one = own.crossJoin(between).crossJoin(ends).crossJoin(parts)  # a row each
+    pairs = (F.col("nodes") * (F.col("nodes") - 1)).cast("double")
+    return one.withColumn("density", F.when(pairs > 0, F.col("edges") / F.when(pairs > 0, pairs)).otherwise(0.0))
+
+
 def numbered(nodes: DataFrame, basin: str) -> DataFrame:
     """Places 0..n-1 by id in each basin."""
     return nodes.withColumn("place", (F.row_number().over(Window.partitionBy(basin).orderBy("node")) - 1).cast("long"))

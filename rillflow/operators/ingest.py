@@ -103,8 +103,11 @@ def first_then_rest(df: DataFrame, key: str, first: str) -> DataFrame:
     return df.orderBy(F.when(F.col(key) == first, 0).otherwise(1), key)
 
 
-def one_series(df: DataFrame, site: str, name, date: str, start: str, end: str) -> DataFrame:
-    """The series of one site within two days, both included, in order."""
+def one_series(df: DataFrame, site: str, name, date: str, start: str, end: str, scores: DataFrame | None = None, metric: str | None = None) -> DataFrame:
+    """The series of one site within two days, both included, in order; with scores (a row a site) also its metric, missing if the site has none."""
+    if scores is not None:
+        one = scores.where(F.col(site) == name).agg(F.max(metric).alias(metric))  # a row
+        df = df.crossJoin(F.broadcast(one))
     return df.where((F.col(site) == name) & F.col(date).between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).orderBy(date)
 
 

@@ -73,6 +73,18 @@ def downstream_vectors(points: DataFrame) -> DataFrame:
     return points.join(to, "nextdown").select("node", "nextdown", (F.col("_x") - F.col("x")).alias("dx"), (F.col("_y") - F.col("y")).alias("dy"))
 
 
+def edge_vectors(edges: DataFrame, nodes: DataFrame, points: DataFrame, weight: str | None = None) -> DataFrame:
+    """Arrows for a map: x, y of the sending node and dx, dy to the receiving one, of the edges (batch, src, dst, mask) of collated batches whose mask is true. nodes (batch, place, site) tell the site of a place, points (site, x, y) where it is.
+
+    Padded edges are left out, and so are edges of sites without a point.
+    """
+    at = nodes.join(points.select("site", "x", "y"), "site").select("batch", "place", "site", "x", "y")
+    a = at.select("batch", F.col("place").alias("src"), F.col("site").alias("from"), "x", "y")
+    b = at.select("batch", F.col("place").alias("dst"), F.col("site").alias("to"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    j = edges.where("mask").join(a, ["batch", "src"]).join(b, ["batch", "dst"])
+    return j.select("batch", "from", "to", "x", "y", (F.col("_x") - F.col("x")).alias("dx"), (F.col("_y") - F.col("y")).alias("dy"), *([weight] if weight else []))
+
+
 def zonal_stats(grid: DataFrame, weights: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Weighted mean and variance of a gridded value over each zone; missing cells are skipped. grid: cell, keys, value; weights: cell, zone, w."""
     j = grid.where(F.col(value).isNotNull()).join(weights, "cell")
@@ -82,10 +94,10 @@ def zonal_stats(grid: DataFrame, weights: DataFrame, keys: list[str], value: str
 
 
 def cells_in_boxes(cells: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """Cells (cell, x, y) inside boxes (box, x0, x1, y0, y1), by an equi-join on coarse columns of x and then the exact bounds."""
+    """Cells (cell, x, y) inside boxes (box, x0, x1, y0, y1), by an equi-join on coarse squares and then the exact bounds."""
     band = lambda c: F.floor(F.col(c) / F.lit(size)).cast("long")
-    b = boxes.withColumn("_b", F.explode(F.sequence(band("x0"), band("x1"))))
-    hit = cells.withColumn("_b", band("x")).join(b, "_b").drop("_b")
+    b = boxes.where("x0 <= x1 AND y0 <= y1").withColumn("_b", F.explode(F.sequence(band("x0"), band("x1")))).withColumn("_c", F.explode(F.sequence(band("y0"), band("y1"))))
+    hit = cells.withColumns({"_b": band("x"), "_c": band("y")}).join(b, ["_b", "_c"]).drop("_b", "_c")
     return hit.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("cell", "box")
 
 
@@ -183,3 +195,17 @@ def grid_snapped(df: DataFrame, column: str, step: float = 0.1, tolerance: float
     """Integer grid keys of coordinates; those further from the grid than the tolerance go."""
     k = F.round(F.col(column) / step)
     return df.where(F.abs(F.col(column) - k * step) <= tolerance).withColumn(f"{column}_key", k.cast("long"))
+
+
+def grid_weights(weights: DataFrame, grid: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Each grid cell (cell, x, y) with the weight w of the nearest weight (x, y, w) whose coordinates both are within the tolerance, missing where there is none; ties go to the smaller x, then y.
+
+    An equi-join on squares as wide as the tolerance, each weight in its nine, so that none at a square's border is lost; then the exact bounds.
+    """
+    k = lambda c: F.floor(F.col(c) / F.lit(tolerance)).cast("long")
+    near = F.array(*[F.struct((k("x") + i).alias("_cx"), (k("y") + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = weights.withColumn("_c", F.explode(near)).select("_c._cx", "_c._cy", F.col("x").alias("_x"), F.col("y").alias("_y"), "w")
+    dx, dy = F.abs(F.col("x") - F.col("_x")), F.abs(F.col("y") - F.col("_y"))
+    hit = grid.select("cell", "x", "y", k("x").alias("_cx"), k("y").alias("_cy")).join(b, ["_cx", "_cy"]).where((dx <= tolerance) & (dy <= tolerance))
+    best = hit.groupBy("cell").agg(F.min_by("w", F.struct(dx, dy, "_x", "_y")).alias("w"))
+    return grid.join(best, "cell", "left")

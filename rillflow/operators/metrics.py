@@ -154,6 +154,23 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, log: b
     return df.where(x.isNotNull()).groupBy(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def cumulative_density(df: DataFrame, value: str, bins: int = 500, least: str | None = None) -> DataFrame:
+    """bin, edge and density: the share of rows in bins up to each of so many equal ones between the least and the largest value. Missing, infinite and NaN values do not count, nor rows whose column least is not above 1.
+
+    Bins without rows are there too. Where all values are one, bins reach half a unit to both sides.
+    """
+    x = F.col(value).cast("double")
+    d = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & (F.lit(True) if least is None else F.col(least) > 1)).select(x.alias("_x"))
+    ends = d.agg(F.min("_x").alias("a"), F.max("_x").alias("z"), F.count("*").alias("_all"))  # a row
+    flat = F.when(F.col("a") == F.col("z"), 0.5).otherwise(0.0)
+    ends = ends.select("_all", (F.col("a") - flat).alias("_lo"), (F.col("z") + flat).alias("_hi"))
+    at = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
+    held = d.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("_n"))
+    every = ends.where("_all > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(held, "bin", "left")  # as many rows as bins
+    upto = F.sum(F.coalesce("_n", F.lit(0))).over(Window.orderBy("bin"))
+    return every.select("bin", (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("edge"), (upto / F.col("_all")).alias("density"))
+
+
 def density_2d(df: DataFrame, x: str, y: str, per_decade: int = 10, least: int = 5) -> DataFrame:
     """Counts in square log10 cells, those with enough rows."""
     cell = lambda c: F.floor(F.log10(c) * per_decade).cast("long")

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.functions import columns as C
+from rillflow.operators.windows import robust_mask
+
 
 def sample_index(df: DataFrame, targets: list[str], length: int, start: str, predict: bool = False) -> DataFrame:
     """sample_id, basin_idx, basin and end date: days from start + length on at which any target of any subbasin is there, or all such days to predict; numbered by basin, then day."""
@@ -127,7 +130,29 @@ def flat_observations(df: DataFrame, target: str, features: list[str], static: D
     return df.dropna("any", subset=[target, *features]).join(static, "subbasin")
 
 
-def reach_samples(df: DataFrame, site: str, values: list[str], order: str, least: int = 10) -> DataFrame:
-    """Per site the ordered arrays of its values, of sites with enough rows."""
-    g = df.groupBy(site).agg(F.sort_array(F.collect_list(F.struct(order, *values))).alias("_r"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return g.select(site, "n", *[F.col(f"_r.{v}").alias(v) for v in values])
+def reach_samples(
+    df: DataFrame, site: str, date: str, features: list[str], targets: list[str], shape: tuple[str, str, str], scales: dict[str, tuple[float, float, bool]], size: int, least: int = 10, limit: float = 5.0, fill: float = 1.0
+) -> DataFrame:
+    """A row for each reach: n, and arrays of size days by day: x and y (features and targets, scaled as they come), mask, and hws (stage, width and slope, the columns of shape, in natural units).
+
+    Days need the first feature and the first target. Reaches with fewer than least days of positive width and slope go; so do days of others, and days whose stage or width the robust mask rejects, and then
+    reaches with fewer than least days left. A reach with a missing stage or width on any day has no robust mask, so it goes too. Places behind the n days hold fill, with a mask of 0; more than size days are an
+    error. scales: offset, scale and log of the three. All is worked out behind one shuffle by reach.
+    """
+    stage, width, slope = shape
+    h, w, s = (C.denormalised(C.no_nan(F.col(c).cast("double")), F.lit(scales[c][0]), F.lit(float(scales[c][1])), F.lit(scales[c][2])) for c in shape)
+    there = lambda c: C.no_nan(F.col(c).cast("double")).isNotNull()
+    d = df.where(there(features[0]) & there(targets[0])).withColumns({"_h": h, "_w": w, "_s": s})
+    own = Window.partitionBy(site)
+    physical = F.coalesce((F.col("_w") > 0) & (F.col("_s") > 0), F.lit(False))
+    whole = F.count("_h").over(own) + F.count("_w").over(own) == 2 * F.count("*").over(own)
+    d = d.withColumns({"_ok": physical, "_n": F.count_if(physical).over(own), "_all": whole})
+    d = robust_mask(robust_mask(d, site, "_h", limit, "_mh"), site, "_w", limit, "_mw").where((F.col("_n") >= least) & F.col("_all") & F.col("_ok") & F.col("_mh") & F.col("_mw"))
+    row = lambda names: F.array(*[F.col(c).cast("double") for c in names])
+    rows = F.struct(date, row(features).alias("x"), row(targets).alias("y"), F.array("_h", "_w", "_s").alias("hws"))
+    g = d.groupBy(site).agg(F.sort_array(F.collect_list(rows)).alias("_r")).where(F.size("_r") >= least)
+    n = F.size("_r")
+    fits = F.when(n <= size, n).otherwise(F.raise_error(F.format_string("a reach has %d days, more than the size", n)))
+    padded = lambda c, k: F.concat(F.col(f"_r.{c}"), F.array_repeat(F.array_repeat(F.lit(fill), k), F.lit(size) - F.col("n"))).alias(c)
+    mask = F.concat(F.array_repeat(F.lit(1).cast("tinyint"), F.col("n")), F.array_repeat(F.lit(0).cast("tinyint"), F.lit(size) - F.col("n"))).alias("mask")
+    return g.withColumn("n", fits).select(site, "n", padded("x", len(features)), mask, padded("hws", 3), padded("y", len(targets)))

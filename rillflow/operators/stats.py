@@ -26,8 +26,13 @@ def partial_stats(df: DataFrame, basin: str, variables: list[str], known: DataFr
     )
 
 
-def merged_stats(parts: DataFrame) -> DataFrame:
-    """Partial statistics of several basins as one row a variable."""
+def merged_stats(parts: DataFrame, basins: DataFrame | None = None, basin: str = "basin") -> DataFrame:
+    """Partial statistics of several basins as one row a variable. With basins, those alone, and one of them without statistics is an error."""
+    if basins is not None:
+        wanted = basins.select(basin).distinct()
+        if lost := wanted.join(parts.select(basin).distinct(), basin, "left_anti").orderBy(basin).take(5):
+            raise ValueError(f"basins without statistics: {[r[0] for r in lost]}")
+        parts = parts.join(wanted, basin, "left_semi")
     kind = {"min": F.min, "max": F.max}
     return parts.groupBy("var").agg(*[kind.get(c, F.sum)(c).alias(c) for c in PARTIAL])
 

@@ -20,6 +20,13 @@ def trapezoid_change(df: DataFrame, site: str, stage: str, width: str, name: str
     return df.withColumn(name, (F.col(stage) - F.median(stage).over(w)) * (F.col(width) + F.median(width).over(w)) / 2)
 
 
+def volume_change(df: DataFrame, site: str, stage: str, area: str) -> DataFrame:
+    """d_wse, d_area and d_volume of lakes: deviations from the site's medians, and the stage's times the mean of area and its median."""
+    w = Window.partitionBy(site)
+    stage_off, middle = F.col(stage) - F.median(stage).over(w), F.median(area).over(w)
+    return df.withColumns({"d_wse": stage_off, "d_area": F.col(area) - middle, "d_volume": stage_off * 0.5 * (F.col(area) + middle)})
+
+
 def relative_change(df: DataFrame, group: str, value: str, name: str = "rel") -> DataFrame:
     m = F.median(value).over(Window.partitionBy(group))
     return df.withColumn(name, F.when((F.col(value) > 0) & (m > 0), F.log10(F.col(value) / m)))
@@ -135,3 +142,11 @@ def running_offset(df: DataFrame, batch: str, order: str, size: str, name: str =
 def chunked(df: DataFrame, group: str, order: str, size: int, name: str = "chunk") -> DataFrame:
     """Batches of size rows inside each group."""
     return df.withColumn(name, F.ceil(F.row_number().over(Window.partitionBy(group).orderBy(order)) / size).cast("long"))
+
+
+def numbered_chunks(df: DataFrame, group: str, order: str, size: int, name: str = "chunk") -> DataFrame:
+    """Batches of size rows inside each group, numbered from 0 over all groups: largest groups first, ties by group. Batches are ranked, not rows, and no task holds all of them."""
+    rows = chunked(df, group, order, size, "_c").withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    heads = rows.select(group, "_n", "_c").distinct()
+    placed = rows_before(heads, [-F.col("_n"), F.col(group), F.col("_c")], name).select(group, "_c", name)
+    return rows.join(placed, [group, "_c"]).drop("_c", "_n")

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import metrics, stats, windows
-from rillflow.plans import regions, registry, training
+from rillflow.plans import reaches, regions, registry, training
 
-assert training and regions  # their queries are in the registry too
+assert training and regions and reaches  # their queries are in the registry too
 SF = "/root/testdata/sf0.001"
 
 
