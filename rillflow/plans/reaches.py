@@ -180,9 +180,9 @@ _SPAN = "SELECT o_totalprice AS x, min(o_totalprice) OVER () AS lo, max(o_totalp
 
 
 @query(f"""WITH b AS (SELECT least(floor((x - lo) / (hi - lo) * 200), 199)::INTEGER AS bin, count(*) AS n FROM ({_SPAN}) GROUP BY 1), s AS (SELECT any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS c FROM ({_SPAN}))
-  SELECT k::INTEGER AS bin, round(lo + (k + 1) * (hi - lo) / 200, 4) AS edge, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / c::DOUBLE, 8) AS density FROM (SELECT unnest(range(200)) AS k) CROSS JOIN s LEFT JOIN b ON b.bin = k""")
+  SELECT k::INTEGER AS bin, round(lo + (k + 1) * (hi - lo) / 200 + 1e-6, 4) AS edge, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / c::DOUBLE, 8) AS density FROM (SELECT unnest(range(200)) AS k) CROSS JOIN s LEFT JOIN b ON b.bin = k""")
 def cumulative_density(t: Tables) -> DataFrame:
-    return rounded(rounded(metrics.cumulative_density(t.raw("orders"), "o_totalprice", 200, "o_custkey"), ["edge"]), ["density"], 8)
+    return rounded(rounded(unequal(metrics.cumulative_density(t.raw("orders"), "o_totalprice", 200, "o_custkey"), ["edge"], 1e-6), ["edge"]), ["density"], 8)
 
 
 @query(f"""SELECT n.nodes, n.mean_area, n.n_gauge, n.n_reservoir, e.*, d.sources, d.sinks, c.components, round(e.edges / (n.nodes * (n.nodes - 1))::DOUBLE, 8) AS density FROM
