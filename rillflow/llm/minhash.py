@@ -185,10 +185,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     star = written(pairs, "star")
     sets = Sets(texts, classes.select("node", "rep"), None, size, percent)
     links = confirmed(sets, star.where(F.col("what") % 2 == 1).select("a", "b"), percent)
-    # rows that share a doc_id but not their set link their classes
-    own = rows.where("n > 0").select("doc", "node").distinct()
-    shared = own.join(own.groupBy("doc").agg(F.count("*").alias("k"), F.min("node").alias("least")).where("k > 1"), "doc")
-    links = links.union(shared.where(F.col("least") != F.col("node")).select(F.col("least").alias("a"), F.col("node").alias("b")))
+    # rows that share a doc_id but not their set link their classes; such ids are few, and written, as links are read more than once
+    own = rows.where("n > 0").select("doc", "node")
+    ids = written(own.groupBy("doc").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc", "least"), "shared-ids")
+    shared = written(own.join(ids, "doc").where(F.col("least") != F.col("node")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "shared")
+    links = links.union(shared)
 
     def edges(links):
         named = lambda x: classes.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"))
