@@ -36,6 +36,20 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted((tuple(plain(x) for x in r) for r in found.fetchall()), key=str)
 
 
+def test_batch_predictions_round_halves_as_their_sql(spark):
+    """All four digits, where test_query_equals_its_sql looks at three."""
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    names = ["basin", "subbasin", "date", "pred_k"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLES['batch_predictions']})").fetchall()
+    got = registry.QUERIES["batch_predictions"](spark, SF).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    halves = spark.createDataFrame([(127.38205,), (122.71285,), (-0.00005,), (None,), (float("nan"),), (2.0,)], "x double")
+    want = [con.execute("SELECT round(?::DOUBLE, 4)", [r.x]).fetchone()[0] for r in halves.collect()]
+    assert str([r.x for r in registry.rounded_as_sql(halves, ["x"]).collect()]) == str(want)
+
+
 def test_metrics_by_hand(spark):
     """Ten pairs, worked out from the definitions in plain Python."""
     o = [1.0, 2.0, 4.0, 3.0, 5.0, 7.0, 6.0, 9.0, 8.0, 10.0]
