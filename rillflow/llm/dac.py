@@ -21,11 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import SPACE, bytes_of, frugal, new_path, shuffle_partitions, small_batches, spread, text_batches, whole_text
+from rillflow.llm.common import SPACE, bytes_of, frugal, new_path, shuffle_partitions, small_batches, spread, table_of, text_batches, whole_text
 
 WIDTHS = (8, 8, 16)
+#: Bytes of a batch of texts to encode: few enough that its distinct pieces fit what a worker remembers, or each batch would find nothing remembered.
+BYTES = 2 << 20
 SEGMENT_TOKENS = 1 << 20
 BLOCK = 512
+LETTERS = table_of((0x41, 0x5A), (0x61, 0x7A))
+MARKS = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 
 def _dtype(width: int) -> str:
@@ -123,7 +127,7 @@ def _tokenizer(path: str):
 class Pieces:
     """Ids of pieces of text, kept for up to most pieces and most_bytes of them in a worker."""
 
-    def __init__(self, tokenizer: str, most: int = 200_000, most_bytes: int = 12 << 20):
+    def __init__(self, tokenizer: str, most: int = 300_000, most_bytes: int = 12 << 20):
         self.tokenizer, self.most, self.most_bytes = tokenizer, most, most_bytes
         self.clear()
 
@@ -225,8 +229,8 @@ def odd_documents(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...
 def encoded(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch of texts, joined, and the number of ids of each.
 
-    No token of byte-level BPE reaches from a character that is not white space into following white space. So texts are
-    cut before each run of white space, each distinct piece is encoded once, and the pieces' ids are gathered.
+    No token of byte-level BPE reaches from a character that is not white space into following white space, and none from a letter into a following mark. So texts are
+    cut before each run of white space and between an ASCII letter and an ASCII mark, each distinct piece is encoded once, and the pieces' ids are gathered.
     """
     data, offsets = bytes_of(column)
     n = len(offsets) - 1
@@ -235,6 +239,7 @@ def encoded(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     space = SPACE[data]
     cut = space.copy()
     cut[1:] &= ~space[:-1]
+    cut[1:] |= LETTERS[data[:-1]] & MARKS[data[1:]]
     begins = offsets[:-1][np.diff(offsets) > 0]
     odd = odd_documents(data, offsets, _tokenizer(tokenizer)[2])
     if odd.any():
@@ -255,7 +260,7 @@ def encoded(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
 def _writer(tokenizer: str, end_id: int, widths: tuple[int, ...], limit: int):
     def run(batches):
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        for b in text_batches(batches):
+        for b in text_batches(batches, BYTES):
             ids, counts = encoded(b.column("text"), tokenizer)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)

@@ -78,3 +78,25 @@ def test_files(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dac.token_output(df, PATH, str(tmp_path / "t")).count() == 0
+
+
+def test_marks_behind_letters_are_cut_as_the_library_cuts_them():
+    t = dac._tokenizer(PATH)[0]
+    texts = ["don't we'll I'VE 'tis x's. y'all'd've", "a.b,c (d)e [f]g_h i-j k/l", "é. ñ'x á. Á'b", "...x ..x'", "x!!! y?!", "<|endoftext|>a.b", "q a.b c", "end.\n\nNext, line.\t'z"]
+    ids, counts = dac.encoded(pa.array(texts), PATH)
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_a_worker_encodes_repeated_pieces_once(monkeypatch):
+    """Batches of whole texts have so many distinct words that all were forgotten behind each batch."""
+    rnd = np.random.default_rng(6)
+    words = ["".join(x) for x in rnd.choice(list("abcdefghij"), (120_000, 7))]
+    texts = [" ".join(words[i : i + 40_000]) for i in list(range(0, 120_000, 40_000)) * 12]
+    seen, known = [], dac.Pieces._encoded
+    monkeypatch.setattr(dac, "_KEPT", {})
+    monkeypatch.setattr(dac.Pieces, "_encoded", lambda self, pieces: seen.append(len(pieces)) or known(self, pieces))
+    monkeypatch.setattr(dac, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    others = [" ".join("".join(x) for x in rnd.choice(list("klmnopqrst"), (10_000, 9))) for _ in texts]
+    rb = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([f"{a} {b}" for a, b in zip(texts, others, strict=True)])], names=["doc_id", "text"])
+    assert sum(r.num_rows for r in dac._writer(PATH, 0, dac.WIDTHS, dac.SEGMENT_TOKENS)(iter([rb]))) > 1
+    assert sum(seen) < 1.1 * (120_000 + 10_000 * len(texts))
