@@ -7,8 +7,8 @@ document is in exactly one round, so that all rounds together are one pass over
 
 A second expert spells words from counts over all training documents: the probability of a word's next subword, or of its end, given the word's subwords so far, which the attention model
 knows by their classes only. Behind a prefix that n words have, the speller's share of a token's probability is (1 - g) * n / (n + 1), the attention model's the rest; a text's is the mean of its probabilities over the GATES g, so that each
-text is weighed by how well either expert did on it so far. Both experts and all gates are causal, and none gives more than 1 to all next tokens together. The speller knows the VOCABULARY most frequent
-prefixes and words; behind other prefixes the attention model decides alone.
+text is weighed by how well either expert did on it so far. Both experts and all gates are causal, and none gives more than 1 to all next tokens together. The VOCABULARY most frequent
+prefixes and words, and all first subwords, go to every task; what tokens in and behind words with other prefixes get from the speller is joined by hash, with counts of all.
 
 Texts are scored by windows of SPAN inputs, STEP apart, which overlap: a window scores the tokens that the one before it did not, so each token is scored once, with SPAN - STEP tokens
 of context at least (but at a text's start).
@@ -37,6 +37,7 @@ ROUNDS, SLICES, RATE, MINIBATCH, LEAST_STEPS = 3, 3, 0.02, 128, 150
 BYTES = 3 << 20
 #: Least shares of the attention model in the mixture of the experts.
 GATES = (0.02, 0.1, 0.3, 0.6, 0.98)
+SUMS = [f"s{i}" for i in range(len(GATES))]
 
 
 # --------------------------------------------------------------------------- words and subwords
@@ -113,7 +114,7 @@ def batch_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def _counts(tokenizer: str):
-    """Counts of words (kind 0, by hash), subwords (1), ends (2) and words' prefixes of subwords (4, by hash) of a task's documents, and packed windows of SPAN + 1 ids for each training round (3).
+    """Counts of words (kind 0, by hash), subwords (1), ends (2), words' prefixes of subwords (4, by hash) and of these the first subwords alone (5) of a task's documents, and packed windows of SPAN + 1 ids for each training round (3).
 
     A hash of document and place chooses the round of a window; as SLICES is ROUNDS, none is left out.
     """
@@ -132,9 +133,11 @@ def _counts(tokenizer: str):
             if sum(map(len, hs)) > 1_500_000:
                 yield sums_of(0, hs, ns)
                 hs, ns = [], []
-            for some, h in prefixes(*parts):
+            for j, (some, h) in enumerate(prefixes(*parts)):
                 ps.append(signed(h))
                 qs.append(np.bincount(codes, minlength=len(words))[some])
+                if j == 0:
+                    yield sums_of(5, ps[-1:], qs[-1:])
             if sum(map(len, ps)) > 1_500_000:
                 yield sums_of(4, ps, qs)
                 ps, qs = [], []
@@ -165,7 +168,9 @@ def _counts(tokenizer: str):
 
 
 class Counts:
-    """Counts by hash, of the most frequent ones."""
+    """Counts by hash, of the most frequent ones. whole: of all that there are, so that others have none."""
+
+    whole = True
 
     def __init__(self, h: np.ndarray, n: np.ndarray):
         order = np.argsort(h)
@@ -231,11 +236,62 @@ def spelled(parts: tuple, codes: np.ndarray, at: np.ndarray, known: np.ndarray,
     return np.insert(out, where, end), np.insert(n, where, end_n)
 
 
-def gated(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """log10 probability of each text from log10 probabilities of its tokens by one expert, and probabilities by the other with counts behind them: the mean over the gates."""
+def open_words(parts: tuple, known: np.ndarray, begun: Counts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which words have counts that the tables do not hold; and of all words the hashes of their prefixes, these prefixes' counts (-1: not held), joined, and how many they are."""
+    count = np.minimum(parts[2], SPAN)
+    place = np.cumsum(count) - count
+    h, n = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
+    out = np.zeros(len(count), bool) if v.whole else known < 0
+    for j, (some, x) in enumerate(prefixes(*parts)):
+        found = begun.find(signed(x))
+        if begun.whole or j == 0:  # all first subwords are held
+            found = np.maximum(found, 0)
+        out[some] |= found < 0
+        h[place[some] + j], n[place[some] + j] = signed(x), found
+    return out, h, n, count
+
+
+def open_tokens(is_open: np.ndarray, parts: tuple, codes: np.ndarray, at: np.ndarray, firsts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of open words, their documents, the places of the tokens that the speller gets from each, how many these are, and what the last one's probability has besides the word's end."""
+    n = parts[2][codes]
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    start = np.cumsum(n) - n + doc
+    own = np.flatnonzero(is_open[codes])
+    tokens = np.where(n[own] > SPAN, SPAN - 1, n[own])  # the speller says nothing further inside or behind a longer word
+    group, k = spread(tokens)
+    last = own + 1 == at[1:][doc[own]]
+    behind = np.where(last, v.ends, firsts[codes[np.minimum(own + 1, len(codes) - 1)]]) / max(1, v.tokens)
+    return own, doc[own], start[own][group] + 1 + k, tokens, behind
+
+
+def gate_terms(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 probabilities of tokens under each gate."""
     p = 10**attention
     more = (spelling - p) * (n / (n + 1))
-    sums = np.stack([np.add.reduceat(np.log10(np.maximum(p + (1 - g) * more, 1e-300)), edges[:-1]) for g in GATES])
+    return np.stack([np.log10(np.maximum(p + (1 - g) * more, 1e-300)) for g in GATES])
+
+
+def _opened(batches):
+    """Sums of tokens under each gate, of occurrences of words with the counts of their prefixes."""
+    for rb in batches:
+        p, c = rb.column("p"), rb.column("c")
+        size, had = p.value_lengths().to_numpy().astype(np.int64), c.value_lengths().to_numpy().astype(np.int64)
+        if not len(size):
+            continue
+        group, k = spread(size)
+        n = c.flatten().to_numpy().astype(np.int64)
+        place = (np.cumsum(had) - had)[group] + k
+        ends = k + 1 == had[group]  # the token behind the word
+        next_ = np.where(ends, (rb.column("known").to_numpy() * rb.column("f").to_numpy())[group], n[np.minimum(place + 1, len(n) - 1)])
+        spelling = np.where(n[place] > 0, next_ / np.maximum(n[place], 1), 0)
+        terms = gate_terms(p.flatten().to_numpy().astype(float), spelling, n[place].astype(float))
+        sums = [np.bincount(group, weights=t, minlength=len(size)) for t in terms]
+        yield pa.RecordBatch.from_arrays([rb.column("doc"), rb.column("mark"), *map(pa.array, sums)], names=["doc", "mark", *SUMS])
+
+
+def gated(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from log10 probabilities of its tokens by one expert, and probabilities by the other with counts behind them: the mean over the gates."""
+    sums = np.add.reduceat(gate_terms(attention, spelling, n), edges[:-1], axis=1)
     top = sums.max(axis=0)
     return top + np.log10((10 ** (sums - top)).mean(axis=0))
 
@@ -431,15 +487,23 @@ def log_probabilities(w: dict, inputs: np.ndarray, targets: np.ndarray, edges: n
     return out
 
 
-SCORED = "doc_id long, doc long, mark long, n_tokens long, n_known long, base double, score double, h long, k long"
+SCORED = f"doc_id long, doc long, mark long, n_tokens long, n_known long, base double, {', '.join(f'{s} double' for s in SUMS)}, h long, k long, p array<float>, f double, q array<long>, c array<long>"
 
 
 def _scored(tokenizer: str, classes: Classes, flat: np.ndarray, v: Vocabulary, begun: Counts):
-    """A row for each document, whose base leaves out words that are not among the most frequent; and a row with h and k, hash and number, for each such word of each document."""
+    """A row for each document, whose base leaves out words that are not among the most frequent; and a row with h and k, hash and number, for each such word of each document.
+
+    Sums under the gates leave out tokens that depend on open words: each occurrence is a row with h, the attention model's p of these tokens and the factor f of the last one, each open word of a
+    batch a row with h, the hashes q of its prefixes and their counts c.
+    """
+    types = {"long": pa.int64(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64())}
 
     def rows(n, **columns):
-        kinds = [(x.split()[0], pa.int64() if x.endswith("long") else pa.float64()) for x in SCORED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds], names=[c for c, _ in kinds])
+        kinds = [(x.split()[0], types[x.split()[1]]) for x in SCORED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in kinds], names=[c for c, _ in kinds])
+
+    def lists(values, counts):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
     def run(batches):
         w = views(flat)
@@ -450,7 +514,12 @@ def _scored(tokenizer: str, classes: Classes, flat: np.ndarray, v: Vocabulary, b
             inputs[edges[:-1]] = END_CLASS
             h = signed(hashed(words))
             c = v.find(h)
-            score = gated(log_probabilities(w, inputs, cls.astype(np.int64), edges) + classes.within[ids], *spelled(parts, codes, at, c, begun, v), edges)
+            attention = log_probabilities(w, inputs, cls.astype(np.int64), edges) + classes.within[ids]
+            terms = gate_terms(attention, *spelled(parts, codes, at, c, begun, v))
+            is_open, q, held, size = open_words(parts, c, begun, v)
+            own, own_doc, place, tokens, behind = open_tokens(is_open, parts, codes, at, held[np.cumsum(size) - size], v)
+            terms[:, place] = 0
+            sums = np.add.reduceat(terms, edges[:-1], axis=1)
             base = np.concatenate([[0], np.cumsum(np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0)[codes])])
             known = np.concatenate([[0], np.cumsum((c > 0)[codes])])
             n = np.diff(at) + 1
@@ -463,8 +532,12 @@ def _scored(tokenizer: str, classes: Classes, flat: np.ndarray, v: Vocabulary, b
                 n_tokens=n,
                 n_known=known[at[1:]] - known[at[:-1]] + (v.ends > 0),
                 base=base[at[1:]] - base[at[:-1]] + math.log10(v.ends + 0.1) - n * v.scale,
-                score=score,
+                **dict(zip(SUMS, sums, strict=True)),
             )
+            if len(own):
+                yield rows(len(own), h=h[codes[own]], doc=doc[own_doc], mark=mark[own_doc], p=lists(attention[place].astype(np.float32), tokens), f=behind)
+                some, each = np.flatnonzero(is_open), np.repeat(is_open, size)
+                yield rows(len(some), h=h[some], q=lists(q[each], size[some]), c=lists(held[each], size[some]))
             rare = (c < 0)[codes]
             pair, k = np.unique(np.repeat(np.arange(rb.num_rows), np.diff(at))[rare] * max(1, len(words)) + codes[rare], return_counts=True)
             if len(pair):
@@ -474,6 +547,16 @@ def _scored(tokenizer: str, classes: Classes, flat: np.ndarray, v: Vocabulary, b
     return run
 
 
+def _open_sums(both: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc, mark and the sums under each gate of tokens that depend on open words. Only counts that no task held are joined: each of their prefixes has less than 1 / VOCABULARY of all."""
+    words = both.where("q IS NOT NULL").groupBy("h").agg(F.first(F.arrays_zip("q", "c")).alias("x")).select("h", F.posexplode("x").alias("j", "x")).select("h", "j", "x.q", "x.c")
+    joined = words.where("c < 0").join(counts.where("kind = 4").select(F.col("h").alias("q"), "n"), "q", "left").select("h", "j", F.coalesce("n", F.lit(0)).alias("n"))
+    each = joined.union(words.where("c >= 0").select("h", "j", "c")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("j", "n"))).alias("x")).select("h", F.col("x.n").alias("c"))
+    each = each.join(counts.where("kind = 0").select("h", F.col("n").alias("known")), "h", "left").select("h", "c", F.coalesce("known", F.lit(0)).alias("known"))
+    own = both.where("p IS NOT NULL").select("h", "doc", "mark", "p", "f").join(each, "h")
+    return own.mapInArrow(_opened, f"doc long, mark long, {', '.join(f'{s} double' for s in SUMS)}").groupBy("doc", "mark").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+
 def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
@@ -492,7 +575,11 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     ends = totals.get(2, (0, 0))[0]
     tokens, distinct = totals.get(0, (0, 0))[0] + ends, totals.get(0, (0, 0))[1] + (ends > 0)
     v = Vocabulary(*most_frequent(counts.where("kind = 0"), "h", "n", VOCABULARY), tokens, distinct, ends)
-    begun = Counts(*most_frequent(counts.where("kind = 4"), "h", "n", VOCABULARY))
+    first = counts.where("kind = 5").select("h", "n").toPandas()  # at most as many as subwords
+    most = [np.concatenate(x) for x in zip(most_frequent(counts.where("kind = 4"), "h", "n", VOCABULARY), (first["h"].to_numpy(np.int64), first["n"].to_numpy(np.int64)), strict=True)]
+    own = np.unique(most[0], return_index=True)[1]
+    begun = Counts(most[0][own], most[1][own])
+    v.whole, begun.whole = len(v.h) == totals.get(0, (0, 0))[1], len(begun.h) == totals.get(4, (0, 0))[1]
     ids = np.zeros(IDS)
     for r in counts.where("kind = 1").collect():  # at most as many as subwords
         ids[r.h] = r.n
@@ -509,17 +596,25 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
                 flat[x.i] = x.v
     dropped(gathered)
     both = written(texts.select("doc_id", "doc", "mark", "text").mapInArrow(_scored(tokenizer, classes, flat, v, begun), SCORED), "scores")
-    scored = both.where("h IS NULL").drop("h", "k")
-    rare = both.where("h IS NOT NULL").select("h", "doc", "mark", "k").join(counts.where("kind = 0").select("h", "n"), "h", "left")
+    scored = both.where("h IS NULL").drop("h", "k", "p", "f", "q", "c")
+    rare = both.where("k IS NOT NULL").select("h", "doc", "mark", "k").join(counts.where("kind = 0").select("h", "n"), "h", "left")
     rare = rare.groupBy("doc", "mark").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("also"))
     alike = scored.groupBy("doc", "mark").agg(F.count("*").alias("rows"))  # repeated rows have added up
     rare = rare.join(alike, ["doc", "mark"]).select("doc", "mark", (F.col("more") / F.col("rows")).alias("more"), (F.col("also") / F.col("rows")).cast("long").alias("also"))
-    return scored.join(rare, ["doc", "mark"], "left").select(
+    scored = scored.join(rare, ["doc", "mark"], "left")
+    sums = [F.col(s) for s in SUMS]
+    if not (v.whole and begun.whole):
+        more = _open_sums(both, counts).join(alike, ["doc", "mark"]).select("doc", "mark", *[(F.col(s) / F.col("rows")).alias(f"more_{s}") for s in SUMS])
+        scored = scored.join(more, ["doc", "mark"], "left")
+        sums = [F.col(s) + F.coalesce(f"more_{s}", F.lit(0.0)) for s in SUMS]
+    top = F.greatest(*sums)
+    score = top + F.log10(sum((F.pow(F.lit(10.0), s - top) for s in sums), F.lit(0.0)) / len(SUMS))
+    return scored.select(
         "doc_id",
         held.alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        score.alias("score"),
     )

@@ -163,5 +163,20 @@ def test_gates_average_probabilities_of_texts():
     assert np.allclose(m.gated(np.log10(p), q, n, edges), want)
 
 
+def test_scores_do_not_depend_on_how_many_counts_a_task_holds(spark, monkeypatch):
+    """Prefixes and words that are not held by every task had no share of the speller."""
+    monkeypatch.setattr(m, "ROUNDS", 0)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    rows += [(None, "a B c"), (1000, None), (1001, "unfathomable"), (1002, "x " * 500), (1003, "é" * 3000), (1004, "once more"), (1004, "once more"), (1005, "neverseen wordings neverseen"), (1006, "é" * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for vocabulary in (1 << 18, 50, 0):
+        monkeypatch.setattr(m, "VOCABULARY", vocabulary)
+        got[vocabulary] = sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.score) for r in m.lm_scores(df, PATH).collect()))
+    for other in (50, 0):
+        assert [x[:3] for x in got[other]] == [x[:3] for x in got[1 << 18]]
+        assert np.allclose([x[3] for x in got[other]], [x[3] for x in got[1 << 18]], rtol=1e-5, atol=1e-3)
+
+
 def test_empty_table(spark):
     assert m.lm_scores(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
