@@ -24,7 +24,7 @@ from rillflow.llm.common import LOWER, apart, bytes_of, frugal, small_batches, s
 SEPARATORS = table_of((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 WINDOW, SHINGLE, BLOCK = 10, 3, 50_000
 BITS = 20
-BYTES = 4 << 20
+BYTES = 2 << 20
 
 
 def _words(column: pa.Array):
@@ -192,6 +192,10 @@ def _summed(names: list[str]):
     return run
 
 
+def _both(first, then):
+    return lambda batches: then(first(batches))
+
+
 def judged(docs: DataFrame, items: DataFrame, names: list[str], window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """The named columns of docs with the columns of RESULT."""
     spark = docs.sparkSession
@@ -203,6 +207,7 @@ def judged(docs: DataFrame, items: DataFrame, names: list[str], window: int = WI
     kept = docs.select(*quoted)
     out = docs.select(*quoted, whole_text().alias("_text"), F.array().cast("array<bigint>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
     schema = out.schema
+    passes = []
     for i in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == i)
         rows = part.orderBy("w").collect()  # about BLOCK windows
@@ -210,11 +215,16 @@ def judged(docs: DataFrame, items: DataFrame, names: list[str], window: int = WI
             continue
         b = Block(rows, shingle)
         counts = texts.mapInArrow(frugal(_counted(b)), "s int, v long, n long").groupBy("s", "v").agg(F.sum("n")).collect()
-        out = out.mapInArrow(_matched(b, b.prefixes({(r[0], r[1]): r[2] for r in counts}), names), schema)
+        passes.append(_matched(b, b.prefixes({(r[0], r[1]): r[2] for r in counts}), names))
     swept(spark)
     for column in RESULT.split(", "):
         kept = kept.withColumn(column.split()[0], F.lit(None).cast(column.split()[1]))
-    return out.mapInArrow(frugal(_summed(names)), kept.schema)
+    for run in passes[:-1]:
+        out = out.mapInArrow(frugal(run), schema)
+    last = _summed(names)
+    if passes:  # in the worker of the last block: each step of its own is one more worker beside every task
+        last = _both(passes[-1], last)
+    return out.mapInArrow(frugal(last), kept.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

@@ -56,3 +56,14 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert d.contamination(a.limit(0), b).count() == 0
     assert d.contamination(a, b.limit(0)).where("contaminated").count() == 0
+
+
+def test_one_worker_beside_a_task(spark):
+    """The hits of the last block are summed where they are found."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([("p", "b c d e f g h i j k"), ("q", "x y"), ("r", "w v u")], "item_id string, text string")
+    for block, workers in ((50_000, 1), (1, 3)):
+        df = d.contamination(docs, items, block=block)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= workers
+        assert sorted((r.doc_id, r.n_hit, r.n_items) for r in df.collect()) == [(1, 10, 1), (2, 2, 1)]
+    assert d.contamination(docs, items.where("false")).where("contaminated").count() == 0
