@@ -31,7 +31,7 @@ from rillflow.llm.common import (
     written,
 )
 from rillflow.llm.components import components
-from rillflow.llm.ngram_join import BYTES, NODE, Sets, _set_rows, leads, node_array, nodes_of, rows_of, shingle_sets
+from rillflow.llm.ngram_join import BYTES, NODE, Sets, _set_rows, ends_of, leads, node_array, nodes_of, rows_of, shingle_sets
 
 SHINGLE, PERCENT = 5, 85
 #: Bins of a signature (a power of two), and bins of a band.
@@ -146,7 +146,7 @@ def _starred(percent: int):
 
 def confirmed(sets: Sets, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a table, of nodes whose full sets reach the threshold. Each side is joined by its node; a hub has as many rows as partners, which Spark's skew join splits."""
-    full = sets.fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _set_rows(sets.size), "node binary, n long, set array<long>", "sets")
+    full = sets.fetched(ends_of(pairs), _set_rows(sets.size), "node binary, n long, set array<long>", "sets")
     side = lambda x: full.dropDuplicates(["node"]).select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -163,7 +163,7 @@ def open_nodes(star: DataFrame, links: DataFrame) -> DataFrame:
     many = star.where(F.col("what") >= 2)
     both = many.join(of("a"), "a", "left").join(of("b"), "b", "left")
     loose = written(both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a").distinct(), "loose")
-    return many.join(loose, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return ends_of(many.join(loose, "a", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

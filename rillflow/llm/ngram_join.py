@@ -282,6 +282,11 @@ def _set_rows(size: int):
 # --------------------------------------------------------------------------- links
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """node: each node that is one of a pair (a, b), once. Each side is made distinct by itself, so no pair becomes two rows."""
+    return pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 class Sets:
     """Fetches filters and whole sets of nodes from the texts of their representatives."""
 
@@ -310,7 +315,7 @@ class Sets:
         for p in FILTERS:
             near = near.where(self.admitted(p))
         near = written(near.select("a", "b"), "near")
-        sets = self.fetched(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), _set_rows(self.size), "node binary, n long, set array<long>", "sets")
+        sets = self.fetched(ends_of(near), _set_rows(self.size), "node binary, n long, set array<long>", "sets")
         both = near.join(side("a", sets), "a").join(side("b", sets), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         links = written(both.where(100 * shared >= self.percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct(), "links")
@@ -359,7 +364,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     large = written(found.where(F.col("kind") == LARGE).select("token", "node", "n", "reach").distinct(), "large")
     pairs = found.where(F.col("kind") == PAIR).select(*_ordered("node", "other")).union(hub_pairs(large)).distinct()
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    wanted = ends_of(pairs).union(large.select("node").distinct()).distinct()
     sets = Sets(texts, classes, orders, size, percent)
     filters = sets.filters(wanted)
     links = sets.verified(pairs, filters)

@@ -53,3 +53,12 @@ def test_signatures_agree_as_sets_overlap():
     assert (one[0] == 7).all() and (one[1] == 0).all() and (one[2] == 9).all()
     k = m.band_keys(s)
     assert k.shape == (80, m.BINS // m.ROWS) and (k[::2] == k[1::2]).any(1).all()
+
+
+def test_nodes_of_pairs_take_no_row_a_side(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 2), (3, 1), (5, 5)], "a long, b long")
+    got = m.ends_of(pairs)
+    assert sorted(r.node for r in got.collect()) == [1, 2, 3, 5]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plan = m.open_nodes(spark.createDataFrame([(1, 2, 2), (1, 3, 3)], "a long, b long, what int"), spark.createDataFrame([(1, 3)], "a long, b long"))
+    assert sorted(r.node for r in plan.collect()) == [1, 2, 3] and "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
