@@ -249,11 +249,12 @@ def frugal(run: Callable) -> Callable:
     return ended
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lowers the rows of an Arrow batch, so that batches of whole texts stay within a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "2m") -> None:
+    """Lowers the rows and bytes of an Arrow batch, so that batches of whole texts stay within the memory of a worker and of the executor beside it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def most_frequent(counts: DataFrame, key: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray]:

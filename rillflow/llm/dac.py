@@ -282,6 +282,7 @@ def _writer(tokenizer: str, end_id: int, widths: tuple[int, ...], limit: int):
                     }
                 )
                 seq, start = seq + 1, start + y - x
+        _KEPT.clear()  # an idle worker remembers nothing: other tasks have few of the same pieces
 
     return run
 
@@ -334,7 +335,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:

@@ -27,12 +27,25 @@ AT_ONCE = 1 << 14
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the distinct words and of their n-grams of characters, in order of the words, and len + 1 offsets; AT_ONCE words at a time."""
-    parts = [_features_of(words.slice(a, AT_ONCE)) for a in range(0, len(words), AT_ONCE)]
+    parts = list(_parts(words))
     if not parts:
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
     return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
 
 
+def _parts(words: pa.Array):
+    return (_features_of(words.slice(a, AT_ONCE)) for a in range(0, len(words), AT_ONCE))
+
+
+def word_sums(words: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's sum of the weights of its features, and how many these are; no more than AT_ONCE words' features are held."""
+    sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for ids, n in _parts(words):  # a word has one feature at least
+        sums.append(np.add.reduceat(weights[ids].astype(np.float64), np.cumsum(n) - n))
+        counts.append(n)
+    return np.concatenate(sums), np.concatenate(counts)
+
+
 def _features_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets in order of the words, and how many each word has."""
     n = len(words)
@@ -157,9 +170,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             data, offsets = bytes_of(rb.column("text"))
             starts, stops, edges = word_spans(data, offsets)
             codes, words = coded(data, starts, stops)
-            ids, first = word_features(words)
-            total = np.concatenate([[0], np.cumsum(weights[ids].astype(np.float64))])
-            value, n = (total[first[1:]] - total[first[:-1]])[codes], np.diff(first)[codes]
+            value, n = (x[codes] for x in word_sums(words, weights))
             again = repeats_before(codes, edges)
             value, n = value + again * (REPEAT * float(weights[BUCKETS])), n + again * REPEAT
             sums = [np.concatenate([[0], np.cumsum(x)]) for x in (value, n)]

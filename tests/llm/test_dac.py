@@ -100,3 +100,11 @@ def test_a_worker_encodes_repeated_pieces_once(monkeypatch):
     rb = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([f"{a} {b}" for a, b in zip(texts, others, strict=True)])], names=["doc_id", "text"])
     assert sum(r.num_rows for r in dac._writer(PATH, 0, dac.WIDTHS, dac.SEGMENT_TOKENS)(iter([rb]))) > 1
     assert sum(seen) < 1.1 * (120_000 + 10_000 * len(texts))
+
+
+def test_an_idle_worker_remembers_no_pieces(monkeypatch):
+    monkeypatch.setattr(dac, "_KEPT", {})
+    monkeypatch.setattr(dac, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    rb = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["some words", "more words"])], names=["doc_id", "text"])
+    assert sum(r.num_rows for r in dac._writer(PATH, 0, dac.WIDTHS, dac.SEGMENT_TOKENS)(iter([rb]))) == 1
+    assert not dac._KEPT

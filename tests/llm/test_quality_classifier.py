@@ -49,3 +49,24 @@ def test_features_do_not_depend_on_how_many_words_go_at_once(monkeypatch):
     few_ids, few_first = q.word_features(words)
     assert np.array_equal(ids, few_ids) and np.array_equal(first, few_first)
     assert first[-1] == len(ids) and len(first) == len(words) + 1
+
+
+def test_a_words_sum_is_that_of_its_features(monkeypatch):
+    """Features of all words of a batch, and their weights, were held at once."""
+    words = pa.array([f"wörd{k * k}".encode() for k in range(500)] + [b"", b"\xff>", b"x" * 3000], pa.large_binary())
+    weights = np.random.default_rng(0).normal(size=q.BUCKETS + 1).astype(np.float32)
+    ids, first = q.word_features(words)
+    held, known = [], q._features_of
+    monkeypatch.setattr(q, "_features_of", lambda w: held.append(len(w)) or known(w))
+    monkeypatch.setattr(q, "AT_ONCE", 7)
+    sums, n = q.word_sums(words, weights)
+    assert np.array_equal(n, np.diff(first)) and np.allclose(sums, [weights[ids[a:z]].astype(float).sum() for a, z in zip(first[:-1], first[1:], strict=True)])
+    assert max(held) == 7 and [len(x) for x in q.word_sums(words[:0], weights)] == [0, 0]
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    """Only rows of a batch were bounded: 60 texts of 300 KB came in one batch."""
+    q.small_batches(spark)
+    docs = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("abc "), 75_000).alias("text"))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) >= 60 * 300_000 and max(r.n for r in sizes) <= 3 << 20
