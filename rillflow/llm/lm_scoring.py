@@ -8,12 +8,12 @@ document is in exactly one round, so that all rounds together are one pass over
 A second expert spells words from counts over all training documents: the probability of a word's next subword, or of its end, given the word's subwords so far, which the attention model
 knows by their classes only. Behind a prefix that n words have, the speller's share of a token's probability is (1 - g) * n / (n + 1), the attention model's the rest; a text's is the mean of its probabilities over the GATES g, so that each
 text is weighed by how well either expert did on it so far. Both experts and all gates are causal, and none gives more than 1 to all next tokens together. The VOCABULARY most frequent
-prefixes and words, and all first subwords, go to every task; what tokens in and behind words with other prefixes get from the speller is joined by hash, with counts of all.
+prefixes and words, and all first subwords, go to every task; counts of other prefixes are joined by hash, once for each block of texts that has them.
 
 Texts are scored by windows of SPAN inputs, STEP apart, which overlap: a window scores the tokens that the one before it did not, so each token is scored once, with SPAN - STEP tokens
 of context at least (but at a text's start).
 
-Word counts: the VOCABULARY most frequent words, a bounded table, go to every task; the others, each of which then has less than 1 / VOCABULARY of all words, are joined by hash.
+Word counts: the VOCABULARY most frequent words, a bounded table, go to every task; the others, each of which then has less than 1 / VOCABULARY of all words, are joined by hash in the same way.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ ROUNDS, SLICES, RATE, MINIBATCH, LEAST_STEPS = 3, 3, 0.02, 128, 150
 BYTES = 3 << 20
 #: Least shares of the attention model in the mixture of the experts.
 GATES = (0.02, 0.1, 0.3, 0.6, 0.98)
-SUMS = [f"s{i}" for i in range(len(GATES))]
 
 
 # --------------------------------------------------------------------------- words and subwords
@@ -184,6 +184,19 @@ class Counts:
         return np.where(self.h[k] == h, self.n[k], -1)
 
 
+class Together:
+    """Counts of a first table, and of the next one where it has none."""
+
+    def __init__(self, *tables: Counts):
+        self.tables = tables
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = self.tables[0].find(h)
+        for t in self.tables[1:]:
+            out = np.where(out < 0, t.find(h), out)
+        return out
+
+
 class Vocabulary(Counts):
     """Counts of the most frequent words, and totals."""
 
@@ -205,7 +218,7 @@ def prefixes(flat: np.ndarray, first: np.ndarray, count: np.ndarray):
         yield some, h[some]
 
 
-def spelled(parts: tuple, codes: np.ndarray, at: np.ndarray, known: np.ndarray, begun: Counts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def spelled(parts: tuple, codes: np.ndarray, at: np.ndarray, known: np.ndarray, begun: Counts | Together, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The speller's probability of each id of sequences(), and the count of the prefix before it: known has the words' counts, begun those of prefixes.
 
     A word is its first subword, by its share of all words and ends, then each next one by its share of what follows the prefix; whatever comes behind the word first needs the word's end.
@@ -236,32 +249,17 @@ def spelled(parts: tuple, codes: np.ndarray, at: np.ndarray, known: np.ndarray,
     return np.insert(out, where, end), np.insert(n, where, end_n)
 
 
-def open_words(parts: tuple, known: np.ndarray, begun: Counts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which words have counts that the tables do not hold; and of all words the hashes of their prefixes, these prefixes' counts (-1: not held), joined, and how many they are."""
-    count = np.minimum(parts[2], SPAN)
-    place = np.cumsum(count) - count
-    h, n = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
-    out = np.zeros(len(count), bool) if v.whole else known < 0
-    for j, (some, x) in enumerate(prefixes(*parts)):
-        found = begun.find(signed(x))
-        if begun.whole or j == 0:  # all first subwords are held
-            found = np.maximum(found, 0)
-        out[some] |= found < 0
-        h[place[some] + j], n[place[some] + j] = signed(x), found
-    return out, h, n, count
-
-
-def open_tokens(is_open: np.ndarray, parts: tuple, codes: np.ndarray, at: np.ndarray, firsts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of open words, their documents, the places of the tokens that the speller gets from each, how many these are, and what the last one's probability has besides the word's end."""
-    n = parts[2][codes]
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    start = np.cumsum(n) - n + doc
-    own = np.flatnonzero(is_open[codes])
-    tokens = np.where(n[own] > SPAN, SPAN - 1, n[own])  # the speller says nothing further inside or behind a longer word
-    group, k = spread(tokens)
-    last = own + 1 == at[1:][doc[own]]
-    behind = np.where(last, v.ends, firsts[codes[np.minimum(own + 1, len(codes) - 1)]]) / max(1, v.tokens)
-    return own, doc[own], start[own][group] + 1 + k, tokens, behind
+def wanted(words: pa.Array, parts: tuple, v: Vocabulary, begun: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (kind 0) and of their prefixes (4) whose counts the tables do not hold."""
+    h = signed(hashed(words))
+    out = [np.zeros(0, np.int64) if v.whole else h[v.find(h) < 0]]
+    if not begun.whole:
+        for j, (_, x) in enumerate(prefixes(*parts)):
+            if j:  # all first subwords are held
+                x = np.unique(signed(x))
+                out.append(x[begun.find(x) < 0])
+    rest = np.unique(np.concatenate([np.zeros(0, np.int64), *out[1:]]))
+    return np.repeat(np.array([0, 4], np.int32), [len(out[0]), len(rest)]), np.concatenate([out[0], rest])
 
 
 def gate_terms(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -271,24 +269,6 @@ def gate_terms(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray) -> np
     return np.stack([np.log10(np.maximum(p + (1 - g) * more, 1e-300)) for g in GATES])
 
 
-def _opened(batches):
-    """Sums of tokens under each gate, of occurrences of words with the counts of their prefixes."""
-    for rb in batches:
-        p, c = rb.column("p"), rb.column("c")
-        size, had = p.value_lengths().to_numpy().astype(np.int64), c.value_lengths().to_numpy().astype(np.int64)
-        if not len(size):
-            continue
-        group, k = spread(size)
-        n = c.flatten().to_numpy().astype(np.int64)
-        place = (np.cumsum(had) - had)[group] + k
-        ends = k + 1 == had[group]  # the token behind the word
-        next_ = np.where(ends, (rb.column("known").to_numpy() * rb.column("f").to_numpy())[group], n[np.minimum(place + 1, len(n) - 1)])
-        spelling = np.where(n[place] > 0, next_ / np.maximum(n[place], 1), 0)
-        terms = gate_terms(p.flatten().to_numpy().astype(float), spelling, n[place].astype(float))
-        sums = [np.bincount(group, weights=t, minlength=len(size)) for t in terms]
-        yield pa.RecordBatch.from_arrays([rb.column("doc"), rb.column("mark"), *map(pa.array, sums)], names=["doc", "mark", *SUMS])
-
-
 def gated(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """log10 probability of each text from log10 probabilities of its tokens by one expert, and probabilities by the other with counts behind them: the mean over the gates."""
     sums = np.add.reduceat(gate_terms(attention, spelling, n), edges[:-1], axis=1)
@@ -487,74 +467,61 @@ def log_probabilities(w: dict, inputs: np.ndarray, targets: np.ndarray, edges: n
     return out
 
 
-SCORED = f"doc_id long, doc long, mark long, n_tokens long, n_known long, base double, {', '.join(f'{s} double' for s in SUMS)}, h long, k long, p array<float>, f double, q array<long>, c array<long>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _scored(tokenizer: str, classes: Classes, flat: np.ndarray, v: Vocabulary, begun: Counts):
-    """A row for each document, whose base leaves out words that are not among the most frequent; and a row with h and k, hash and number, for each such word of each document.
+    """SCORED of a batch of texts, given tables with counts of words and of prefixes that others do not hold."""
+
+    def run(rb: pa.RecordBatch, words_more: Counts, begun_more: Counts) -> pa.RecordBatch:
+        ids, edges, codes, words, at, parts = sequences(rb.column("text"), tokenizer)
+        cls = classes.of[ids]
+        inputs = np.concatenate([[END_CLASS], cls[:-1]]).astype(np.uint8)
+        inputs[edges[:-1]] = END_CLASS
+        c = np.maximum(Together(v, words_more).find(signed(hashed(words))), 0)
+        attention = log_probabilities(views(flat), inputs, cls.astype(np.int64), edges) + classes.within[ids]
+        score = gated(attention, *spelled(parts, codes, at, c, Together(begun, begun_more), v), edges)
+        base = np.concatenate([[0], np.cumsum(np.log10(c + 0.1)[codes])])
+        known = np.concatenate([[0], np.cumsum((c > 0)[codes])])
+        n = np.diff(at) + 1
+        own = [n, known[at[1:]] - known[at[:-1]] + (v.ends > 0), base[at[1:]] - base[at[:-1]] + math.log10(v.ends + 0.1) - n * v.scale, score]
+        return pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("held_out"), *map(pa.array, own)], names=[x.split()[0] for x in SCORED.split(", ")])
 
-    Sums under the gates leave out tokens that depend on open words: each occurrence is a row with h, the attention model's p of these tokens and the factor f of the last one, each open word of a
-    batch a row with h, the hashes q of its prefixes and their counts c.
-    """
-    types = {"long": pa.int64(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64())}
+    return run
 
-    def rows(n, **columns):
-        kinds = [(x.split()[0], types[x.split()[1]]) for x in SCORED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in kinds], names=[c for c, _ in kinds])
 
-    def lists(values, counts):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+def _alone(score):
+    none = Counts(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return lambda batches: (score(rb, none, none) for rb in text_batches(batches, BYTES))
+
+
+ASKED = "block long, doc_id long, held_out boolean, text string, kind int, h long"
 
-    def run(batches):
-        w = views(flat)
-        for rb in text_batches(batches, BYTES):
-            ids, edges, codes, words, at, parts = sequences(rb.column("text"), tokenizer)
-            cls = classes.of[ids]
-            inputs = np.concatenate([[END_CLASS], cls[:-1]]).astype(np.uint8)
-            inputs[edges[:-1]] = END_CLASS
-            h = signed(hashed(words))
-            c = v.find(h)
-            attention = log_probabilities(w, inputs, cls.astype(np.int64), edges) + classes.within[ids]
-            terms = gate_terms(attention, *spelled(parts, codes, at, c, begun, v))
-            is_open, q, held, size = open_words(parts, c, begun, v)
-            own, own_doc, place, tokens, behind = open_tokens(is_open, parts, codes, at, held[np.cumsum(size) - size], v)
-            terms[:, place] = 0
-            sums = np.add.reduceat(terms, edges[:-1], axis=1)
-            base = np.concatenate([[0], np.cumsum(np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0)[codes])])
-            known = np.concatenate([[0], np.cumsum((c > 0)[codes])])
-            n = np.diff(at) + 1
-            doc, mark = rb.column("doc").to_numpy(), rb.column("mark").to_numpy()
-            yield rows(
-                len(n),
-                doc_id=rb.column("doc_id").to_pylist(),
-                doc=doc,
-                mark=mark,
-                n_tokens=n,
-                n_known=known[at[1:]] - known[at[:-1]] + (v.ends > 0),
-                base=base[at[1:]] - base[at[:-1]] + math.log10(v.ends + 0.1) - n * v.scale,
-                **dict(zip(SUMS, sums, strict=True)),
-            )
-            if len(own):
-                yield rows(len(own), h=h[codes[own]], doc=doc[own_doc], mark=mark[own_doc], p=lists(attention[place].astype(np.float32), tokens), f=behind)
-                some, each = np.flatnonzero(is_open), np.repeat(is_open, size)
-                yield rows(len(some), h=h[some], q=lists(q[each], size[some]), c=lists(held[each], size[some]))
-            rare = (c < 0)[codes]
-            pair, k = np.unique(np.repeat(np.arange(rb.num_rows), np.diff(at))[rare] * max(1, len(words)) + codes[rare], return_counts=True)
-            if len(pair):
-                own = pair // len(words)
-                yield rows(len(pair), h=h[pair % len(words)], doc=doc[own], mark=mark[own], k=k)
 
+def _asked(tokenizer: str, v: Vocabulary, begun: Counts):
+    """The texts in blocks of about BYTES, and for each block, without texts, the hashes whose counts it wants."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for seq, rb in enumerate(text_batches(batches, BYTES)):
+            *_, words, _, parts = sequences(rb.column("text"), tokenizer)
+            kind, h = wanted(words, parts, v, begun)
+            for n, columns in ((rb.num_rows, {c: rb.column(c) for c in ("doc_id", "held_out", "text")}), (len(h), {"kind": pa.array(kind), "h": pa.array(h)})):
+                columns["block"] = pa.array(np.full(n, (part << 32) + seq, np.int64))
+                yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}
+    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in ASKED.split(", ")])
     return run
 
 
-def _open_sums(both: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc, mark and the sums under each gate of tokens that depend on open words. Only counts that no task held are joined: each of their prefixes has less than 1 / VOCABULARY of all."""
-    words = both.where("q IS NOT NULL").groupBy("h").agg(F.first(F.arrays_zip("q", "c")).alias("x")).select("h", F.posexplode("x").alias("j", "x")).select("h", "j", "x.q", "x.c")
-    joined = words.where("c < 0").join(counts.where("kind = 4").select(F.col("h").alias("q"), "n"), "q", "left").select("h", "j", F.coalesce("n", F.lit(0)).alias("n"))
-    each = joined.union(words.where("c >= 0").select("h", "j", "c")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("j", "n"))).alias("x")).select("h", F.col("x.n").alias("c"))
-    each = each.join(counts.where("kind = 0").select("h", F.col("n").alias("known")), "h", "left").select("h", "c", F.coalesce("known", F.lit(0)).alias("known"))
-    own = both.where("p IS NOT NULL").select("h", "doc", "mark", "p", "f").join(each, "h")
-    return own.mapInArrow(_opened, f"doc long, mark long, {', '.join(f'{s} double' for s in SUMS)}").groupBy("doc", "mark").agg(*[F.sum(s).alias(s) for s in SUMS])
+def _in_blocks(score):
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        kind, h, n = (found.column(c).to_numpy() for c in ("kind", "h", "n"))
+        out = [score(rb, *[Counts(h[kind == k], n[kind == k]) for k in (0, 4)]) for rb in texts.combine_chunks().to_batches()]
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -567,8 +534,8 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc"), F.xxhash64(whole_text()).alias("mark"), whole_text().alias("text"), held.alias("held"))
-    train = texts.where("not held").select("doc", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc"), whole_text().alias("text"), held.alias("held_out"))
+    train = texts.where("not held_out").select("doc", "text")
     gathered = written(train.mapInArrow(_counts(tokenizer), "kind int, h long, n long, x binary"), "gathered")
     counts = written(gathered.where("kind <> 3").groupBy("kind", "h").agg(F.sum("n").alias("n")), "counts")
     totals = {r.kind: (r.s, r.c) for r in counts.groupBy("kind").agg(F.sum("n").alias("s"), F.count("*").alias("c")).collect()}
@@ -595,26 +562,13 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
             for x in new:
                 flat[x.i] = x.v
     dropped(gathered)
-    both = written(texts.select("doc_id", "doc", "mark", "text").mapInArrow(_scored(tokenizer, classes, flat, v, begun), SCORED), "scores")
-    scored = both.where("h IS NULL").drop("h", "k", "p", "f", "q", "c")
-    rare = both.where("k IS NOT NULL").select("h", "doc", "mark", "k").join(counts.where("kind = 0").select("h", "n"), "h", "left")
-    rare = rare.groupBy("doc", "mark").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("also"))
-    alike = scored.groupBy("doc", "mark").agg(F.count("*").alias("rows"))  # repeated rows have added up
-    rare = rare.join(alike, ["doc", "mark"]).select("doc", "mark", (F.col("more") / F.col("rows")).alias("more"), (F.col("also") / F.col("rows")).cast("long").alias("also"))
-    scored = scored.join(rare, ["doc", "mark"], "left")
-    sums = [F.col(s) for s in SUMS]
-    if not (v.whole and begun.whole):
-        more = _open_sums(both, counts).join(alike, ["doc", "mark"]).select("doc", "mark", *[(F.col(s) / F.col("rows")).alias(f"more_{s}") for s in SUMS])
-        scored = scored.join(more, ["doc", "mark"], "left")
-        sums = [F.col(s) + F.coalesce(f"more_{s}", F.lit(0.0)) for s in SUMS]
-    top = F.greatest(*sums)
-    score = top + F.log10(sum((F.pow(F.lit(10.0), s - top) for s in sums), F.lit(0.0)) / len(SUMS))
-    return scored.select(
-        "doc_id",
-        held.alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        score.alias("score"),
-    )
+    score, texts = _scored(tokenizer, classes, flat, v, begun), texts.select("doc_id", "held_out", "text")
+    if v.whole and begun.whole:
+        scored = texts.mapInArrow(_alone(score), SCORED)
+    else:
+        asked = written(texts.mapInArrow(_asked(tokenizer, v, begun), ASKED), "asked")
+        # only counts that no task holds are joined: each of these words and prefixes has less than 1 / VOCABULARY of all, and a block asks for each once
+        found = asked.where("h IS NOT NULL").select("block", "kind", "h").join(counts.where("kind IN (0, 4)"), ["kind", "h"]).select("block", "kind", "h", "n")
+        own = asked.where("h IS NULL").select(F.col("block").alias("own"), "doc_id", "held_out", "text")
+        scored = own.groupBy("own").cogroup(found.groupBy("block")).applyInArrow(_in_blocks(score), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

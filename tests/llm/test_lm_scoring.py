@@ -178,5 +178,21 @@ def test_scores_do_not_depend_on_how_many_counts_a_task_holds(spark, monkeypatch
         assert np.allclose([x[3] for x in got[other]], [x[3] for x in got[1 << 18]], rtol=1e-5, atol=1e-3)
 
 
+def test_a_block_asks_once_for_each_count_that_no_task_holds(monkeypatch):
+    """Each occurrence of a word whose counts were not held was a row of its own, with its tokens' probabilities."""
+    monkeypatch.setattr(m, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 3})())}))
+    texts = ["unfathomable unfathomed " * 50, None, "unfathomable thing " * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 2], pa.int64()), pa.array([False] * 3), pa.array(["" if t is None else t for t in texts])], names=["doc_id", "held_out", "text"])
+    none = [np.zeros(0, np.int64)] * 2
+    v, begun = m.Vocabulary(*none, 10, 3, 3), m.Counts(*none)
+    v.whole = begun.whole = False
+    rows = [r for rb in m._asked(PATH, v, begun)(iter([batch])) for r in rb.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in rows if r["h"] is None] == [(1, texts[0]), (None, ""), (2, texts[2])]
+    asked = [(r["kind"], r["h"]) for r in rows if r["h"] is not None]
+    subs = {w: m._bpe(PATH)[0].encode_ordinary(" " + w) for w in ("unfathomable", "unfathomed", "thing")}
+    begins = {tuple(x[:j]) for x in subs.values() for j in range(2, len(x) + 1)}
+    assert len(asked) == len(set(asked)) == 3 + len(begins) and {r["block"] for r in rows} == {3 << 32}
+
+
 def test_empty_table(spark):
     assert m.lm_scores(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
