@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import dac
-from rillflow.llm.common import LOWER, bytes_of, coded, doc_key, dropped, hashed, mixed, most_frequent, signed, small_batches, spread, swept, text_batches, whole_text, word_spans, written
+from rillflow.llm.common import LOWER, bytes_of, coded, doc_key, dropped, frugal, mixed, most_frequent, signed, reusing, small_batches, spread, swept, text_batches, whole_text, word_hashes, word_spans, written
 
 VOCABULARY = 1 << 18
 CLASSES, OWN, END_CLASS, END_ID, IDS = 256, 200, 255, 50256, 50257
@@ -43,32 +43,44 @@ GATES = (0.02, 0.1, 0.3, 0.6, 0.98)
 # --------------------------------------------------------------------------- words and subwords
 
 
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct words (large binary, from coded())."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    return word_hashes(np.frombuffer(words.buffers()[2], np.uint8), off[:-1], off[1:])
+
+
 class Subwords:
-    """Subword ids of words, kept for up to most words in a worker."""
+    """Subword ids of words, kept for up to most words in a worker. Words are found by their 64-bit hashes, as their counts are."""
 
     def __init__(self, tokenizer: str, most: int = 600_000):
         self.tokenizer, self.most = tokenizer, most
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.h, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.first, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All known ids joined, and the first place and number of ids of each of the given words."""
-        if len(self.index) > self.most:
+    def of(self, words: pa.Array, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All known ids joined, and the first place and number of ids of each of the given distinct words, which have these hashes."""
+        if len(self.h) > self.most:
             self.clear()
-        index = self.index
-        new = [w for w in words if w not in index]
-        if new:
-            ids, counts = self._encoded(new)
+        order = np.argsort(h)
+        sought = h[order]
+        k = np.searchsorted(self.h, sought)
+        fresh = self.h[np.minimum(k, len(self.h) - 1)] != sought if len(self.h) else np.ones(len(h), bool)
+        if fresh.any():
+            ids, counts = self._encoded(words.take(pa.array(order[fresh])).to_pylist())
+            at = np.arange(len(self.first), len(self.first) + len(counts))
             first = len(self.flat) + np.cumsum(counts) - counts
-            index.update(zip(new, range(len(self.first), len(self.first) + len(new)), strict=True))
             self.flat, self.first, self.count = np.concatenate([self.flat, ids.astype(np.uint16)]), np.concatenate([self.first, first]), np.concatenate([self.count, counts])
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            self.h, self.row = np.insert(self.h, k[fresh], sought[fresh]), np.insert(self.row, k[fresh], at)
+            k += np.cumsum(fresh) - fresh
+        at = np.empty(len(h), np.int64)
+        at[order] = self.row[k]
         return self.flat, self.first[at], self.count[at]
 
-
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, each behind a space: encoded side by side and parted by their lengths in bytes, as no token reaches over a space."""
         bpe, bytes_in = _bpe(self.tokenizer)
@@ -123,6 +135,7 @@ def _counts(tokenizer: str):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(n), pa.array([None] * len(h) if x is None else x, pa.binary())], names=["kind", "h", "n", "x"])
 
     def run(batches):
+        reusing()
         total, ends, hs, ns, ps, qs = np.zeros(IDS, np.int64), 0, [], [], [], []
         for rb in text_batches(batches, BYTES):
             ids, edges, codes, words, _, parts = sequences(rb.column("text"), tokenizer)
@@ -264,7 +277,7 @@ def wanted(words: pa.Array, parts: tuple, v: Vocabulary, begun: Counts) -> tuple
 
 def gate_terms(attention: np.ndarray, spelling: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 probabilities of tokens under each gate."""
-    p = 10**attention
+    p = np.exp(attention * math.log(10))
     more = (spelling - p) * (n / (n + 1))
     return np.stack([np.log10(np.maximum(p + (1 - g) * more, 1e-300)) for g in GATES])
 
@@ -306,17 +319,65 @@ def first_weights(shares: np.ndarray, seed: int = 0) -> np.ndarray:
     return flat
 
 
+def two(t: np.ndarray) -> np.ndarray:
+    """As rows: products of two axes are one BLAS call."""
+    return t.reshape(-1, t.shape[-1])
+
+
 def forward(w: dict, x: np.ndarray):
     """Hidden rows for windows x of SPAN input classes, and what the way back needs. Masked: no row sees a later input."""
-    h0 = w["e"][x] + w["p"]
-    q, k, v = h0 @ w["q"], h0 @ w["k"], h0 @ w["v"]
-    s = q @ k.swapaxes(1, 2) * np.float32(DIMS**-0.5) + LATER
-    a = np.exp(s - s.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
+    h0 = np.take(w["e"], x, axis=0) + w["p"]
+    qkv = (two(h0) @ np.hstack([w["q"], w["k"], w["v"]])).reshape(*x.shape, -1)
+    q, k, v = qkv[..., :DIMS], qkv[..., DIMS : 2 * DIMS], qkv[..., 2 * DIMS :]
+    a = q @ k.swapaxes(1, 2)
+    a *= np.float32(DIMS**-0.5)
+    a += LATER
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a /= (two(a) @ np.ones(SPAN, a.dtype)).reshape(*x.shape, 1)
     c = a @ v
-    h1 = h0 + c @ w["o"]
-    z = np.maximum(h1 @ w["w1"] + w["b1"], 0)
-    return h1 + z @ w["w2"] + w["b2"], (h0, q, k, v, a, c, h1, z)
+    h1 = h0 + (two(c) @ w["o"]).reshape(h0.shape)
+    z = two(h1) @ w["w1"]
+    z += w["b1"]
+    np.maximum(z, 0, out=z)
+    h2 = z @ w["w2"]
+    h2 += w["b2"]
+    h2 += two(h1)
+    return h2.reshape(h0.shape), (h0, q, k, v, a, c, h1, z)
+
+
+#: Rows of class logits at a time, which stay in a core's cache.
+CACHED = 384
+
+
+def output_gradient(h: np.ndarray, w: dict, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss (nats) over targets y of hidden rows h, its gradient by h, and by the output weights with the bias as a last row.
+
+    Exponentials are not divided by their sums: these go to the small factors of the products. Where a sum leaves the type's range, its rows are done again with the largest logit taken off.
+    """
+    more, u = np.ones((len(h), DIMS + 1), h.dtype), np.vstack([w["u"], w["bu"]])
+    more[:, :DIMS] = h
+    back, ones = np.ascontiguousarray(w["u"].T), np.ones(CLASSES, h.dtype)
+    loss, dh, du, room = 0.0, np.empty_like(h), np.zeros((CLASSES, DIMS + 1), h.dtype), np.empty((CACHED, CLASSES), h.dtype)
+    for a in range(0, len(h), CACHED):
+        part, t = more[a : a + CACHED], y[a : a + CACHED]
+        rows = np.arange(len(t))
+        e = np.matmul(part, u, out=room[: len(t)])
+        own = e[rows, t]
+        total = np.exp(e, out=e) @ ones
+        if not (np.isfinite(total) & (total > 0)).all():
+            np.matmul(part, u, out=e)
+            top = e.max(axis=1)
+            own -= top
+            e -= top[:, None]
+            total = np.exp(e, out=e) @ ones
+        loss -= float((own - np.log(total)).sum(dtype=np.float64))
+        e[rows, t] -= total
+        share = (1 / (total * len(h)))[:, None]
+        dh[a : a + CACHED] = e @ back
+        dh[a : a + CACHED] *= share
+        du += e.T @ (part * share)
+    return loss / len(h), dh, du.T
 
 
 def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -324,33 +385,29 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.
     w, out = views(flat), np.zeros_like(flat)
     g = views(out)
     h2, (h0, q, k, v, a, c, h1, z) = forward(w, x)
-    two = lambda t: t.reshape(-1, t.shape[-1])
-    n, rows = y.size, np.arange(y.size)
-    d = two(h2) @ w["u"]  # of two axes, one BLAS call
-    d += w["bu"]
-    d -= d.max(axis=1, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True)
-    loss = -float(np.log(np.maximum(d[rows, y.ravel()], 1e-30)).mean())
-    d[rows, y.ravel()] -= 1
-    d /= n
-    g["u"][:], g["bu"][:] = two(h2).T @ d, d.sum(axis=0)
-    dh2 = (d @ w["u"].T).reshape(h2.shape)
-    g["w2"][:], g["b2"][:] = two(z).T @ two(dh2), two(dh2).sum(axis=0)
-    dz = (dh2 @ w["w2"].T) * (z > 0)
-    g["w1"][:], g["b1"][:] = two(h1).T @ two(dz), two(dz).sum(axis=0)
-    dh1 = dh2 + dz @ w["w1"].T
-    g["o"][:] = two(c).T @ two(dh1)
-    dc = dh1 @ w["o"].T
-    da, dv = dc @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(DIMS**-0.5)
-    dq, dk = ds @ k, ds.swapaxes(1, 2) @ q
-    dh0 = dh1.copy()
-    for name, t in (("q", dq), ("k", dk), ("v", dv)):
-        g[name][:] = two(h0).T @ two(t)
-        dh0 += t @ w[name].T
-    np.add.at(g["e"], x, dh0)
-    g["p"][:] = dh0.sum(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        loss, dh2, du = output_gradient(two(h2), w, y.ravel())
+    g["u"][:], g["bu"][:] = du[:DIMS], du[DIMS]
+    g["w2"][:], g["b2"][:] = z.T @ dh2, dh2.sum(axis=0)
+    dz = dh2 @ w["w2"].T
+    dz *= z > 0
+    g["w1"][:], g["b1"][:] = two(h1).T @ dz, dz.sum(axis=0)
+    dh0 = dz @ w["w1"].T
+    dh0 += dh2
+    g["o"][:] = two(c).T @ dh0
+    dc = (dh0 @ w["o"].T).reshape(c.shape)
+    d = np.empty((*x.shape, 3 * DIMS), h0.dtype)
+    ds = dc @ v.swapaxes(1, 2)
+    ds -= np.einsum("ijk,ijk->ij", dc, c)[..., None]
+    ds *= a
+    ds *= np.float32(DIMS**-0.5)
+    d[..., :DIMS], d[..., DIMS : 2 * DIMS], d[..., 2 * DIMS :] = ds @ k, ds.swapaxes(1, 2) @ q, a.swapaxes(1, 2) @ dc
+    g["q"][:], g["k"][:], g["v"][:] = np.hsplit((two(d).T @ two(h0)).T, 3)
+    dh0 += two(d) @ np.hstack([w["q"], w["k"], w["v"]]).T
+    order = np.argsort(x, axis=None, kind="stable")
+    kinds, starts = np.unique(x.ravel()[order], return_index=True)
+    g["e"][kinds] = np.add.reduceat(dh0[order], starts, axis=0)
+    g["p"][:] = dh0.reshape(h0.shape).sum(axis=0)
     return loss, out
 
 
@@ -363,10 +420,16 @@ def adam(flat: np.ndarray, windows: np.ndarray, seed: int) -> np.ndarray:
     for t in range(1, steps + 1):
         some = windows[order[(t - 1) * MINIBATCH : t * MINIBATCH]]
         _, g = gradient(flat, some[:, :-1], some[:, 1:].astype(np.int64))
-        m = 0.9 * m + 0.1 * g
-        s = 0.99 * s + 0.01 * g * g
-        rate = RATE * (1 - 0.9 * t / steps)
-        flat -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        m += 0.1 * (g - m)
+        g *= g
+        g -= s
+        g *= 0.01
+        s += g
+        np.sqrt(s, out=g)
+        g += 1e-8 * math.sqrt(1 - 0.99**t)
+        np.divide(m, g, out=g)
+        g *= RATE * (1 - 0.9 * t / steps) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        flat -= g
     return flat
 
 
@@ -395,7 +458,7 @@ class Classes:
 def sequences(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, tuple]:
     """Subword ids of each text with the end id, joined, len + 1 offsets, the batch's words as from batch_words(), and their subwords as from Subwords.of()."""
     codes, words, edges = batch_words(column)
-    flat, first, count = subwords(tokenizer).of(words.to_pylist())
+    flat, first, count = subwords(tokenizer).of(words, hashed(words))
     n = count[codes]
     group, k = spread(n)
     ids = flat[first[codes][group] + k].astype(np.int64)
@@ -406,63 +469,80 @@ def sequences(column: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray,
 
 def _round(flat: np.ndarray, seed: int, of: np.ndarray):
     def run(batches):
+        reusing()
         raw = b"".join(x for rb in batches for x in rb.column("x").to_pylist())
         windows = of[np.frombuffer(raw, np.uint16).reshape(-1, SPAN + 1)]
         if len(windows):
             new = adam(flat, windows, seed).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(new * len(windows)), pa.array(np.full(SIZE, float(len(windows))))], names=["i", "v", "w"])
 
-    return run
+    return frugal(run)
 
 
 EARLIER = (LATER == 0).astype(np.float32)
 
 
-def hidden_rows(w: dict, x: np.ndarray) -> np.ndarray:
-    """forward()'s hidden rows in fewer passes: attention is normalised behind its sum, which a column of ones adds up."""
-    flat = (np.take(w["e"], x, axis=0) + w["p"]).reshape(-1, DIMS)
-    three = lambda t: t.reshape(*x.shape, -1)  # noqa: E731  products of two axes are one BLAS call
-    s = three(flat @ (w["q"] * np.float32(DIMS**-0.5))) @ three(flat @ w["k"]).swapaxes(1, 2)
+def tables(w: dict) -> dict:
+    """What log_probabilities() needs of the weights: all input rows by class and place, with their values behind the output projection; queries are multiplied with the key weights beforehand."""
+    rows = (w["e"][:, None] + w["p"]).reshape(-1, DIMS)
+    return w | {"rows": np.hstack([rows, rows @ (w["v"] @ w["o"])]), "qk": (w["q"] @ w["k"].T) * np.float32(DIMS**-0.5), "share": np.exp(w["bu"])}
+
+
+def hidden_rows(w: dict, x: np.ndarray, first: int) -> np.ndarray:
+    """forward()'s hidden rows of each window's places from first on, which alone ask the others, in fewer passes: attention is normalised behind its sum. w: from tables()."""
+    both = np.take(w["rows"], x * np.intp(SPAN) + np.arange(SPAN), axis=0)
+    h0, v, own = both[..., :DIMS], both[..., DIMS:], np.ascontiguousarray(both[:, first:, :DIMS])
+    s = (two(own) @ w["qk"]).reshape(own.shape) @ h0.swapaxes(1, 2)
     np.exp(s, out=s)
-    s *= EARLIER
-    v = np.ones((len(flat), DIMS + 1), np.float32)
-    v[:, :DIMS] = flat @ w["v"]
-    c = (s @ three(v)).reshape(-1, DIMS + 1)
-    h1 = flat + (c[:, :DIMS] / c[:, DIMS:]) @ w["o"]
+    s *= EARLIER[first:]
+    h1 = two(s @ v)
+    h1 /= (two(s) @ np.ones(SPAN, s.dtype))[:, None]
+    h1 += two(own)
     z = h1 @ w["w1"]
     z += w["b1"]
     np.maximum(z, 0, out=z)
     h1 += z @ w["w2"]
     h1 += w["b2"]
-    return three(h1)
+    return h1
+
 
+def log_totals(w: dict, h: np.ndarray) -> np.ndarray:
+    """Logarithms of sums of the classes' exponentials, CACHED hidden rows at a time."""
+    out, e = np.empty(len(h), h.dtype), np.empty((CACHED, CLASSES), h.dtype)
+    for a in range(0, len(h), CACHED):
+        part = e[: len(h) - a]
+        np.matmul(h[a : a + CACHED], w["u"], out=part)
+        np.matmul(np.exp(part, out=part), w["share"], out=out[a : a + CACHED])
+    return np.log(out, out=out)
 
-def log_probabilities(w: dict, inputs: np.ndarray, targets: np.ndarray, edges: np.ndarray, chunk: int = 192) -> np.ndarray:
+
+def log_probabilities(w: dict, inputs: np.ndarray, targets: np.ndarray, edges: np.ndarray, chunk: int = 2048) -> np.ndarray:
     """log10 probability of each target class given the classes before it in its document, by overlapping windows.
 
-    Exponentials are summed as they are; where that leaves float32's range, a chunk is done again with the largest logit taken off.
+    Exponentials are summed as they are; where that leaves float32's range, a chunk of as many tokens is done again with the largest logit taken off.
     """
-    n = np.diff(edges)
-    doc, k = spread(np.where(n > 0, 1 + np.maximum(0, -(-(n - SPAN) // STEP)), 0))
-    out = np.zeros(len(inputs))
-    by_class, share = np.ascontiguousarray(w["u"].T), np.exp(w["bu"])
     old = np.seterr(over="ignore", invalid="ignore", divide="ignore")
-    for a in range(0, len(doc), chunk):
-        d, j = doc[a : a + chunk], k[a : a + chunk]
-        place = (edges[:-1][d] + j * STEP)[:, None] + np.arange(SPAN)
-        x = inputs[np.minimum(place, len(inputs) - 1)]
-        own = (place < edges[1:][d][:, None]) & ((j == 0)[:, None] | (np.arange(SPAN) >= SPAN - STEP))
-        at = place[own]
-        h = hidden_rows(w, x)[own]
-        total = h @ w["u"]
-        total = np.log(np.exp(total, out=total) @ share)
-        if not np.isfinite(total).all():
-            h = forward(w, x)[0][own]
-            logits = (h @ w["u"] + w["bu"]).astype(np.float64)
-            top = logits.max(axis=1)
-            total = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        t = targets[at]
-        out[at] = (np.einsum("ij,ij->i", h, by_class[t]) + w["bu"][t] - total) / math.log(10)
+    n, out, w = np.diff(edges), np.zeros(len(inputs)), tables(w)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([inputs, np.zeros(SPAN, inputs.dtype)]), SPAN)
+    picked = np.ascontiguousarray(np.vstack([w["u"], w["bu"]]).T)
+    later = np.maximum(0, -(-(n - SPAN) // STEP))
+    group, k = spread(later)
+    begins = [(edges[:-1][n > 0], edges[1:][n > 0], 0), (edges[:-1][group] + (k + 1) * STEP, edges[1:][group], SPAN - STEP)]
+    for starts, stops, first in begins:  # a text's first window scores all its places, others their last STEP ones
+        some = chunk // (SPAN - first)
+        for a in range(0, len(starts), some):
+            place = starts[a : a + some, None] + np.arange(first, SPAN)
+            inside = (place < stops[a : a + some, None]).ravel()
+            x = windows[starts[a : a + some]]
+            at, h = place.ravel()[inside], hidden_rows(w, x, first)[inside]
+            total = log_totals(w, h)
+            if not np.isfinite(total).all():
+                h = two(forward(w, x)[0][:, first:])[inside]
+                logits = (h @ w["u"] + w["bu"]).astype(np.float64)
+                top = logits.max(axis=1)
+                total = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            own = np.take(picked, targets[at], axis=0)
+            out[at] = (np.einsum("ij,ij->i", h, own[:, :DIMS]) + own[:, DIMS] - total) / math.log(10)
     np.seterr(**old)
     return out
 
@@ -492,7 +572,13 @@ def _scored(tokenizer: str, classes: Classes, flat: np.ndarray, v: Vocabulary, b
 
 def _alone(score):
     none = Counts(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return lambda batches: (score(rb, none, none) for rb in text_batches(batches, BYTES))
+
+    def run(batches):
+        reusing()
+        for rb in text_batches(batches, BYTES):
+            yield score(rb, none, none)
+
+    return run
 
 
 ASKED = "block long, doc_id long, held_out boolean, text string, kind int, h long"
@@ -502,6 +588,7 @@ def _asked(tokenizer: str, v: Vocabulary, begun: Counts):
     """The texts in blocks of about BYTES, and for each block, without texts, the hashes whose counts it wants."""
 
     def run(batches):
+        reusing()
         part = TaskContext.get().partitionId()
         for seq, rb in enumerate(text_batches(batches, BYTES)):
             *_, words, _, parts = sequences(rb.column("text"), tokenizer)
@@ -517,6 +604,7 @@ def _asked(tokenizer: str, v: Vocabulary, begun: Counts):
 
 def _in_blocks(score):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        reusing()
         kind, h, n = (found.column(c).to_numpy() for c in ("kind", "h", "n"))
         out = [score(rb, *[Counts(h[kind == k], n[kind == k]) for k in (0, 4)]) for rb in texts.combine_chunks().to_batches()]
         return pa.Table.from_batches(out)
@@ -536,7 +624,7 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc"), whole_text().alias("text"), held.alias("held_out"))
     train = texts.where("not held_out").select("doc", "text")
-    gathered = written(train.mapInArrow(_counts(tokenizer), "kind int, h long, n long, x binary"), "gathered")
+    gathered = written(train.mapInArrow(_counts(tokenizer), "kind int, h long, n long, x binary"), "gathered", "zstd")
     counts = written(gathered.where("kind <> 3").groupBy("kind", "h").agg(F.sum("n").alias("n")), "counts")
     totals = {r.kind: (r.s, r.c) for r in counts.groupBy("kind").agg(F.sum("n").alias("s"), F.count("*").alias("c")).collect()}
     ends = totals.get(2, (0, 0))[0]
@@ -566,7 +654,7 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     if v.whole and begun.whole:
         scored = texts.mapInArrow(_alone(score), SCORED)
     else:
-        asked = written(texts.mapInArrow(_asked(tokenizer, v, begun), ASKED), "asked")
+        asked = written(texts.mapInArrow(_asked(tokenizer, v, begun), ASKED), "asked", "zstd")
         # only counts that no task holds are joined: each of these words and prefixes has less than 1 / VOCABULARY of all, and a block asks for each once
         found = asked.where("h IS NOT NULL").select("block", "kind", "h").join(counts.where("kind IN (0, 4)"), ["kind", "h"]).select("block", "kind", "h", "n")
         own = asked.where("h IS NULL").select(F.col("block").alias("own"), "doc_id", "held_out", "text")

@@ -194,5 +194,40 @@ def test_a_block_asks_once_for_each_count_that_no_task_holds(monkeypatch):
     assert len(asked) == len(set(asked)) == 3 + len(begins) and {r["block"] for r in rows} == {3 << 32}
 
 
+def test_hidden_rows_are_made_once_for_each_token(monkeypatch):
+    """Windows overlap, and hidden rows of the places that the window before had scored were made again: about twice as many rows as tokens."""
+    rnd, made, rows = np.random.default_rng(4), [], m.hidden_rows
+    monkeypatch.setattr(m, "hidden_rows", lambda *a: made.append((out := rows(*a)).size // m.DIMS) or out)
+    w = m.views(m.first_weights(np.full(m.CLASSES, 1 / m.CLASSES)))
+    edges = np.cumsum([0, 400, 0, 5, 1000, 16, 17])
+    m.log_probabilities(w, rnd.integers(0, m.CLASSES, edges[-1]), rnd.integers(0, m.CLASSES, edges[-1]), edges)
+    assert edges[-1] <= sum(made) <= edges[-1] + m.SPAN * len(edges)
+
+
+def test_gradient_and_scores_beyond_the_range_of_exponentials():
+    rnd = np.random.default_rng(5)
+    flat = m.first_weights(np.full(m.CLASSES, 1 / m.CLASSES))
+    m.views(flat)["u"][:] *= 40
+    m.views(flat)["bu"][:7] = 300
+    x, y = rnd.integers(0, m.CLASSES, (5, m.SPAN)), rnd.integers(0, 7, (5, m.SPAN))
+    loss, g = m.gradient(flat, x, y)
+    want, wanted = m.gradient(flat.astype(np.float64), x, y)
+    assert abs(loss - want) < 1e-3 * want and np.abs(g - wanted).max() < 1e-3 * np.abs(wanted).max()
+    edges = np.array([0, m.SPAN])
+    got = m.log_probabilities(m.views(flat), x[0], y[0], edges)
+    logits = m.forward(m.views(flat.astype(np.float64)), x[:1])[0][0] @ m.views(flat)["u"] + m.views(flat)["bu"]
+    top = logits.max(axis=1)
+    assert np.allclose(got, (logits[np.arange(m.SPAN), y[0]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))) / math.log(10), rtol=1e-3, atol=1e-2)
+
+
+def test_subwords_are_those_of_each_word_whatever_a_worker_remembers():
+    """Words are looked up by hash, all at once, where each was looked up in Python."""
+    kept, bpe = m.Subwords(PATH, most=6), m._bpe(PATH)[0]
+    for text in ("some words here", "here are some others", "unfathomable é\u00a0é x", "here some x", "", "a b c d e f g here unfathomable", "x" * 300 + " here"):
+        _, words, _ = m.batch_words(pa.array([text]))
+        flat, first, count = kept.of(words, m.hashed(words))
+        assert [flat[a : a + n].tolist() for a, n in zip(first, count, strict=True)] == [bpe.encode_ordinary(" " + w.decode()) for w in words.to_pylist()]
+
+
 def test_empty_table(spark):
     assert m.lm_scores(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
