@@ -81,6 +81,17 @@ def test_batches_beyond_their_size_are_errors_and_scales_can_be_given(spark):
     assert [(r.x, r.gone) for r in again.collect()] == [(1.0, None)]
 
 
+def test_resized_batches_have_their_first_entries(spark):
+    b = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "batch long, slot long, sample_id long")
+    n = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 3.0), (2, 1, 4.0)], "sample_id long, place long, value double")
+    e = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "sample_id long, src long, dst long")
+    r = features.collated(b, n, e, 3, resized=True).first()
+    assert (r.real, r.value, r.graph_idx, r.node_mask) == (4, [1.0, 2.0, 3.0], [0, 0, 1], [True] * 3)
+    assert (r.src, r.dst, r.edge_mask) == ([0, 2, 4], [1, 3, 4], [True, True, False])
+    r = features.collated(b, n, e, 1, resized=True).first()
+    assert (r.real, r.value, r.src, r.edge_mask) == (4, [1.0], [0], [True])
+
+
 def test_predict_writes_rows_without_observations(spark, tmp_path):
     d = spark.createDataFrame([("b", 1.0, 2.0), ("b", None, 2.0), ("b", 1.0, None)], "k string, obs double, pred double")
     assert features.evaluated(d, "k", str(tmp_path / "p"), predict_only=True) is None
