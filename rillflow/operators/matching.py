@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,36 +110,44 @@ def covered(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Col
     through the box's floor or ceiling the share below, within and above counts on its own, so the sum is exact.
     """
     n = F.size(ring)
+    held, within = (lambda y: F.greatest(F.least(y, y1), y0)), (lambda x: F.greatest(F.least(x, x1), x0))
+
+    def step(rows: Column, f: Callable[[Column], dict[str, Column]]) -> Column:
+        """What f names of each row. A step binds its values: an expression that is used twice would be worked out twice."""
+        return F.transform(rows, lambda e: F.struct(*[v.alias(k) for k, v in f(e).items()]))
+
     u, v = (lambda i: F.get(ring, i)), (lambda i: F.get(ring, (i + 1) % n))
-    held = lambda y: F.greatest(F.least(y, y1), y0)
+    edges = step(F.sequence(F.lit(0), n - 1), lambda i: {"ax": u(i)["x"], "ay": u(i)["y"], "bx": v(i)["x"], "by": v(i)["y"]})
+    edges = step(edges, lambda e: {c: e[c] for c in ("ax", "ay", "bx", "by")} | {"p": within(e["ax"]), "q": within(e["bx"]), "rise": (e["by"] - e["ay"]) / F.when(e["bx"] != e["ax"], e["bx"] - e["ax"])})
+    at = lambda e, x, c: F.when(e[x] == e[f"{c}x"], e[f"{c}y"]).otherwise(e["ay"] + (e[x] - e["ax"]) * e["rise"])
+    edges = step(edges, lambda e: {"wide": e["q"] - e["p"], "s": at(e, "p", "a"), "t": at(e, "q", "b")})
+    edges = step(edges, lambda e: {c: e[c] for c in ("wide", "s", "t")} | {"hs": held(e["s"]), "ht": held(e["t"]), "span": F.when(F.abs(e["t"] - e["s"]) > 1e-13 * (y1 - y0), e["t"] - e["s"])})
 
-    def part(i: Column) -> Column:
-        ax, ay, bx, by = u(i)["x"], u(i)["y"], v(i)["x"], v(i)["y"]
-        within = lambda x: F.greatest(F.least(x, x1), x0)
-        rise = (by - ay) / F.when(bx != ax, bx - ax)
-        s = F.when(within(ax) == ax, ay).otherwise(ay + (within(ax) - ax) * rise)
-        t = F.when(within(bx) == bx, by).otherwise(ay + (within(bx) - ax) * rise)
-        span = F.when(F.abs(t - s) > 1e-13 * (y1 - y0), t - s)
-        inside = (held(t) - held(s)) / span * ((held(s) + held(t)) / 2 - y0)
-        above = (F.greatest(t, y1) - F.greatest(s, y1)) / span * (y1 - y0)
-        mean = F.coalesce(inside + above, held((s + t) / 2) - y0)
-        return F.coalesce((within(bx) - within(ax)) * mean, F.lit(0.0))
+    def part(e: Column) -> Column:
+        inside = (e["ht"] - e["hs"]) / e["span"] * ((e["hs"] + e["ht"]) / 2 - y0)
+        above = (F.greatest(e["t"], y1) - F.greatest(e["s"], y1)) / e["span"] * (y1 - y0)
+        return F.coalesce(e["wide"] * F.coalesce(inside + above, held((e["s"] + e["t"]) / 2) - y0), F.lit(0.0))
 
-    return F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), part), F.lit(0.0), lambda a, x: a + x))
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda a, e: a + part(e)))
 
 
 def coverage_weights(cells: DataFrame, rings: DataFrame, size: float) -> DataFrame:
-    """Share of each grid cell (cell, x, y at its middle) inside each polygon (zone, ring: array of points), by exact areas; cells and rings meet on coarse cells of 64 by 64."""
+    """Share of each grid cell (cell, x, y at its middle) inside each polygon (zone, ring: array of points), by exact areas.
+
+    Places of cells and rings meet on coarse cells of 8 by 8; a place's share is worked out once, however many cells are there, and then goes to each of them.
+    """
     axis = lambda c: F.transform("ring", lambda p: p[c])
     box = rings.where(F.size("ring") > 2).select("*", *[f(axis(c)).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
-    band = lambda c: F.floor(c / F.lit(size * 64)).cast("long")
+    band = lambda c: F.floor(c / F.lit(size * 8)).cast("long")
     half = F.lit(size / 2)
     for c in "xy":
         box = box.withColumn(f"_{c}", F.explode(F.sequence(band(F.col(f"{c}0") - half), band(F.col(f"{c}1") + half))))
-    pairs = cells.withColumns({f"_{c}": band(F.col(c)) for c in "xy"}).join(box, ["_x", "_y"])
+    pairs = cells.select("x", "y").distinct().withColumns({f"_{c}": band(F.col(c)) for c in "xy"}).join(box, ["_x", "_y"])
     near = (F.col("x") + half > F.col("x0")) & (F.col("x") - half < F.col("x1")) & (F.col("y") + half > F.col("y0")) & (F.col("y") - half < F.col("y1"))
     x, y = F.col("x"), F.col("y")
-    return pairs.where(near).select("cell", "zone", (covered(F.col("ring"), x - half, y - half, x + half, y + half) / (size * size)).alias("w")).where("w > 0")
+    share = covered(F.col("ring"), x - half, y - half, x + half, y + half) / (size * size)
+    shares = pairs.where(near).select("x", "y", "zone", F.explode(F.filter(F.array(share), lambda w: w > 0)).alias("w"))  # a filter behind it would work it out twice
+    return cells.join(shares, ["x", "y"]).select("cell", "zone", "w")
 
 
 def point_on_line(line: str = "line", x: str = "x", y: str = "y", lo: float = 0.01, hi: float = 0.99):

@@ -135,6 +135,16 @@ def test_covered_areas(spark):
     assert abs(at["box", 0] - 0.25) < 1e-12 and abs(at["diamond", 1] - 0.5) < 1e-12 and abs(at["diamond", 11] - 1) < 1e-12 and ("diamond", 0) not in at
 
 
+def test_shares_are_worked_out_once_a_place(spark):
+    text = matching.covered(F.col("ring"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])._jc.toString()
+    assert text.count("least") < 20  # each bound value once, not once a use
+    ring = [{"x": float(a), "y": float(b)} for a, b in [(0.25, 0), (20, 0), (20, 1), (0.25, 1)]]
+    rings = spark.createDataFrame([("r", ring)], "zone string, ring array<struct<x:double,y:double>>")
+    cells = spark.createDataFrame([(i, 0.5 + i % 4 * 10, 0.5) for i in range(40)], "cell int, x double, y double")
+    got = matching.coverage_weights(cells, rings, 1.0)
+    assert {(r.cell, r.zone): r.w for r in got.collect()} == {(i, "r"): {0: 0.75, 1: 1.0}[i % 4] for i in range(40) if i % 4 < 2}
+
+
 def test_curve_and_batches(spark):
     grid = spark.createDataFrame([(16 * i + j, i, j) for i in range(16) for j in range(16)], "id int, x int, y int")
     path = sorted((r.k, r.x, r.y) for r in grid.withColumn("k", matching.hilbert_key(F.col("x"), F.col("y"), 4)).collect())
