@@ -1,5 +1,6 @@
 """Operators on hand-made cases: lake ids and zones, halo blocks, gauges and cycles, quantiles, coverage, curve."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import features, graph, matching, metrics, samples, windows
+from rillflow.plans import training
+from rillflow.plans.tables import Tables
 from rillflow.sources.lake import Lake, aligned, calendar, prepared
 
 DAILY = "basin string, subbasin string, date string, x double"
@@ -81,6 +84,19 @@ def test_halo_blocks(spark, length):
     assert got == {(s, i): [None if j % 7 == s else float(j) for j in range(i - length + 1, i + 1)] for s in range(2) for i in range(length - 1, n)}
 
 
+def test_samples_do_not_depend_on_the_order_of_events(spark, tmp_path):
+    """Sums of three and more values a day have other last digits in another order."""
+    src, got = "/root/testdata/sf0.001", []
+    for k, order in enumerate((F.col("event_id"), -F.col("event_id"))):
+        os.makedirs(tmp_path / f"{k}")
+        for t in ("customer", "supplier"):
+            os.symlink(f"{src}/{t}.parquet", tmp_path / f"{k}" / f"{t}.parquet")
+        events = spark.read.parquet(f"{src}/events.parquet").withColumn("event_type", F.lit("view"))
+        events.coalesce(1).sortWithinPartitions(order).write.parquet(str(tmp_path / f"{k}" / "events.parquet"))
+        got.append(sorted((r.batch, r.x_sat) for r in training.collated_samples(Tables(spark, str(tmp_path / f"{k}"))).collect()))
+    assert str(got[0]) == str(got[1])
+
+
 def test_a_batch_that_is_too_large(spark):
     s = spark.createDataFrame([(0, "b", "2020-01-01", ["n"] * 4, [[1.0]] * 4, [[2.0]] * 4, [], [])], "sample_id long, basin string, end_date string, subbasin array<string>, x_v array<array<double>>, y_v array<array<double>>, src array<long>, dst array<long>")
     b = spark.createDataFrame([(0, 0, 0, 0)], "shard int, batch int, slot int, sample_id long")
