@@ -84,6 +84,23 @@ def test_halo_blocks(spark, length):
     assert got == {(s, i): [None if j % 7 == s else float(j) for j in range(i - length + 1, i + 1)] for s in range(2) for i in range(length - 1, n)}
 
 
+def test_nodes_of_a_sample_are_found_by_number(spark):
+    """Node 4 has no rows, node 2 none in the sample's block, 9 is no node of the basin; places do not follow ids."""
+    days = [f"2020-01-{d:02}" for d in range(1, 29)]
+    rows = [("b", n, d, float(100 * n + i)) for n in (1, 2, 3, 9) for i, d in enumerate(days) if n != 2 or i < 8]
+    dense = spark.createDataFrame(rows, "basin string, subbasin long, date string, v double").withColumn("date", F.to_date("date"))
+    index = spark.createDataFrame([(0, "b", "2020-01-20"), (1, "b", "2020-01-03"), (2, "b", "2021-01-01")], "sample_id long, basin string, end_date string").withColumn("end_date", F.to_date("end_date"))
+    places = spark.createDataFrame([("b", 3, 0), ("b", 1, 1), ("b", 4, 2), ("b", 2, 3)], "basin string, node long, place long")
+    out = features.assembled(index, dense, places, ["v"], ["v"], spark.createDataFrame([(1,), (4,)], "subbasin long"), 2, days=2)
+    assert "element_at" not in out._jdf.queryExecution().analyzed().toString()  # which looks through a map from its start, for each node
+    got, none = {r.sample_id: r for r in out.collect()}, [None, None]
+    assert [r.subbasin for r in got.values()] == [[3, 1, 4, 2]] * 3
+    assert got[0].x_v == [[318.0, 319.0], [118.0, 119.0], none, none] and got[0].y_v == [[None], [119.0], [None], [None]]
+    assert got[1].x_v == [[301.0, 302.0], [101.0, 102.0], none, [201.0, 202.0]] and got[2].x_v == [none] * 4
+    even = features.assembled(index, dense.where("subbasin IN (1, 3)"), places.where("node IN (1, 3)"), ["v"], ["v"], places.selectExpr("node AS subbasin"), 2, days=2)
+    assert {r.sample_id: r.x_v for r in even.collect()} == {0: got[0].x_v[:2], 1: got[1].x_v[:2], 2: [none] * 2}
+
+
 def test_samples_do_not_depend_on_the_order_of_events(spark, tmp_path):
     """Sums of three and more values a day have other last digits in another order."""
     src, got = "/root/testdata/sf0.001", []
