@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,14 @@ def test_nodes_of_a_sample_are_found_by_number(spark):
     assert {r.sample_id: r.x_v for r in even.collect()} == {0: got[0].x_v[:2], 1: got[1].x_v[:2], 2: [none] * 2}
 
 
+def test_nested_arrays_as_one_tensor():
+    v = features.tensor(pa.array([[[1.0, None], [3.0, 4.0]]]))
+    assert v.shape == (1, 2, 2) and np.isnan(v[0, 0, 1]) and v[0, 1].tolist() == [3.0, 4.0]
+    assert features.tensor(pa.array([True, False])).tolist() == [True, False]
+    with pytest.raises(ValueError):
+        features.tensor(pa.array([[1.0], [2.0, 3.0]]))
+
+
 def test_samples_do_not_depend_on_the_order_of_events(spark, tmp_path):
     """Sums of three and more values a day have other last digits in another order."""
     src, got = "/root/testdata/sf0.001", []
