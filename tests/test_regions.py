@@ -83,6 +83,30 @@ def test_points_inside_rings(spark):
     assert {tuple(x) for x in footprints.points_inside(p, r, 1.5).collect()} == {(1, "box"), (2, "box"), (2, "dent"), (3, "next"), (5, "box"), (5, "dent"), (6, "box"), (6, "dent")}
 
 
+def test_segments_pass_few_cells(spark):
+    """A slanted segment passes the cells along it, not all of its box; a pair that shares several cells comes once."""
+    s = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 0.0, 5.0, 40.0, 5.0), (3, 2.0, 0.0, 2.0, 30.0), (4, 2.0, 2.0, 2.0, 2.0)], "id long, ax double, ay double, bx double, by double")
+    got = {r.id: r["count"] for r in footprints.passed_cells(s, 4.0).groupBy("id").count().collect()}
+    assert got[1] <= 3 * 26 and (got[2], got[3], got[4]) == (11, 8, 1)
+    rnd = random.Random(4)
+    lines = {i: [(rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for _ in range(2)] for i in range(60)} | {60: [(-8, 0), (8, 0)], 61: [(4, -8), (4, 8)]}
+    boxes = {i: (x, x + rnd.uniform(0, 6), y, y + rnd.uniform(0, 6)) for i in range(40) for x, y in [(rnd.uniform(-9, 9), rnd.uniform(-9, 9))]} | {40: (-4.0, 4.0, -4.0, 4.0)}
+    want = {}
+    for i, ((ax, ay), (bx, by)) in lines.items():
+        for k, (x0, x1, y0, y1) in boxes.items():
+            t, u = 0.0, 1.0
+            for a, b, lo, hi in ((ax, bx, x0, x1), (ay, by, y0, y1)):
+                if a == b:
+                    u = u if lo <= a <= hi else -1.0
+                else:
+                    t, u = max(t, min((lo - a) / (b - a), (hi - a) / (b - a))), min(u, max((lo - a) / (b - a), (hi - a) / (b - a)))
+            if t < u:
+                want[i, k] = (ax + t * (bx - ax), ay + t * (by - ay), ax + u * (bx - ax), ay + u * (by - ay))
+    df = spark.createDataFrame([(i, xy(p)) for i, p in lines.items()], LINE)
+    out = footprints.clipped_lines(df, spark.createDataFrame([(k, *b) for k, b in boxes.items()], "box long, x0 double, x1 double, y0 double, y1 double"), 1.5).collect()
+    assert {(r.id, r.box): (r.ax, r.ay, r.bx, r["by"]) for r in out} == want and len(out) == len(want)
+
+
 def test_lines_and_rings_that_meet_rings(spark):
     r = spark.createDataFrame([("dent", xy([(0, 0), (0, 4), (2, 1), (4, 4), (4, 0)])), ("far", xy([(20, 20), (21, 20), (21, 21)]))], RING)
     lines = {1: [(1, 0.5), (2, 0.5)], 2: [(1.5, 3), (2.5, 3)], 3: [(-1, 2), (9, 2)], 4: [(4, 4), (5, 9)], 5: [(-1, 9), (9, 9)], 6: [(0, 5), (0, 4.5)], 7: [(2, 9), (2, 3), (2, 0.9)]}
