@@ -83,6 +83,29 @@ def test_points_inside_rings(spark):
     assert {tuple(x) for x in footprints.points_inside(p, r, 1.5).collect()} == {(1, "box"), (2, "box"), (2, "dent"), (3, "next"), (5, "box"), (5, "dent"), (6, "box"), (6, "dent")}
 
 
+def test_a_zone_of_two_rings_and_points_of_whole_cells(spark):
+    """A ring within a ring is a hole; points lie in cells that no edge meets, on borders of cells and far away. Nothing is grouped once points and zones have met."""
+    rnd = random.Random(3)
+    r = spark.createDataFrame([("hole", xy([(-5, -5), (9, -5), (9, 9), (-5, 9)])), ("hole", xy([(0.5, 1), (6, 1), (6, 6.25)])), ("tip", xy([(0, 0), (8, 0.1), (0, 0.2)]))], RING)
+    spots = [(x / 2, y / 2) for x in range(-12, 22) for y in range(-12, 22)] + [(rnd.uniform(-6, 10), rnd.uniform(-6, 10)) for _ in range(300)] + [(float("nan"), 1.0), (1.0, float("nan")), (1e9, 1.0)]
+    rings = {"hole": [[(-5, -5), (9, -5), (9, 9), (-5, 9)], [(0.5, 1), (6, 1), (6, 6.25)]], "tip": [[(0, 0), (8, 0.1), (0, 0.2)]]}
+
+    def inside(x, y, parts):
+        n = 0
+        for p in parts:
+            for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1], strict=True):
+                (lx, ly), (rx, ry) = ((ax, ay), (bx, by)) if ax < bx else ((bx, by), (ax, ay))
+                n += lx != rx and lx <= x < rx and ly + (x - lx) * ((ry - ly) / (rx - lx)) > y
+        return n % 2 == 1
+
+    want = {(i, z) for i, (x, y) in enumerate(spots) for z, parts in rings.items() if inside(x, y, parts)}
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id long, x double, y double")
+    for size in (0.7, 1.0, 5.0):
+        got = footprints.points_inside(df, r, size)
+        assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    assert "Aggregate [id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_segments_pass_few_cells(spark):
     """A slanted segment passes the cells along it, not all of its box; a pair that shares several cells comes once."""
     s = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 0.0, 5.0, 40.0, 5.0), (3, 2.0, 0.0, 2.0, 30.0), (4, 2.0, 2.0, 2.0, 2.0)], "id long, ax double, ay double, bx double, by double")
