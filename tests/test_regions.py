@@ -139,6 +139,23 @@ def test_lines_and_rings_that_meet_rings(spark):
     assert {tuple(x) for x in footprints.lines_meeting(around, r, 1.0, closed=True).collect()} == {(1, "dent"), (2, "dent")}
 
 
+def test_lines_that_meet_rings_by_passed_cells(spark):
+    rnd = random.Random(6)
+    lines = {i: [(rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for _ in range(2)] for i in range(80)}
+    boxes = {f"{k}": (x, y, x + 2, y + 1) for k in range(20) for x, y in [(rnd.randint(-9, 9), rnd.randint(-9, 9))]}
+
+    def meets(a, b, x0, y0, x1, y1):
+        t, u = 0.0, 1.0
+        for p, q, lo, hi in ((a[0], b[0], x0, x1), (a[1], b[1], y0, y1)):
+            t, u = max(t, min((lo - p) / (q - p), (hi - p) / (q - p))), min(u, max((lo - p) / (q - p), (hi - p) / (q - p)))
+        return t <= u
+
+    r = spark.createDataFrame([(k, xy([(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3])])) for k, b in boxes.items()], RING)
+    out = footprints.lines_meeting(spark.createDataFrame([(i, xy(p)) for i, p in lines.items()], LINE), r, 1.0)
+    assert {tuple(x) for x in out.collect()} == {(i, k) for i, p in lines.items() for k, b in boxes.items() if meets(*p, *b)}
+    assert "RepartitionByExpression [_cx" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clipped_lines(spark):
     df = spark.createDataFrame([(1, xy([(-1, 1), (5, 1), (5, 9)])), (2, xy([(1, -1), (1, 1)])), (3, xy([(0, 4), (4, 8)])), (4, xy([(0, 0)]))], LINE)
     box = spark.createDataFrame([("b", 0.0, 4.0, 0.0, 4.0)], "box string, x0 double, x1 double, y0 double, y1 double")
